@@ -49,7 +49,7 @@ ALIASES = {
 QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 PLAIN = r'(?!")[^\t]*+'
 FIELD = re.compile(rf"(?:{QUOTED}|{PLAIN})(?=\t|\Z)")
-BOM = "﻿"
+BOM = chr(0xFEFF)
 OUT = "line_id long, status string, first_broken int, reasons array<string>, values array<string>"
 OUT_ARROW = pa.schema([("line_id", pa.int64()), ("status", pa.string()), ("first_broken", pa.int32()), ("reasons", pa.list_(pa.string())), ("values", pa.list_(pa.string()))])
 
@@ -110,7 +110,7 @@ def _judge(line_id, line_no, raw, header, with_values: bool):
     if raw is None or line_no == 1:
         return None
     line = _line(raw)
-    if not line.strip("  ") or line.isspace() and "\t" not in line:
+    if not line or line.isspace() and "\t" not in line:
         return None
     schema = schema_of(None if header is None else _line(header).removeprefix(BOM))
     if schema.text is not None and line.removeprefix(BOM) == schema.text:
