@@ -2,6 +2,6 @@
 
 
 def modules():
-    from ionloom.queries import prep
+    from ionloom.queries import interval, peptide, prep, series, stats
 
-    return [prep]
+    return [prep, interval, series, peptide, stats]
