@@ -157,7 +157,7 @@ def top_items(rows: DataFrame, n: int = 8, group: str = "eg_id", row_id: str = "
     item columns and ``tie_number``; its latest row by ``version``, then row id, counts."""
     d = rows.select(
         F.col(group).cast("long").alias("grp"), F.col(item[0]).cast("string").alias("k1"), F.col(item[1]).cast("string").alias("k2"), F.col(tie_number).cast("double").alias("tie_num"),
-        F.col(score).cast("double").alias("score"), F.unix_micros(F.col(version).cast("timestamp")).alias("version"), F.col(row_id).cast("long").alias("rid"),
+        F.col(score).cast("double").alias("score"), F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(version).cast("timestamp_ntz")).alias("version"), F.col(row_id).cast("long").alias("rid"),
     ).filter("grp is not null and rid is not null")
     stored = "grp long, rid long, score double, tie_num double, k2 string, seq long"
     runs = d.repartition("grp", "k1", "k2", "tie_num").mapInArrow(_runs(n), stored).withColumn("run", F.spark_partition_id())
