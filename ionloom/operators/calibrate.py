@@ -124,9 +124,14 @@ class Curve:
         return ys[i - 1] + (np.asarray(x) - xs[i - 1]) * slope[i - 1]
 
     def column(self, x: Column) -> Column:
-        """The same in the JVM: a balanced tree of comparisons, so a curve of n points costs log n."""
+        """The same in the JVM: a tree of comparisons for a few points, a search of a constant array for more."""
         xs, ys = self.xs, self.ys
         slope = [(ys[i + 1] - ys[i]) / max(xs[i + 1] - xs[i], MIN_STEP) for i in range(len(xs) - 1)]
+        if len(slope) > 8:
+            const = lambda v: F.array(*[F.lit(t) for t in v])
+            i = F.size(F.filter(const(xs[1:-1]), lambda t: t < x))
+            part = F.get(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("s")) for a, b, c in zip(xs, ys, slope)]), i)
+            return part.y + (x - part.x) * part.s
 
         def tree(a: int, b: int) -> Column:
             if a == b:

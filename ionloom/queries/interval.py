@@ -155,7 +155,7 @@ def j02_fragment_query(spark: SparkSession, sf: str) -> DataFrame:
     """Ions by window: the mobility range is cut to what the window isolates."""
     h = _hits(spark, sf).select("query_id", "window_id", "im_from", "im_to")
     i = S.ions(spark, sf).join(h, "query_id").withColumn("im_lo", F.greatest("im_lo", "im_from")).withColumn("im_hi", F.least("im_hi", "im_to"))
-    m = interval.range_join(S.peaks(spark, sf), i, "mz", "mz_lo", "mz_hi", ("window_id",), residual=S.RESIDUAL, log=True, width=4e-4)
+    m = interval.range_join(S.peaks(spark, sf), i, "mz", "mz_lo", "mz_hi", ("window_id",), residual=S.residual(), log=True, width=4e-4)
     return m.groupBy("query_id", "ion").agg(F.count(F.lit(1)).alias("n_peaks"), F.sum("intensity").alias("intensity"))
 
 
@@ -271,7 +271,7 @@ def j14_isotope_shift(spark: SparkSession, sf: str) -> DataFrame:
     i = S.ions(spark, sf).withColumn("center", ranges.isotope_mz(F.col("center"), F.lit(1), F.col("charge"))).withColumn("ion", F.col("ion") + 1)
     lo, hi = S.PPM.around(F.col("center"))
     i = i.withColumn("mz_lo", lo).withColumn("mz_hi", hi)
-    m = interval.range_join(S.peaks(spark, sf), i, "mz", "mz_lo", "mz_hi", residual=S.RESIDUAL, log=True, width=4e-4)
+    m = interval.range_join(S.peaks(spark, sf), i, "mz", "mz_lo", "mz_hi", residual=S.residual(), log=True, width=4e-4)
     return m.groupBy("query_id", "ion").agg(F.count(F.lit(1)).alias("n_peaks"))
 
 

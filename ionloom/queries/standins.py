@@ -41,7 +41,11 @@ ctr AS (SELECT *, mono + ion * CAST(1.0033548378 AS DOUBLE) / charge AS center F
 ions AS (SELECT query_id, ion, charge, mono, center, center * (1 - CAST(200 AS DOUBLE) / 1e6) AS mz_lo, center * (1 + CAST(200 AS DOUBLE) / 1e6) AS mz_hi,
   cycle_lo, cycle_lo + 365 AS cycle_hi, CAST(0.01 AS DOUBLE) AS im_lo, CAST(0.09 AS DOUBLE) AS im_hi FROM ctr)"""
 
-RESIDUAL = (F.col("cycle").between(F.col("cycle_lo"), F.col("cycle_hi"))) & F.col("mobility").between(F.col("im_lo"), F.col("im_hi"))
+
+def residual():
+    return F.col("cycle").between(F.col("cycle_lo"), F.col("cycle_hi")) & F.col("mobility").between(F.col("im_lo"), F.col("im_hi"))
+
+
 MATCHES = """matches AS (
   SELECT i.query_id, i.ion, i.center, i.charge, i.cycle_lo, i.cycle_hi, p.peak_id, p.mz, p.intensity, p.mobility, p.cycle, p.window_id FROM ions i JOIN peaks p
   ON p.mz BETWEEN i.mz_lo AND i.mz_hi AND p.cycle BETWEEN i.cycle_lo AND i.cycle_hi AND p.mobility BETWEEN i.im_lo AND i.im_hi)"""
@@ -51,7 +55,7 @@ BASE = f"WITH {PEAKS}, {IONS}, {MATCHES}"
 def matches(spark: SparkSession, sf: str) -> DataFrame:
     from ionloom.operators.interval import range_join
 
-    return range_join(peaks(spark, sf), ions(spark, sf), "mz", "mz_lo", "mz_hi", residual=RESIDUAL, log=True, width=4e-4)
+    return range_join(peaks(spark, sf), ions(spark, sf), "mz", "mz_lo", "mz_hi", residual=residual(), log=True, width=4e-4)
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
