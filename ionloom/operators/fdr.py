@@ -28,7 +28,8 @@ def q_values(scored: DataFrame, score: str = "score", is_target: str = "is_targe
     after = Window.orderBy(F.desc("_pid")).rowsBetween(Window.unboundedPreceding, -1)
     # One row per range.
     least = ranged.groupBy("_pid").agg(F.min("_raw").alias("_m")).select("_pid", F.coalesce(F.min("_m").over(after), F.lit(1.0)).alias("_after"))
-    below = Window.partitionBy("_pid").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    # From the end on: a frame that grows is linear, one that shrinks is not.
+    below = Window.partitionBy("_pid").orderBy(F.asc(score), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
     q = sized_join(ranged, least, ["_pid"], "inner").withColumn("q_value", F.least(F.min("_raw").over(below), F.col("_after"), F.lit(1.0)))
     # Rows of one score lie in one or more ranges; the first one's value is the least of them.
     first = q.groupBy(score).agg(F.min("q_value").alias("q_value"))

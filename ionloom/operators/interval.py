@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.runtime import sized_join
+from ionloom.runtime import row_bytes, sized_join
 
 #: Each level's bins are so many times as wide as those of the level below.
 STEP = 16
@@ -43,12 +43,15 @@ def range_join(values: DataFrame, ranges: DataFrame, value: str, lo: str, hi: st
     level = level.otherwise(F.lit(LEVELS))
     bin_of = lambda c, k: F.when(k == LEVELS, F.lit(0)).otherwise(F.floor(c / (width * F.pow(F.lit(float(STEP)), k)))).cast("long")
     leveled = ranges.withColumn("_il_level", level.cast("int"))
-    used = sorted(r[0] for r in leveled.select("_il_level").distinct().collect())
     k = F.col("_il_level")
-    right = leveled.withColumn("_il_bin", F.explode(F.when(k == LEVELS, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(bin_of(scale(bounds), k), bin_of(scale(b), k)))))
+    first, last = bin_of(scale(bounds), k), bin_of(scale(b), k)
+    # One pass over the ranges tells the levels in use and the size of the binned side.
+    stats = leveled.agg(F.collect_set("_il_level").alias("used"), F.sum(row_bytes(leveled) * F.when(k == LEVELS, 1).otherwise(last - first + 1)).alias("bytes")).first()
+    used = sorted(stats["used"])
+    right = leveled.withColumn("_il_bin", F.explode(F.when(k == LEVELS, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(first, last))))
     left = values.filter(usable)
     left = left.withColumn("_il_level", F.explode(F.array(*[F.lit(u) for u in used])) if len(used) > 1 else F.lit(used[0] if used else 0)).withColumn("_il_bin", bin_of(scale(v), k))
-    joined = sized_join(left, right, [*keys, "_il_level", "_il_bin"], "inner").drop("_il_level", "_il_bin").filter((v >= a) & (v <= b))
+    joined = sized_join(left, right, [*keys, "_il_level", "_il_bin"], "inner", bytes_=int(stats["bytes"] or 0)).drop("_il_level", "_il_bin").filter((v >= a) & (v <= b))
     return joined if residual is None else joined.filter(residual)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.functions.ranges import Width, isotope_mz
-from ionloom.runtime import table
+from ionloom.runtime import stored, table
 
 PPM = Width("ppm", 200, 200)
 EXPECTED = {"click": 1.0, "view": 0.8, "purchase": 0.5, "signup": 0.3, "error": 0.1}
@@ -84,7 +84,7 @@ def event_traces(spark: SparkSession, sf: str) -> DataFrame:
 
     e = expected(spark)
     totals = e.agg(F.sum("expected").alias("sum_exp"), F.sum(F.sqrt("expected")).alias("sum_sqrt_exp"))
-    return traces.apex_profile(traces.traces(traces.accumulators(cells(spark, sf), e), axis(spark, sf), totals))
+    return stored(traces.apex_profile(traces.traces(traces.accumulators(cells(spark, sf), e), axis(spark, sf), totals)))
 
 
 ACC = f"""{CELLS},

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 #: Largest side, in bytes of its rows, that is ever broadcast.
 BROADCAST_BYTES = 16 << 20
-#: Copies of the small side of a join whose hot keys are split.
+#: Tasks over which a hot key of a join is spread.
 SALTS = 32
+#: A key is hot with more than this many rows and more than one in this many of all rows.
+HOT_ROWS, HOT_SHARE = 200_000, 64
 
 
 def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -71,13 +73,38 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (got or 0) <= limit
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
-    """Equi-join whose ``small`` side is broadcast only after its size was measured. Beyond the limit
-    ``small`` is copied under ``salts`` salts and ``big`` spread over them, so that a key which holds a
-    third of ``big`` is split over that many tasks. ``how`` is inner or left (rows of ``big`` are kept)."""
-    if fits_broadcast(small, limit):
+def hot_keys(big: DataFrame, on: list[str], least: int = HOT_ROWS, share: int = HOT_SHARE) -> DataFrame:
+    """Keys that hold more than 1/``share`` of the rows (and ``least`` rows): fewer than ``share`` keys."""
+    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_il_n"))
+    top = counts.orderBy(F.desc("_il_n")).limit(share).collect()
+    total = big.count() if top and top[0]["_il_n"] > least else 0
+    hot = [tuple(r)[:-1] for r in top if total and r["_il_n"] > max(least, total // share)]
+    return big.sparkSession.createDataFrame(hot, big.select(*on).schema)
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int | None = None, salts: int = SALTS, bytes_: int | None = None, least: int | None = None) -> DataFrame:
+    """Equi-join whose ``small`` side is broadcast only after its size was measured (or given in ``bytes_``).
+
+    Beyond the limit both sides are shuffled. Keys that hold a large share of ``big`` are then spread over
+    ``salts`` tasks: only their rows of ``small`` are copied. ``how`` is inner or left (rows of ``big`` stay)."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    fits = bytes_ <= limit if bytes_ is not None else fits_broadcast(small, limit)
+    if fits:
         return big.join(F.broadcast(small), on, how)
-    salt = "_il_salt"
-    spread = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if big.schema[c].dataType.typeName() not in ("map", "variant")]), F.lit(salts)).cast("int"))
-    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = hot_keys(big, on, HOT_ROWS if least is None else least)
+    if hot.isEmpty():
+        return big.join(small, on, how)
+    salt, flag = "_il_salt", "_il_hot"
+    marked = F.broadcast(hot.select(*[F.col(c).alias(f"_il_k_{c}") for c in on]).withColumn(flag, F.lit(True)))
+
+    def mark(df: DataFrame) -> DataFrame:
+        same = [F.col(c).eqNullSafe(F.col(f"_il_k_{c}")) for c in on]
+        cond = same[0]
+        for c in same[1:]:
+            cond = cond & c
+        return df.join(marked, cond, "left").drop(*[f"_il_k_{c}" for c in on])
+
+    cols = [c for c in big.columns if big.schema[c].dataType.typeName() not in ("map", "variant")]
+    spread = mark(big).withColumn(salt, F.when(F.col(flag), F.pmod(F.xxhash64(*cols), F.lit(salts))).otherwise(0).cast("int")).drop(flag)
+    copies = mark(small).withColumn(salt, F.explode(F.when(F.col(flag), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(flag)
     return spread.join(copies, [*on, salt], how).drop(salt)

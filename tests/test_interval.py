@@ -30,7 +30,8 @@ def test_range_join_against_nested_loop(spark):
 def test_salted_range_join(spark, monkeypatch):
     import ionloom.runtime as rt
 
-    monkeypatch.setattr(rt, "fits_broadcast", lambda *a: False)
+    monkeypatch.setattr(rt, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(rt, "HOT_ROWS", 5)
     v, r = spark.range(1000).select(F.col("id").alias("i"), (F.col("id") % 50).cast("double").alias("x")), spark.range(50).select(F.col("id").alias("j"), (F.col("id") - 0.5).alias("lo"), (F.col("id") + 0.5).alias("hi"))
     assert range_join(v, r, "x", "lo", "hi").count() == 1000
 
@@ -68,3 +69,14 @@ def test_extraction_small(spark):
     ch = {(r.query_id, r.ion): r.chromatogram for r in extract.chromatograms(ions, m).collect()}
     assert ch == {(1, "a"): [0, 8, 0, 0], (1, "b"): [0, 0, 0, 0], (2, "a"): [0]}
     assert {(r.query_id, r.n_peaks, r.n_windows) for r in extract.match_counters(ions, m).collect()} == {(1, 3, 2), (2, 0, 0)}
+
+
+def test_hot_keys_are_split(spark):
+    from ionloom.runtime import hot_keys, sized_join
+
+    big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id"))).alias("k"), F.col("id").alias("v"))
+    small = spark.createDataFrame([(7, "seven"), (11, "eleven"), (11, "again"), (None, "none")], "k long, name string")
+    assert {r.k for r in hot_keys(big, ["k"], 100).collect()} == {None, 7}
+    plain = sorted(map(repr, big.join(small, "k", "left").collect()))
+    assert sorted(map(repr, sized_join(big, small, ["k"], "left", limit=0, least=100).select("k", "v", "name").collect())) == plain
+    assert sized_join(big, small, ["k"], "inner", limit=0, least=100).count() == 1003

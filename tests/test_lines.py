@@ -56,4 +56,5 @@ def test_salted_join_equals_broadcast(spark, sf, monkeypatch):
     df = spark.read.parquet(f"{sf}/sample_lib_raw.parquet")
     a = sorted(map(tuple, rejected(df).collect()))
     monkeypatch.setattr(rt, "fits_broadcast", lambda *x: False)
+    monkeypatch.setattr(rt, "HOT_ROWS", 10)
     assert sorted(map(tuple, rejected(df).collect())) == a
