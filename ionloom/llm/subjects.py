@@ -37,11 +37,11 @@ from ionloom.runtime import stored
 MAX_LABELLED = 20_000
 MAX_FOOTERS = 2_000
 SLOTS, DIM = 1 << 15, 16
-ROUNDS, PARTITIONS, BATCH, RATE = 8, 6, 128, 0.4
+ROUNDS, PARTITIONS, BATCH, RATE = 10, 6, 128, 0.4
 #: Steps that a partition makes at least between two synchronisations; few sentences are passed several times.
-STEPS = 80
+STEPS = 160
 SEED = 11
-SHARE, LIKELY = 0.25, 0.5
+SHARE, LIKELY = 0.25, 0.35
 QUOTE_RUN = 5
 
 LETTERS = re.compile(r"[^\W\d_]+")
