@@ -53,6 +53,15 @@ class Tolerance:
         return replace(self, mobility=Width(m.kind, m.lo * factor, m.hi * factor))
 
 
+def spectral_tolerance(mz_ppm: tuple[float, float], mobility_pct: tuple[float, float]) -> Tolerance:
+    """For the second look at an apex: half a second of retention, calibrated mass and mobility."""
+    return Tolerance(Width("ppm", *mz_ppm), Width("minutes", 0.5 / 60, 0.5 / 60), Width("percent", *mobility_pct), Width("absolute", 0.1, 0.1))
+
+
+def isotope_tolerance(mz_ppm: tuple[float, float], mobility_pct: tuple[float, float]) -> Tolerance:
+    return spectral_tolerance(mz_ppm, mobility_pct).with_mobility(Width("percent", 3, 3))
+
+
 # Names under which each kind may stand in a tolerance file.
 KINDS = {
     "ms": {"Absolute": "absolute", "da": "absolute", "Ppm": "ppm", "ppm": "ppm"},

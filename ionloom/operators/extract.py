@@ -78,3 +78,21 @@ def skip_reason(n_fragments: Column, in_scan_range: Column, in_rt_range: Column,
         .when(n_windows == 0, "fragments_outside_scan_range")
         .when(n_peaks == 0, "no_observed_signal")
     )
+
+
+#: Aggregations by name: functions of (ions, matches). A caller's own are added with ``aggregator``.
+AGGREGATORS = {"point": lambda ions, matches: point_intensity(matches), "spectrum": spectrum, "stats": spectrum_stats, "chromatogram": chromatograms, "counters": match_counters}
+
+
+def aggregator(name: str):
+    """Registers a function of (ions, matches) as an aggregation."""
+
+    def add(f):
+        AGGREGATORS[name] = f
+        return f
+
+    return add
+
+
+def aggregate(name: str, ions: DataFrame, matches: DataFrame) -> DataFrame:
+    return AGGREGATORS[name](ions, matches)

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ionloom.functions.arrays import np_fwhm, np_pearson, np_unit_rows
 
@@ -155,3 +156,49 @@ def scores(queries: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 0 else pa.float64()) for i in range(len(names))], names=names)
 
     return queries.select(*INPUT).na.drop().mapInArrow(run, SCHEMA)
+
+
+# What a rescoring model sees of a scored table.
+
+
+def finite(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))
+
+
+def mz_bin(mz: Column, width: float = 5.0) -> Column:
+    """A mass to charge as the bin it falls in, so that a model can't learn single precursors."""
+    return (F.round(mz / width) * width).cast("double")
+
+
+def transforms(value: Column, kind: str) -> Column:
+    """raw, ln1p (of the value, at least 0) or round."""
+    if kind == "raw":
+        return value.cast("double")
+    if kind == "ln1p":
+        return F.log1p(F.greatest(value.cast("double"), F.lit(0.0)))
+    if kind == "round":
+        return F.round(value.cast("double"))
+    raise ValueError(kind)
+
+
+def mean_abs(errors: Column) -> Column:
+    """Mean size of the finite errors of an array that aren't 0; null if there is none."""
+    ok = F.filter(errors, lambda e: finite(e) & (e != 0))
+    return F.when(F.size(ok) > 0, F.aggregate(ok, F.lit(0.0), lambda a, e: a + F.abs(e.cast("double"))) / F.size(ok))
+
+
+def derived(rows: DataFrame) -> DataFrame:
+    """Adds what depends on several scores: ratio and product of the main score and its lead, the split
+    product times coverage, and the error in retention."""
+    c = F.col
+    return rows.withColumns({
+        "main_over_delta_next": c("main_score") / F.when(c("delta_next") != 0, c("delta_next")),
+        "main_times_delta_next": c("main_score") * c("delta_next"),
+        "split_x_coverage": c("base_score") * c("fragment_coverage"),
+        "rt_error": c("obs_rt_seconds") - c("rt_calibrated"),
+    })
+
+
+def neutralised(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns that come from mobility as null, for runs whose mobility can't be searched."""
+    return rows.withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in columns if c in rows.columns})

@@ -2,6 +2,6 @@
 
 
 def modules():
-    from ionloom.queries import interval, peptide, plans, prep, series, stats
+    from ionloom.queries import interval, peptide, plans, prep, readers, series, stats
 
-    return [prep, interval, series, peptide, stats, plans]
+    return [prep, interval, series, peptide, stats, plans, readers]

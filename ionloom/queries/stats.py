@@ -190,3 +190,24 @@ def t10_folds(spark: SparkSession, sf: str) -> DataFrame:
     """Stable folds of the candidates; that they are three and hold everything is what is told."""
     f = scored(spark, sf).withColumn("fold", fdr.fold("id", "charge")).filter(F.col("fold").isin(0, 1, 2))
     return f.groupBy(((F.col("id") - F.col("id") % 3) % 3).alias("zero")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT eg_id, CAST(round(precursor_mono_mz / 5.0) * 5.0 AS DOUBLE) AS mz_bin, round(ln(1 + greatest(rt_seconds, 0)), 6) AS log_rt FROM elution_groups WHERE precursor_mono_mz IS NOT NULL AND rt_seconds IS NOT NULL AND NOT isnan(rt_seconds)")
+def x39_feature_transforms(spark: SparkSession, sf: str) -> DataFrame:
+    from ionloom.operators import features
+
+    e = table(spark, sf, "elution_groups").filter("precursor_mono_mz is not null and rt_seconds is not null and not isnan(rt_seconds)")
+    return e.select("eg_id", features.mz_bin(F.col("precursor_mono_mz")).alias("mz_bin"), F.round(features.transforms(F.col("rt_seconds"), "ln1p"), 6).alias("log_rt"))
+
+
+@query("SELECT eg_id, precursor_charge FROM elution_groups WHERE contains(CAST(eg_id AS VARCHAR), '77')")
+def f20_id_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose id holds a text."""
+    return table(spark, sf, "elution_groups").filter(F.col("eg_id").cast("string").contains("77")).select("eg_id", "precursor_charge")
+
+
+@query(f"WITH {QV} SELECT CAST(charge AS BIGINT) AS charge, x AS threshold, count(*) FILTER (q_value <= x AND qv.is_target) AS n FROM qv JOIN scored USING (id), (VALUES (0.05::DOUBLE), (0.2), (1.0)) v(x) GROUP BY 1, 2")
+def h18_ids_by_charge(spark: SparkSession, sf: str) -> DataFrame:
+    """Identifications by charge along the q-value curve."""
+    q = fdr.q_values(scored(spark, sf), "score").withColumn("threshold", F.explode(F.array(F.lit(0.05), F.lit(0.2), F.lit(1.0))))
+    return q.groupBy("charge", "threshold").agg(F.count(F.when((F.col("q_value") <= F.col("threshold")) & F.col("is_target"), 1)).alias("n"))

@@ -91,3 +91,25 @@ def open_run(spark: SparkSession, path: str) -> DataFrame:
     if kind == "remote raw":
         raise ValueError(f"{path}: index the run next to its raw data and open the index")
     return peaks.read_index(spark, path)[0] if kind == "index" else choose(spark, path, RUNS).read(spark, path)
+
+
+def index_run(spark: SparkSession, raw: str, to: str | None = None) -> str:
+    """Reads a raw run and stores its index beside it (``<raw>.idx``) or at ``to``; gives the index's path."""
+    from pyspark.sql import functions as F
+
+    to = to or f"{raw}.idx"
+    r = choose(spark, raw, RUNS).read(spark, raw)
+    run = peaks_of(r)
+    cycles = r.filter("ms_level = 1").select("run_id", F.col("cycle_index").alias("cycle"), "rt_ms").distinct()
+    none = F.lit(None).cast("double")
+    windows = r.filter("ms_level = 2").select("run_id", "window_id", none.alias("im0"), none.alias("im1"), F.col("mz_lo").alias("mz_lo0"), F.col("mz_lo").alias("mz_lo1"), F.col("mz_hi").alias("mz_hi0"), F.col("mz_hi").alias("mz_hi1")).distinct()
+    windows = windows.fillna({"im0": 0.0, "im1": 1e9})
+    has = "Absent" if run.filter("mobility_ook0 > 0").isEmpty() else "Ook0"
+    peaks.write_index(run, cycles, windows, to, mobility_kind=has)
+    return to
+
+
+def peaks_of(raw: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return raw.select("run_id", "ms_level", F.coalesce("window_id", F.lit(-1)).alias("window_id"), "mz", "intensity", F.coalesce("mobility_ook0", F.lit(0.0)).cast("float").alias("mobility_ook0"), "cycle_index")

@@ -119,6 +119,11 @@ SCHEMA = "file string, group_id long, modified string, protein string, charge in
 def read_speclib(spark: SparkSession, path: str) -> DataFrame:
     """One task per file: records have no index and are found one after the other. The indexed retention
     time stays as it is; embedded decoys go."""
+    return read_packed(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def read_packed(files: DataFrame) -> DataFrame:
+    """The same from a table of (name, content)."""
     frag = pa.list_(pa.struct([("label", pa.string()), ("mz", pa.float64()), ("intensity", pa.float32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +138,7 @@ def read_speclib(spark: SparkSession, path: str) -> DataFrame:
                 if block:
                     yield _batch(block, frag)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    return files.mapInArrow(run, SCHEMA)
 
 
 def _batch(block: list[tuple], frag: pa.DataType) -> pa.RecordBatch:

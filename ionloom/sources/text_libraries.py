@@ -113,13 +113,13 @@ def read_skyline(spark: SparkSession, path: str) -> DataFrame:
     return _assemble(rows, F.lower(F.coalesce("series", F.lit(""))) != "precursor")
 
 
-def read_elution_groups(spark: SparkSession, path: str) -> DataFrame:
-    """JSON elution groups (an array or lines), with the accepted other names; labels default to places."""
+def read_elution_groups(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON elution groups (one array, or ``lines`` of objects), with the accepted other names; labels default to places."""
     names = {
         "precursor_mz": ("precursor", "precursor_mz", "precursor_mono_mz"), "mzs": ("fragments", "fragment_mzs", "fragment_mono_mzs"), "labels": ("fragment_labels",), "isotopes": ("precursor_isotopes",),
     }
     schema = "id long, mobility float, rt_seconds float, precursor double, precursor_mz double, precursor_mono_mz double, precursor_charge short, precursor_isotopes array<int>, fragments array<double>, fragment_mzs array<double>, fragment_mono_mzs array<double>, fragment_labels array<string>"
-    df = spark.read.schema(schema).json(path, multiLine=True)
+    df = spark.read.schema(schema).json(path, multiLine=not lines)
     first = lambda k: F.coalesce(*[F.col(c) for c in names[k]])
     mzs = first("mzs")
     labels = F.coalesce(first("labels"), F.transform(mzs, lambda x, i: i.cast("string")))

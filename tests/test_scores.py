@@ -181,3 +181,25 @@ def test_shared_counts_and_matching(spark):
     lib = lambda rows: spark.createDataFrame(rows, "id long, mz double, charge int, rt_seconds double, fragment_keys array<long>")
     a, b = lib([(1, 500.001, 2, 10.0, [1, 5, 9, 20, 30])]), lib([(7, 500.002, 2, 30.0, [1, 5, 9, 20, 30]), (8, 500.0, 2, 11.0, [2, 6, 9, 20, 31]), (9, 500.0, 3, 10.0, [1, 5, 9, 20, 30])])
     assert [tuple(r) for r in matching.match_libraries(a, b).collect()] == [(1, 8, 5, 1.0)]
+
+
+def test_model_columns(spark):
+    df = spark.createDataFrame([(10.0, 2.0, 3.0, 0.5, 11.0, 9.0, 0.9), (10.0, 0.0, 3.0, 0.5, 11.0, 9.0, 0.9)], "main_score double, delta_next double, base_score double, fragment_coverage double, obs_rt_seconds double, rt_calibrated double, obs_mobility double")
+    r = features.neutralised(features.derived(df), ["obs_mobility", "none"]).collect()
+    assert (r[0].main_over_delta_next, r[0].main_times_delta_next, r[0].split_x_coverage, r[0].rt_error, r[0].obs_mobility) == (5.0, 20.0, 1.5, 2.0, None) and r[1].main_over_delta_next is None
+    a = lambda *v: F.array(*[F.lit(x).cast("double") for x in v])
+    got = spark.range(1).select(features.mean_abs(a(1.0, -3.0, 0.0, float("nan"))), features.mean_abs(a(0.0)), features.mz_bin(F.lit(501.2)), features.transforms(F.lit(-2.0), "ln1p"), features.transforms(F.lit(1.6), "round")).first()
+    assert tuple(got) == (2.0, None, 500.0, 0.0, 2.0)
+    with pytest.raises(ValueError):
+        features.transforms(F.lit(1), "x")
+
+
+def test_registered_aggregation(spark):
+    from ionloom.operators import extract
+
+    @extract.aggregator("highest")
+    def highest(ions, matches):
+        return matches.groupBy("query_id").agg(F.max("intensity").alias("top"))
+
+    m = spark.createDataFrame([(1, 5), (1, 9)], "query_id long, intensity long")
+    assert extract.aggregate("highest", m, m).first().top == 9

@@ -104,6 +104,12 @@ def test_mzml(spark, tmp_path):
     r = registry.open_run(spark, str(tmp_path / "r.mzML")).orderBy("cycle_index", "ms_level", "mz").collect()
     assert [(x.run_id, x.ms_level, x.cycle_index, x.mz, x.intensity) for x in r] == [("r", 1, 0, 100.0, 5.0), ("r", 1, 0, 101.0, 0.0), ("r", 2, 0, 200.0, 7.0), ("r", 1, 1, 100.0, 6.0)]
     assert (r[2].mz_lo, r[2].mz_hi, r[2].window_id) == (490.0, 512.0, 0)
+    from ionloom.api import GROUP, Run
+    from ionloom.functions.ranges import Tolerance
+
+    run = Run.open(spark, registry.index_run(spark, str(tmp_path / "r.mzML")))
+    g = spark.createDataFrame([(1, 500.0, 1, 0.9, 1.5, [0], [("y1", 200.0)])], GROUP)
+    assert not run.has_mobility and {x.ion: x.intensity for x in run.query_spectrum(g, Tolerance()).collect()} == {"p0": 0.0, "y1": 7.0}
     for bad in (body + spectrum(1, 0.1, [1.0], [1.0]), spectrum(1, 1, [1.0], [1.0]).replace("MS:1000127", "MS:1000128")):
         with pytest.raises(ValueError):
             list(peaks.parse_mzml("x", f"<m>{bad}</m>".encode()))
