@@ -13,6 +13,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionloom.operators.sequence import numbered
+from ionloom.runtime import sized_join, stored
+
 MAD_TO_SD = 1.4826
 LOOKBACK = 30
 MIN_STEP = 1e-9
@@ -21,20 +24,19 @@ MIN_STEP = 1e-9
 def robust_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, population sd, upper median and upper median of absolute deviations per group.
 
-    The upper median is the value at n div 2 from 0. It is selected by running number, not by collecting
-    groups: a group of any size is only sorted, and spills."""
+    The upper median is the value at n div 2 from 0, found by running number over ranges of the sorted
+    values: a group of any size is spread over many tasks."""
     v = F.col(value).cast("double")
     ok = rows.filter(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"))
-    base = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("sd"), F.element_at(F.percentile("_v", F.array(F.lit(0.0))), 1).alias("_lo"))
-    half = Window.partitionBy(*by)
+    base = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("sd"))
 
     def upper(df: DataFrame, name: str) -> DataFrame:
-        w = half.orderBy("_v")
-        return df.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(half)).filter(F.col("_rn") == F.floor(F.col("_n") / 2) + 1).select(*by, F.col("_v").alias(name))
+        seq = sized_join(numbered(df, by, ["_v"], "_k"), base.select(*by, "n"), by, "inner")
+        return seq.filter(F.col("_k") == F.floor(F.col("n") / 2)).select(*by, F.col("_v").alias(name))
 
-    med = upper(ok, "median")
-    dev = ok.join(med, by).select(*by, F.abs(F.col("_v") - F.col("median")).alias("_v"))
-    return base.drop("_lo").join(med, by).join(upper(dev, "mad"), by)
+    med = stored(upper(ok, "median"))
+    dev = sized_join(ok, med, by, "inner").select(*by, F.abs(F.col("_v") - F.col("median")).alias("_v"))
+    return base.join(med, by).join(upper(dev, "mad"), by)
 
 
 def mad_bounds(median: Column, mad: Column, sigmas: float, floor: float) -> tuple[Column, Column]:

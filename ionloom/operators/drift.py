@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionloom.operators.sequence import neighbours, numbered
-from ionloom.runtime import stored
+from ionloom.runtime import sized_join, stored
 
 # Names under which the formats carry each quantity, and its type in the landed table.
 CANONICAL = {
@@ -115,7 +115,7 @@ def changes(exports: DataFrame, agreement: float = AGREEMENT) -> DataFrame:
     def side(names: DataFrame, file_col: str, name: str, out: str) -> DataFrame:
         """Quantities of the fields that ended or started in files where both happen."""
         wanted = names.select(F.col(file_col).alias("file_id"), F.col("file_id").alias("_il_at"), F.col(name).alias("field")).distinct() if file_col != "file_id" else names.select("file_id", F.col("file_id").alias("_il_at"), F.col(name).alias("field")).distinct()
-        return values.join(wanted, ["file_id", "field"]).filter("id is not null").groupBy("_il_at", "id", "field").agg(F.max(quantity(F.col("value"))).alias("q")).select(F.col("_il_at").alias("file_id"), "id", F.col("field").alias(out), F.col("q").alias(f"q_{out}"))
+        return sized_join(values, wanted, ["file_id", "field"], "inner").filter("id is not null").groupBy("_il_at", "id", "field").agg(F.max(quantity(F.col("value"))).alias("q")).select(F.col("_il_at").alias("file_id"), "id", F.col("field").alias(out), F.col("q").alias(f"q_{out}"))
 
     old = side(pairs, "before", "old_name", "old_name")
     new = side(pairs, "file_id", "new_name", "new_name")
