@@ -259,7 +259,8 @@ def training_sentences(documents: DataFrame, labels: DataFrame, names: list[str]
 def train(examples: DataFrame, n_subjects: int, rounds: int = ROUNDS):
     """Weights after ``rounds`` synchronisations; None without examples."""
     weights = initial(n_subjects)
-    spread = examples.repartition(PARTITIONS, F.xxhash64("words", "y"))
+    # In a fixed order, so that training twice gives the same weights.
+    spread = examples.repartition(PARTITIONS, F.xxhash64("words", "y")).sortWithinPartitions(F.xxhash64("words", "y"))
     for r in range(rounds):
         shared = weights
 
