@@ -81,5 +81,84 @@ t AS (
   FROM f WHERE v IS NOT NULL),
 k AS (SELECT lib_row_id, field_name, list_filter(raw, lambda x: x <> '') AS vals FROM t)
 SELECT lib_row_id, field_name, CAST(unnest(range(len(vals))) AS INTEGER) AS item_pos, unnest(vals) AS item_value FROM k
+""",
+    "p1_found": r"""
+WITH ok AS (SELECT record_id, CAST(payload AS JSON) AS j FROM speclib_elements WHERE json_valid(payload)),
+root AS (SELECT record_id, CASE json_type(j) WHEN 'ARRAY' THEN CAST(j AS JSON[]) WHEN 'OBJECT' THEN CASE WHEN json_type(j, '$.elements') = 'ARRAY' THEN CAST(j->'$.elements' AS JSON[]) ELSE [j] END END AS els FROM ok),
+el AS (SELECT record_id, unnest(els) AS e, unnest(range(len(els))) AS element_pos FROM root),
+eg AS (SELECT record_id, element_pos, CASE json_type(e, '$.elution_group') WHEN 'VARCHAR' THEN CASE WHEN json_valid(e->>'$.elution_group') THEN CAST(e->>'$.elution_group' AS JSON) END ELSE e->'$.elution_group' END AS g FROM el),
+gr AS (SELECT record_id, element_pos, CASE json_type(g) WHEN 'ARRAY' THEN CAST(g AS JSON[]) WHEN 'OBJECT' THEN [g] END AS gs FROM eg),
+g1 AS (SELECT record_id, element_pos, unnest(gs) AS g, unnest(range(len(gs))) AS group_pos FROM gr),
+arr AS (SELECT record_id, element_pos, group_pos,
+    CASE WHEN json_type(g, '$.fragments') = 'ARRAY' THEN CAST(g->'$.fragments[*].mz' AS JSON[]) ELSE CAST(coalesce(nullif(g->'$.fragment_mzs', 'null'), g->'$.fragment_mz') AS JSON[]) END AS mz,
+    CASE WHEN json_type(g, '$.fragments') = 'ARRAY' THEN CAST(g->'$.fragments[*].intensity' AS JSON[]) ELSE CAST(g->'$.fragment_intensities' AS JSON[]) END AS it,
+    CASE WHEN json_type(g, '$.fragments') = 'ARRAY' THEN CAST(g->'$.fragments[*].label' AS JSON[]) WHEN json_type(g, '$.fragment_labels') = 'ARRAY' THEN CAST(g->'$.fragment_labels' AS JSON[]) END AS lab FROM g1),
+fr AS (SELECT record_id, element_pos, group_pos, unnest(range(len(mz))) AS fragment_pos, unnest(coalesce(lab, list_transform(mz, lambda x: NULL))) AS l FROM arr WHERE len(mz) = len(it) AND (lab IS NULL OR len(lab) = len(mz)))
+SELECT record_id, CAST(element_pos AS INTEGER) AS element_pos, CAST(group_pos AS INTEGER) AS group_pos, CAST(fragment_pos AS INTEGER) AS fragment_pos,
+  CASE WHEN l IS NULL OR json_type(l) = 'NULL' THEN CAST(fragment_pos AS VARCHAR) WHEN json_type(l) = 'OBJECT' THEN (l->>'$.series') || (l->>'$.ordinal')
+    || CASE coalesce(CAST(l->>'$.isotope' AS INTEGER), 0) WHEN 0 THEN '' WHEN 1 THEN '+i' ELSE '+' || (l->>'$.isotope') || 'i' END || CASE WHEN coalesce(CAST(l->>'$.charge' AS INTEGER), 1) > 1 THEN '^' || (l->>'$.charge') ELSE '' END
+  ELSE l->>'$' END AS fragment_label FROM fr
+""",
+    "p3_found": r"""
+WITH h AS (SELECT file_name, regexp_replace(ltrim(raw_line, chr(65279)), chr(13) || '$', '') AS header FROM sample_lib_raw WHERE line_no = 1),
+l AS (SELECT line_id, regexp_replace(raw_line, chr(13) || '$', '') AS s, header FROM sample_lib_raw r JOIN h ON r.file_name = h.file_name WHERE line_no <> 1),
+d AS (SELECT line_id, s, string_split(header, chr(9)) AS names FROM l WHERE trim(s) <> '' AND ltrim(s, chr(65279)) <> header),
+t AS (SELECT line_id, s, names, regexp_extract_all(s || chr(9), '("(?:[^"]|"")*"|[^"\t][^\t]*|)\t', 1) AS tok FROM d),
+v AS (SELECT line_id, names, list_sum(list_transform(tok, lambda x: length(x) + 1)) = length(s) + 1 AS whole, list_transform(tok, lambda x: CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END) AS vals FROM t),
+r AS (SELECT line_id, CASE WHEN NOT whole THEN ['quoting'] WHEN len(vals) <> len(names) THEN ['column_count'] ELSE list_filter([
+    CASE WHEN NOT regexp_full_match(vals[list_position(names, 'FragmentType')], '[abcxyz]') THEN 'fragment_type' END,
+    CASE WHEN NOT regexp_full_match(vals[list_position(names, 'FragmentCharge')], '0*([1-9]|[1-9][0-9]|1[01][0-9]|12[0-7])') THEN 'fragment_charge' END,
+    CASE WHEN NOT regexp_full_match(vals[list_position(names, 'FragmentLossType')], 'noloss|H2O|NH3|CO|H3PO4|CH4OS') THEN 'fragment_loss_type' END], lambda x: x IS NOT NULL) END AS reasons FROM v)
+SELECT line_id, unnest(reasons) AS reason FROM r
+""",
+    "p4_found": r"""
+WITH rec AS (SELECT export_stream AS s, file_id AS f, exported_at AS t, CAST(payload AS JSON) AS j FROM eg_exports),
+prev AS (SELECT s, f, lag(f) OVER (PARTITION BY s ORDER BY t, f) AS p FROM (SELECT s, f, min(t) AS t FROM rec GROUP BY 1, 2)),
+kv AS (SELECT f, j->>'$.id' AS id, k, json_extract(j, '$."' || k || '"') AS v FROM (SELECT f, j, unnest(json_keys(j)) AS k FROM rec) WHERE k <> 'id'),
+ty AS (SELECT f, id, k, v, CASE json_type(v) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object'
+    WHEN 'ARRAY' THEN 'array<' || CASE json_type(v, '$[0]') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' ELSE 'number' END || '>' ELSE 'number' END AS jt FROM kv),
+best AS (SELECT f, k, jt FROM (SELECT f, k, jt, row_number() OVER (PARTITION BY f, k ORDER BY count(*) DESC, jt) AS r FROM ty WHERE jt IS NOT NULL GROUP BY 1, 2, 3) WHERE r = 1),
+cur AS (SELECT prev.f, prev.p, k, jt FROM prev JOIN best ON best.f = prev.f WHERE p IS NOT NULL), old AS (SELECT prev.f, prev.p, k, jt FROM prev JOIN best ON best.f = prev.p),
+came AS (SELECT cur.* FROM cur ANTI JOIN old ON cur.f = old.f AND cur.k = old.k), gone AS (SELECT old.* FROM old ANTI JOIN cur ON cur.f = old.f AND cur.k = old.k),
+q AS (SELECT f, id, k, any_value(array_to_string(list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace(CAST(v AS VARCHAR), ',\s*"unit":\s*"[^"]*"', '', 'g'), '"\w+":', ' ', 'g'), '[\s\[\]{}",;|]+'), lambda x: x <> ''),
+    lambda x: coalesce(CAST(TRY_CAST(x AS DOUBLE) AS VARCHAR), CASE x WHEN 'true' THEN '1.0' WHEN 'false' THEN '0.0' END, x)), ' ')) AS c FROM ty WHERE jt IS NOT NULL GROUP BY 1, 2, 3),
+sc AS (SELECT g.f, g.k AS old_name, n.k AS new_name, avg(CAST(a.c = b.c AS INTEGER)) AS share, sum(CAST(a.c = b.c AS INTEGER)) AS same FROM gone g JOIN came n ON g.f = n.f JOIN q a ON a.f = g.p AND a.k = g.k JOIN q b ON b.f = n.f AND b.k = n.k AND a.id = b.id GROUP BY 1, 2, 3 HAVING avg(CAST(a.c = b.c AS INTEGER)) >= 0.5),
+ren AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY f, old_name ORDER BY share DESC, same DESC) AS r1, row_number() OVER (PARTITION BY f, new_name ORDER BY share DESC, same DESC) AS r2 FROM sc) WHERE r1 = 1 AND r2 = 1)
+SELECT f AS file_id, 'renamed' AS change_kind, old_name, new_name FROM ren
+UNION ALL SELECT r.f, 'retyped', old_name, new_name FROM ren r JOIN gone g ON r.f = g.f AND r.old_name = g.k JOIN came n ON r.f = n.f AND r.new_name = n.k WHERE g.jt <> n.jt
+UNION ALL SELECT cur.f, 'retyped', cur.k, cur.k FROM cur JOIN old ON cur.f = old.f AND cur.k = old.k WHERE cur.jt <> old.jt
+UNION ALL SELECT g.f, 'removed', g.k, '' FROM gone g ANTI JOIN ren ON g.f = ren.f AND g.k = ren.old_name
+UNION ALL SELECT n.f, 'added', '', n.k FROM came n ANTI JOIN ren ON n.f = ren.f AND n.k = ren.new_name
+""",
+    "p6_found": r"""
+WITH v AS (
+  SELECT 'sample_lib' AS rec_table, lib_row_id AS rec_id, source_id, unnest(['irt', 'tr_recalibrated']) AS field_name, unnest([irt, tr_recalibrated]) AS value FROM sample_lib
+  UNION ALL SELECT 'elution_groups', eg_id, source_id, 'rt_seconds', CAST(rt_seconds AS VARCHAR) FROM elution_groups WHERE NOT isnan(rt_seconds)),
+t AS (SELECT *, regexp_replace(regexp_replace(trim(replace(replace(replace(lower(value), chr(160), ' '), chr(8722), '-'), ',', '.')), '^rt ', ''), '\s+', ' ', 'g') AS x FROM v WHERE value IS NOT NULL),
+s AS (SELECT source_id, CASE
+    WHEN regexp_full_match(lower(trim(rt_unit)), 'ms|msec|milliseconds?') THEN 1
+    WHEN regexp_full_match(lower(trim(rt_unit)), 's|secs?\.?|seconds?') THEN 1000
+    WHEN regexp_full_match(lower(trim(rt_unit)), 'm|mins?\.?|minutes?') THEN 60000
+    WHEN regexp_full_match(lower(trim(rt_unit)), 'h|hrs?|hours?') THEN 3600000
+    WHEN regexp_matches(lower(note), 'hundredths of a minute|0\.01 min') THEN 600
+    WHEN regexp_matches(n, '\b(ms|milliseconds?)\b') THEN 1
+    WHEN regexp_matches(n, '\b(seconds?|sekunden)\b') THEN 1000
+    WHEN regexp_matches(n, '\b(hours?|h-based)\b') THEN 3600000
+    WHEN regexp_matches(n, '\b(minutes?)\b') THEN 60000 END AS factor
+  FROM (SELECT *, regexp_replace(lower(note), '[0-9]+ ?(ms|s|min|h)\b', '', 'g') AS n FROM library_sources)),
+p AS (SELECT rec_table, rec_id, field_name, source_id, x, TRY_CAST(x AS DOUBLE) AS num,
+  regexp_extract(x, '^(-?[0-9.]+(?:e[+-]?[0-9]+)?) ?\[?([a-z]+)\.?\]?$', 1) AS a, regexp_extract(x, '^(-?[0-9.]+(?:e[+-]?[0-9]+)?) ?\[?([a-z]+)\.?\]?$', 2) AS u FROM t),
+c AS (SELECT p.*, s.factor, CASE
+    WHEN num IS NOT NULL AND NOT isnan(num) AND NOT isinf(num) THEN num * coalesce(factor, CASE field_name WHEN 'rt_seconds' THEN 1000 ELSE 60000 END)
+    WHEN u IN ('ms', 'msec', 'milliseconds') THEN CAST(a AS DOUBLE)
+    WHEN u IN ('s', 'sec', 'seconds') THEN CAST(a AS DOUBLE) * 1000
+    WHEN u IN ('m', 'min', 'minutes') THEN CAST(a AS DOUBLE) * 60000
+    WHEN u IN ('h', 'hr', 'hours') THEN CAST(a AS DOUBLE) * 3600000
+    WHEN regexp_full_match(x, '-?[0-9]+:[0-9]+:[0-9.]+') THEN (CASE WHEN x[1] = '-' THEN -1 ELSE 1 END) * (CAST(ltrim(split_part(x, ':', 1), '-') AS DOUBLE) * 3600 + CAST(split_part(x, ':', 2) AS DOUBLE) * 60 + CAST(split_part(x, ':', 3) AS DOUBLE)) * 1000
+    WHEN regexp_full_match(x, '-?[0-9]+:[0-9.]+') THEN (CASE WHEN x[1] = '-' THEN -1 ELSE 1 END) * (CAST(ltrim(split_part(x, ':', 1), '-') AS DOUBLE) * 60 + CAST(split_part(x, ':', 2) AS DOUBLE)) * 1000
+    WHEN regexp_full_match(x, '-?pt([0-9.]+h)?([0-9.]+m)?([0-9.]+s)?') OR regexp_full_match(x, '-?[0-9]+ min [0-9.]+ s') THEN (CASE WHEN x[1] = '-' THEN -1 ELSE 1 END) * (
+      coalesce(TRY_CAST(regexp_extract(x, '([0-9.]+)h', 1) AS DOUBLE), 0) * 3600 + coalesce(TRY_CAST(regexp_extract(x, '([0-9.]+) ?m', 1) AS DOUBLE), 0) * 60 + coalesce(TRY_CAST(regexp_extract(x, '([0-9.]+) ?s', 1) AS DOUBLE), 0)) * 1000 END AS ms
+  FROM p LEFT JOIN s ON p.source_id = s.source_id)
+SELECT rec_table, rec_id, field_name, CAST(round(round(ms, 4)) AS BIGINT) AS rt_ms FROM c WHERE ms IS NOT NULL
 """,
 }
