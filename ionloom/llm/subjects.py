@@ -164,7 +164,7 @@ class Scorer:
     def word(self, x: str) -> np.ndarray:
         v = self.words.get(x)
         if v is None:
-            if len(self.words) > 200_000:
+            if len(self.words) > 100_000:
                 self.words.clear()
             v = self.words[x] = self.ew[features(x)].mean(axis=0)
         return v
@@ -188,7 +188,7 @@ def document_subjects(text: str, scorer: Scorer, quoted: frozenset, footers: fro
             words = [x for x in key if x != "0"]
             runs = sum(key[j : j + QUOTE_RUN] in quoted for j in range(len(key) - QUOTE_RUN + 1))
             k = -1 if not words or runs >= 2 else scorer.subject(words)
-            if len(memo) > 200_000:
+            if len(memo) > 50_000:
                 memo.clear()
             memo[key] = k
         if k >= 0 and not (i == len(all_) - 1 and key in footers):
@@ -207,27 +207,41 @@ def quoted_runs(items: DataFrame | None) -> frozenset:
     return frozenset(out)
 
 
-def page_footers(documents: DataFrame) -> frozenset:
-    """Shapes of sentences that stand (nearly) only at the end of documents and do so in many of them."""
+def _counted(documents: DataFrame, shapes) -> DataFrame:
+    """(shape, n): how often each shape that ``shapes`` picks from a document's sentences occurs; counts
+    leave batch by batch, so no task holds those of all its documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, inside, docs = Counter(), Counter(), 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                keys = [shape(s) for s in sentences(text or "")]
-                if keys:
-                    docs += 1
-                    last[keys[-1]] += 1
-                    inside.update(set(keys[:-1]))
-        rows = [(" ".join(k), n, inside[k]) for k, n in last.items()] + [("", docs, 0)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["shape", "n_last", "n_inside"])
-
-    got = documents.select(F.col("text").cast("string")).mapInArrow(count, "shape string, n_last long, n_inside long").groupBy("shape").agg(F.sum("n_last").alias("n_last"), F.sum("n_inside").alias("n_inside"))
-    got = stored(got)
-    docs = got.filter("shape = ''").agg(F.max("n_last")).first()[0] or 0
-    least = max(5, docs // MAX_FOOTERS)
-    rows = got.filter((F.col("shape") != "") & (F.col("n_last") >= least) & (F.col("n_inside") * 9 <= F.col("n_last"))).collect()
-    return frozenset(tuple(r["shape"].split(" ")) for r in rows)
+            got = Counter(k for text in b.column(0).to_pylist() if text for k in shapes(sentences(text)))
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(k) for k in got], pa.string()), pa.array(list(got.values()), pa.int64())], names=["shape", "n"])
+
+    return documents.select(F.col("text").cast("string")).mapInArrow(count, "shape string, n long").groupBy("shape").agg(F.sum("n").alias("n"))
+
+
+def page_footers(documents: DataFrame) -> frozenset:
+    """Shapes of sentences that stand (nearly) only at the end of documents and do so in many of them.
+
+    First the last sentences are counted; those of at least 1/MAX_FOOTERS of the documents are so few that
+    their other places can be counted by name in a second pass."""
+    least = max(5, documents.count() // MAX_FOOTERS)
+    last = {tuple(r["shape"].split(" ")): r["n"] for r in _counted(documents, lambda found: [shape(s) for s in found[-1:]]).filter(F.col("n") >= least).collect()}
+    if not last:
+        return frozenset()
+    heads = {k[0] for k in last}
+
+    def elsewhere(found: list[str]) -> list[tuple[str, ...]]:
+        out = []
+        for s in found[:-1]:
+            m = TOKENS.search(s)
+            if m and ("0" if m.group()[0].isdigit() else m.group().casefold()) in heads:
+                k = shape(s)
+                if k in last:
+                    out.append(k)
+        return out
+
+    inside = {tuple(r["shape"].split(" ")): r["n"] for r in _counted(documents, elsewhere).collect()}
+    return frozenset(k for k, n in last.items() if inside.get(k, 0) * 9 <= n)
 
 
 def training_sentences(documents: DataFrame, labels: DataFrame, names: list[str], quoted: frozenset, limit: int = MAX_LABELLED) -> DataFrame:
