@@ -19,9 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LAST = "\U0010ffff" * 4
-
-
 def _codes(column: pa.ChunkedArray) -> np.ndarray:
     """Ranks of the values in byte order; null is 0."""
     d = column.combine_chunks().dictionary_encode()
@@ -103,11 +100,13 @@ def merge_runs(t: pa.Table, n: int) -> tuple[list[int], list[int]]:
     ends = np.flatnonzero(change) + 1
     nxt = np.repeat(ends, np.diff(np.r_[0, ends])).tolist()
     mz = t["tie_num"].fill_null(float("inf")).to_numpy()
-    mz = np.nan_to_num(mz, nan=np.finfo(float).max, posinf=np.inf).tolist()
-    labels = t["k2"].fill_null(LAST).to_pylist()
-    keys = list(zip(grp.tolist(), (-t["score"].to_numpy().astype(float)).tolist(), mz, labels, t["rid"].to_pylist()))
+    mz = np.nan_to_num(mz, nan=np.finfo(float).max, posinf=np.inf)
+    label = _codes(t["k2"])
+    label = np.where(label == 0, np.iinfo(np.int64).max, label)
+    # Keys are made only where a cursor stands; the bucket itself stays in arrays.
+    g, s, m, k, r = grp.item, (-t["score"].to_numpy().astype(float)).item, mz.item, label.item, t["rid"].to_numpy().item
     cursor, end = bounds[:-1].tolist(), bounds[1:].tolist()
-    tree = LoserTree([keys[i] for i in cursor])
+    tree = LoserTree([(g(i), s(i), m(i), k(i), r(i)) for i in cursor])
     out, ranks, group, taken = [], [], None, 0
     key = tree.key
     while True:
@@ -126,7 +125,7 @@ def merge_runs(t: pa.Table, n: int) -> tuple[list[int], list[int]]:
         else:
             at = nxt[at]
         cursor[w] = at
-        key[w] = keys[at] if at < end[w] else END
+        key[w] = (g(at), s(at), m(at), k(at), r(at)) if at < end[w] else END
         tree.replay(w)
 
 
@@ -160,6 +159,8 @@ def top_items(rows: DataFrame, n: int = 8, group: str = "eg_id", row_id: str = "
         F.col(score).cast("double").alias("score"), F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(version).cast("timestamp_ntz")).alias("version"), F.col(row_id).cast("long").alias("rid"),
     ).filter("grp is not null and rid is not null")
     stored = "grp long, rid long, score double, tie_num double, k2 string, seq long"
-    runs = d.repartition("grp", "k1", "k2", "tie_num").mapInArrow(_runs(n), stored).withColumn("run", F.spark_partition_id())
-    buckets = runs.repartition("grp").sortWithinPartitions("run", "seq")
+    # As many parts as the session says: fewer and larger ones would not fit a Python worker.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = d.repartition(parts, "grp", "k1", "k2", "tie_num").mapInArrow(_runs(n), stored).withColumn("run", F.spark_partition_id())
+    buckets = runs.repartition(parts, "grp").sortWithinPartitions("run", "seq")
     return buckets.mapInArrow(_merged(n), "grp long, rid long, score double, tie_num double, k2 string, rank int")
