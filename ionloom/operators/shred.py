@@ -119,16 +119,24 @@ def classify(value):
 def label_text(label, position: int) -> str:
     """Text labels as they are; objects as series, ordinal, isotope, charge; none as the position."""
     if isinstance(label, dict):
-        isotope, charge = label.get("isotope") or 0, label.get("charge") or 1
-        return f"{label.get('series')}{label.get('ordinal')}" + ("" if isotope == 0 else "+i" if isotope == 1 else f"+{isotope}i") + (f"^{charge}" if charge > 1 else "")
-    return str(position) if label is None else str(label)
+        isotope, charge = _number(label.get("isotope"), int) or 0, _number(label.get("charge"), int) or 1
+        name = "".join(str(label[k]) for k in ("series", "ordinal") if label.get(k) is not None)
+        return _text(name) + ("" if isotope == 0 else "+i" if isotope == 1 else f"+{isotope}i") + (f"^{charge}" if charge > 1 else "")
+    return str(position) if label is None else _text(str(label))
 
 
-def _number(v, kind=float):
+def _text(s: str) -> str:
+    """Half surrogate pairs, which JSON may name but no text may hold, as the replacement character."""
+    return s if s.isascii() else s.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _number(v, kind=float, bits: int = 64):
+    """A number of that kind; null for what is none or doesn't fit."""
     try:
-        return None if v is None or isinstance(v, bool) else kind(v)
+        n = None if v is None or isinstance(v, bool) else kind(v)
     except (TypeError, ValueError, OverflowError):
         return None
+    return None if kind is int and n is not None and not -(1 << bits - 1) <= n < 1 << bits - 1 else n
 
 
 def _parallel(group: dict):
@@ -169,7 +177,7 @@ def shred_payload(record_id, payload, emit: frozenset[str]) -> Iterator[tuple]:
         if "element" in emit:
             p = element.get("precursor") if isinstance(element.get("precursor"), dict) else {}
             seq, decoy = p.get("sequence"), p.get("decoy")
-            yield ("element", state, record_id, e, None, None, seq if isinstance(seq, str) else None, _number(p.get("charge"), int), decoy if isinstance(decoy, bool) else None, _number(p.get("decoy_group"), int)) + (None,) * 8
+            yield ("element", state, record_id, e, None, None, _text(seq) if isinstance(seq, str) else None, _number(p.get("charge"), int, 32), decoy if isinstance(decoy, bool) else None, _number(p.get("decoy_group"), int)) + (None,) * 8
         for g, group in enumerate([groups] if alone else groups):
             if not isinstance(group, dict):
                 continue
@@ -180,7 +188,7 @@ def shred_payload(record_id, payload, emit: frozenset[str]) -> Iterator[tuple]:
             rows = None if rows is None else list(rows)
             if "group" in emit:
                 yield (
-                    "group", shape, record_id, e, g, None, None, _number(group.get("precursor_charge"), int), None, None, _number(group.get("id"), int),
+                    "group", shape, record_id, e, g, None, None, _number(group.get("precursor_charge"), int, 32), None, None, _number(group.get("id"), int),
                     _number(group.get(_named(group, PRECURSOR_MZ_NAMES))), _number(group.get(_named(group, MOBILITY_NAMES))), _number(group.get("rt_seconds")), None if rows is None else len(rows), None, None, None,
                 )
             if "fragment" in emit and rows:

@@ -57,3 +57,13 @@ def test_alias_table_follows_renames(spark):
 def test_same_on_any_partitioning(spark, sf):
     df = spark.read.parquet(f"{sf}/eg_exports.parquet")
     assert got(df) == got(df.repartition(13))
+
+
+def test_clashing_columns_and_long_values(spark):
+    from pyspark.sql import functions as F
+
+    long = "x" * 300_000
+    df = frame(spark, [(1, "s", 0, [{"id": 1, "note": long}]), (2, "s", 1, [{"id": 1, "memo": long, "we ird.name'": 1}])])
+    odd = df.withColumns({c: F.lit("clash") for c in ("field", "value", "jtype", "id", "file_no", "seq", "k", "old_name", "q", "key")})
+    assert got(odd) == got(df) == [(2, "added", "", "we ird.name'"), (2, "renamed", "note", "memo")]
+    assert landed(odd).count() == 2

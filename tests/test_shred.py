@@ -1,6 +1,9 @@
 import json
 
-from ionloom.operators.shred import KEYS, shred, subtype_tables
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ionloom.operators.shred import KEYS, _batch, shred, shred_payload, subtype_tables
 
 EG = {"id": 1, "precursor_mz": 500.5, "fragment_mzs": [1.0, 2.0], "fragment_intensities": [0.5, 0.6], "fragment_labels": ["y1", "y2"]}
 
@@ -53,3 +56,22 @@ def test_long_and_empty(spark):
     df = spark.createDataFrame([(1, json.dumps(big))], "record_id long, payload string")
     assert shred(df, ("fragment",)).count() == n
     assert shred(df.limit(0)).count() == 0
+
+
+leaf = st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False) | st.text(max_size=6) | st.sampled_from(["y4", "[1]", '{"series": "y", "ordinal": 1}', "\ud800"])
+names = st.sampled_from(["elements", "elution_group", "precursor", "fragment_mzs", "fragment_mz", "fragment_labels", "fragment_intensities", "fragments", "series", "ordinal", "isotope", "charge", "mz", "label", "intensity", "id", "sequence", "decoy_group", "precursor_charge", "x"])
+trees = st.recursive(leaf, lambda t: st.lists(t, max_size=4) | st.dictionaries(names, t, max_size=5), max_leaves=25)
+
+
+@settings(max_examples=400, deadline=None)
+@given(trees)
+def test_any_json_is_read_or_rejected(tree):
+    rows = list(shred_payload(1, json.dumps({"precursor": {}, "elution_group": tree}), frozenset({"element", "group", "fragment", "reject"})))
+    rows += list(shred_payload(1, json.dumps(tree), frozenset({"element", "group", "fragment", "reject"})))
+    assert rows and _batch(rows).num_rows == len(rows)
+
+
+def test_odd_labels_and_huge_numbers(spark):
+    labels = [{"series": "y", "ordinal": 1, "charge": "2", "isotope": None}, {"series": None, "ordinal": 3}, 7, "\ud83d"]
+    eg = {"id": 10**30, "precursor_charge": 2**40, "fragment_mzs": [1, 2, 3, 4], "fragment_intensities": [1, "x", None, 1e308], "fragment_labels": labels}
+    assert [r[4] for r in frags(spark, [json.dumps({"precursor": None, "elution_group": eg})])] == ["y1^2", "3", "7", "\ufffd"]

@@ -41,3 +41,8 @@ def test_mixture_assigns_missing_units(spark):
     got = times(spark, known + missing, sources, fallback="posterior")
     assert got[900] == 600000 and got[-1] == round((10 + 299 * 0.3) * 60_000)
     assert times(spark, known + missing, sources)[900] == 600000 * 60000
+
+
+def test_long_and_repeated_values(spark):
+    v = ["1" * 50_000, "1." + "0" * 50_000 + " min", "a" * 50_000, "5 min", "5 min"]
+    assert times(spark, [(None, "irt", x) for x in v]) == [None, 60000, None, 300000, 300000]
