@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.functions.ranges import Tolerance, isotope_mz, rt_range_ms
+from ionloom.functions.ranges import Tolerance, Width, isotope_mz, rt_range_ms
 from ionloom.operators import extract, interval
 from ionloom.runtime import sized_join
 from ionloom.sources import peaks as peak_source
@@ -104,6 +104,29 @@ class Run:
         ions = self.ions(groups, t)
         return extract.chromatograms(ions, self.matches(ions, t))
 
+    def query_chromatogram_into(self, groups: DataFrame, cycle_lo: int, cycle_hi: int, t: Tolerance = Tolerance()) -> DataFrame:
+        """Chromatograms on a given window of cycles: the tolerance's window is cut to it, and groups whose
+        windows don't meet give nothing."""
+        ions = self.ions(groups, t)
+        cut = ions.withColumn("cycle_lo", F.greatest("cycle_lo", F.lit(cycle_lo))).withColumn("cycle_hi", F.least("cycle_hi", F.lit(cycle_hi))).filter("cycle_lo <= cycle_hi")
+        whole = cut.withColumns({"cycle_lo": F.lit(cycle_lo), "cycle_hi": F.lit(cycle_hi)})
+        return extract.chromatograms(whole, self.matches(cut, t))
+
+    def mobility_view(self, groups: DataFrame, t: Tolerance = Tolerance()) -> DataFrame:
+        """Mass and mobility of each ion around the groups' time: 5 seconds to either side, twice the mobility."""
+        return self.query_mz_mobility(groups, t.widened_mobility(2).with_rt(Width("minutes", 5 / 60, 5 / 60)))
+
+    def query_chromatograms_batch(self, groups: DataFrame, tolerances: list[tuple[int, Tolerance]]) -> DataFrame:
+        """Chromatograms of groups with a tolerance each: (id, tolerance) pairs; equal ones are asked together."""
+        by: dict[Tolerance, list[int]] = {}
+        for i, t in tolerances:
+            by.setdefault(t, []).append(i)
+        out = None
+        for t, ids in by.items():
+            part = self.query_chromatogram(groups.filter(F.col("id").isin(ids)), t)
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def query_chromatograms_iter(self, groups: Iterable[dict], t: Tolerance = Tolerance(), chunk: int = 256) -> Iterator[list]:
         """Answers to an iterable of groups, a chunk at a time."""
         spark, block = self.peaks.sparkSession, []

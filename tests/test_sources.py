@@ -145,6 +145,13 @@ def test_index_round_trip_and_api(spark, tmp_path):
     assert spec["p0"] > spec["p1"] > 0 and run.query_point(gd, t).first().intensity == pytest.approx(sum(spec.values()), rel=1e-6)
     st = {r.ion: r for r in run.query_mz_mobility(gd, t).collect()}
     assert st["y3"].mobility == pytest.approx(e.mobility, rel=0.01)
+    into = run.query_chromatogram_into(gd, 0, 599, t).collect()
+    assert {len(r.chromatogram) for r in into} == {600} and sum(into[0].chromatogram) == pytest.approx(sum(next(r for r in got if r.ion == into[0].ion).chromatogram))
+    assert run.query_chromatogram_into(gd, 0, 1, t).count() == 0
+    view = {r.ion: r for r in run.mobility_view(gd).collect()}
+    assert view["y4"].mobility == pytest.approx(e.mobility, rel=0.02)
+    each = run.query_chromatograms_batch(gd.unionByName(gd.withColumn("id", F.lit(2).cast("long"))), [(1, t), (2, Tolerance(rt=Width("minutes", 0.1, 0.1)))])
+    assert {(r.query_id, len(r.chromatogram)) for r in each.collect()} == {(1, 61), (2, 13)}
     for bad in ("s3://b/x.mzML", "/x/y.unknown"):
         with pytest.raises(ValueError):
             registry.open_run(spark, bad)
