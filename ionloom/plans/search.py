@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.functions.chemistry import averagine, carbons_sulphurs, ion_parts, isotope_envelope, shifted
+from ionloom.functions.chemistry import averagine, bare, carbons_sulphurs, ion_parts, isotope_envelope, shifted
 from ionloom.functions.ranges import NEUTRON, Tolerance, Width, window_overlaps
 from ionloom.operators import calibrate, extract, fdr, features, interval, traces
 from ionloom.plans import rescoring
@@ -43,11 +43,11 @@ def variants(library: DataFrame, decoys: str) -> DataFrame:
     return out.withColumn("is_target", F.col("is_target") & (F.col("variant") == 0))
 
 
-def query_table(library: DataFrame, runs: DataFrame, settings: Settings) -> DataFrame:
+def query_table(library: DataFrame, n_runs: int, settings: Settings) -> DataFrame:
     """One row per run, entry and variant: query_id, ranges and the fragments kept (the eight highest)."""
     top = F.slice(F.sort_array(F.transform("fragments", lambda f, i: F.struct(f.intensity.alias("h"), (-i).alias("p"), f.alias("f"))), asc=False), 1, TOP_FRAGMENTS)
     q = variants(library, settings.decoys).filter(F.size("fragments") > 0).withColumn("fragments", F.transform(top, lambda s: s.f))
-    q = q.join(F.broadcast(runs), F.lit(True))
+    q = q.withColumn("run_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_runs - 1).cast("long"))))
     q = q.withColumn("query_id", F.col("run_no") * (1 << 40) + F.col("library_id") * 4 + F.col("variant"))
     lo, hi = settings.tolerance.mobility.around(F.col("mobility"))
     sign = F.when(F.col("variant") == 1, 14.0).when(F.col("variant") == 2, -14.0).otherwise(0.0)
@@ -66,10 +66,12 @@ def ions_of(queries: DataFrame, windows: DataFrame, settings: Settings) -> DataF
     # A run has tens of windows; their join is a filter.
     ms2 = sized_join(f, windows.select("run_no", "window_id", *SHAPE), ["run_no"], "inner").withColumn("_a", a).withColumn("_b", b).filter(hit)
     ms2 = ms2.withColumn("im_lo", F.greatest("im_lo", "_a")).withColumn("im_hi", F.least("im_hi", "_b")).withColumn("level", F.lit(2))
-    c, s = carbons_sulphurs(F.regexp_replace("sequence", r"\[[^\]]*\]|\([^)]*\)|[_\-]", ""))
+    # In steps, each a column of its own, so that no atom count is written out more than once.
+    plain = queries.withColumn("_seq", bare(F.col("sequence")))
+    c, s = carbons_sulphurs(F.col("_seq"))
     ac, as_ = averagine(F.col("mono") * F.col("charge"))
-    env = isotope_envelope(F.coalesce(c, ac), F.coalesce(s, as_))
-    ms1 = queries.select("query_id", "run_no", "mono", "charge", "im_lo", "im_hi", "cycle_lo", "cycle_hi", F.posexplode(env).alias("k", "expected"))
+    atoms = plain.withColumn("_c", F.coalesce(c, ac)).withColumn("_s", F.coalesce(s, as_))
+    ms1 = atoms.select("query_id", "run_no", "mono", "charge", "im_lo", "im_hi", "cycle_lo", "cycle_hi", F.posexplode(isotope_envelope(F.col("_c"), F.col("_s"))).alias("k", "expected"))
     ms1 = ms1.withColumn("ion", F.concat(F.lit("p"), F.col("k").cast("string"))).withColumn("center", F.col("mono") + F.col("k") * NEUTRON / F.col("charge")).withColumn("window_id", F.lit(-1)).withColumn("level", F.lit(1))
     cols = ["query_id", "run_no", "window_id", "ion", "level", "expected", "center", "im_lo", "im_hi", "cycle_lo", "cycle_hi"]
     both = ms2.select(*[F.col(x).cast("int") if x == "window_id" else F.col(x) for x in cols]).unionByName(ms1.select(*cols))
@@ -177,13 +179,14 @@ def search(library: DataFrame, peaks: DataFrame, cycles: DataFrame, windows: Dat
     runs = stored(numbered(cycles.select("run_id").distinct().withColumn("one", F.lit(1)), ["one"], ["run_id"], "run_no").drop("one"))
     tag = lambda d: sized_join(d, runs, ["run_id"], "inner")
     peaks, cycles, windows = tag(peaks), stored(tag(cycles)), tag(windows)
-    queries = stored(query_table(library, runs, settings))
+    n_runs = runs.count()
+    queries = stored(sized_join(query_table(library, n_runs, settings), runs, ["run_no"], "inner"))
     wide = with_windows(queries, cycles, None)
     cal = calibration(prescore(wide, windows, peaks, settings), wide, cycles, settings)
     narrow = stored(with_windows(queries, cycles, cal))
     scored = stored(score(narrow, windows, peaks, settings))
     cal.mz_ppm, cal.mobility_pct = tolerances(scored, settings)
-    won = fdr.competition(scored, "decoy_group", "charge", "main_score", "query_id") if runs.count() == 1 else fdr.competition(scored.withColumn("_g", F.struct("run_no", "decoy_group")), "_g", "charge", "main_score", "query_id").drop("_g")
+    won = fdr.competition(scored, "decoy_group", "charge", "main_score", "query_id") if n_runs == 1 else fdr.competition(scored.withColumn("_g", F.struct("run_no", "decoy_group")), "_g", "charge", "main_score", "query_id").drop("_g")
     obs = sized_join(won.withColumnRenamed("apex", "cycle"), cycles.select("run_no", "cycle", "rt_ms"), ["run_no", "cycle"], "left")
     table = obs.withColumn("obs_rt_seconds", F.col("rt_ms") / 1000).withColumn("rt_error_abs", F.abs(F.col("obs_rt_seconds") - F.col("rt_calibrated"))).withColumn("ms1_ppm_abs", F.abs("ms1_ppm")).withColumn("ms2_ppm_abs", F.abs("ms2_ppm")).withColumn("mobility_pct_abs", F.abs(F.col("obs_mobility") - F.col("mobility")) / F.col("mobility") * 100)
     table = stored(table.withColumnRenamed("cycle", "apex"))

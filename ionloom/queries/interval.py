@@ -155,7 +155,8 @@ def j02_fragment_query(spark: SparkSession, sf: str) -> DataFrame:
     """Ions by window: the mobility range is cut to what the window isolates."""
     h = _hits(spark, sf).select("query_id", "window_id", "im_from", "im_to")
     i = S.ions(spark, sf).join(h, "query_id").withColumn("im_lo", F.greatest("im_lo", "im_from")).withColumn("im_hi", F.least("im_hi", "im_to"))
-    m = interval.range_join(S.peaks(spark, sf), i, "mz", "mz_lo", "mz_hi", ("window_id",), residual=S.residual(), log=True, width=4e-4)
+    i = i.select("query_id", "ion", "window_id", "mz_lo", "mz_hi", "cycle_lo", "cycle_hi", "im_lo", "im_hi")
+    m = interval.range_join(S.peaks(spark, sf).drop("peak_id"), i, "mz", "mz_lo", "mz_hi", ("window_id",), residual=S.residual(), log=True, width=4e-4)
     return m.groupBy("query_id", "ion").agg(F.count(F.lit(1)).alias("n_peaks"), F.sum("intensity").alias("intensity"))
 
 

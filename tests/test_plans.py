@@ -23,6 +23,18 @@ def test_search_recovers_simulated_entries(spark):
     assert (hits.obs_rt_seconds - (hits.rt_seconds * 1.02 + 8)).abs().median() < 3
 
 
+def test_search_of_two_runs_at_once(spark):
+    lib = simulator.library(25)
+    frames = [simulator.run(lib, present=0.9, seed=k, noise=2000, offset=o) for k, o in ((7, 8.0), (8, 20.0))]
+    peaks, cycles, windows = (spark.createDataFrame(pd.concat([f[i] for f in frames], ignore_index=True)) for i in range(3))
+    library = spark.createDataFrame(lib.to_dict("records"), simulator.LIBRARY_SCHEMA)
+    p = search(library, peaks, cycles, windows, Settings(bins=30, rounds=2, decoys="never"))[0].toPandas()
+    for k, (run_id, g) in enumerate(sorted(p.groupby("run_id"))):
+        there = g[g.library_id.isin(frames[k][3])]
+        assert len(there) >= 0.7 * len(frames[k][3]), run_id
+    assert p.groupby(["run_id", "decoy_group", "charge"]).size().max() == 1
+
+
 def test_rescoring_ranks(spark):
     rows = [(i, bool(i % 2), float(i % 2) + (i * 7919 % 100) / 120, None if i % 9 == 0 else float(i % 5)) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, is_target boolean, a double, b double")
