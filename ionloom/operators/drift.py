@@ -143,11 +143,12 @@ def changes(exports: DataFrame, agreement: float = AGREEMENT) -> DataFrame:
 
 
 def alias_table(renames: DataFrame | None = None) -> dict[str, tuple[str, tuple[str, ...]]]:
-    """CANONICAL with the names that renames link to a known one. The names of fields are few; still, at
-    most 10,000 distinct links are read."""
+    """CANONICAL with the names that renames link to a known one. All distinct links are read (the names of
+    fields are few); where links disagree, the one found in more files counts, then the first by name."""
     table = {k: (t, list(names)) for k, (t, names) in CANONICAL.items()}
     if renames is not None:
-        links = renames.filter("change_kind = 'renamed'").select("old_name", "new_name").distinct().limit(10_000).collect()
+        found = renames.filter("change_kind = 'renamed'").groupBy("old_name", "new_name").agg(F.count(F.lit(1)).alias("n")).collect()
+        links = [(r.old_name, r.new_name) for r in sorted(found, key=lambda r: (-r.n, r.old_name, r.new_name))]
         home = {n: k for k, (_, names) in table.items() for n in names}
         again = True
         while again:
@@ -166,23 +167,34 @@ def _cast_to(kind: str):
 
 
 def landed(exports: DataFrame, aliases: dict[str, tuple[str, tuple[str, ...]]] | None = None) -> DataFrame:
-    """Every record in one table: per quantity the first non-null of its names, cast to its type; names
-    that belong to no quantity are kept in the map ``other``. One pass, no shuffle."""
+    """Every record in one table: per quantity the first non-null of its names, cast to its type; whatever
+    else the payload holds is kept in the map ``other`` as JSON: names that belong to no quantity, further
+    values of one, and values its type can't hold. One pass, no shuffle."""
+    aliases = aliases or CANONICAL
     v = exports.select("export_row_id", "export_stream", "file_id", "exported_at", "record_no", F.try_parse_json(F.col("payload").cast("string")).alias("_il_v"))
-    out = [F.try_variant_get("_il_v", "$.id", "long").alias("id")]
-    for name, (kind, names) in (aliases or CANONICAL).items():
-        texts = [F.try_variant_get("_il_v", f"$['{n}']", "string") for n in names]
-        text = F.coalesce(*texts)
-        text = F.coalesce(*[F.coalesce(F.try_variant_get("_il_v", f"$['{n}'].value", "string"), t) for n, t in zip(names, texts)])
+    fields = F.try_variant_get("_il_v", "$", "map<string,variant>")
+    # A path can't quote every name.
+    part = lambda n, path, kind: F.try_variant_get("_il_v", f"$['{n}']{path}", kind) if "'" not in n and "\\" not in n else F.try_variant_get(F.try_element_at(fields, F.lit(n)), f"${path}", kind)
+    base = ["export_row_id", "export_stream", "file_id", "exported_at", "record_no"]
+    firsts, tokens, got, whole = {}, {}, {}, [F.when(F.col("id").isNotNull(), F.lit("id"))]
+    for name, (kind, names) in aliases.items():
+        texts = [(n, F.coalesce(part(n, ".value", "string"), part(n, "", "string"))) for n in names]
+        firsts[f"_il_t_{name}"] = F.coalesce(*[F.when(t.isNotNull(), F.struct(F.lit(n).alias("name"), t.alias("text"))) for n, t in texts])
+        text, cut, x = F.col(f"_il_t_{name}.text"), F.col(f"_il_k_{name}"), F.col(name)
+        tokens[f"_il_k_{name}"] = F.filter(F.split(F.regexp_replace(text, r'"\w+":', " "), r'[\s\[\]{}",;|]+'), lambda t: t != "")
+        inner = kind[6:-1] if kind.startswith("array<") else None
         if kind == "string":
-            out.append(text.alias(name))
-            continue
-        tokens = F.filter(F.split(F.regexp_replace(text, r'"\w+":', " "), r'[\s\[\]{}",;|]+'), lambda t: t != "")
-        if kind.startswith("array<"):
-            inner = kind[6:-1]
-            out.append((tokens if inner == "string" else F.transform(tokens, _cast_to(inner))).alias(name))
-        elif kind == "boolean":
-            out.append(F.get(tokens, 0).try_cast("boolean").alias(name))
+            got[name], ok = text, F.lit(True)
+        elif inner:
+            got[name] = cut if inner == "string" else F.transform(cut, _cast_to(inner))
+            ok = F.lit(True) if inner == "string" else ~F.exists(x, lambda t: t.isNull())
         else:
-            out.append(F.get(tokens, 0).try_cast("double").cast(kind).alias(name))
-    return v.select("export_row_id", "export_stream", "file_id", "exported_at", "record_no", *out)
+            got[name] = F.get(cut, 0).try_cast("boolean") if kind == "boolean" else F.get(cut, 0).try_cast("double").cast(kind)
+            ok = x.isNotNull() & (F.size(cut) == 1)
+        whole.append(F.when(ok, F.col(f"_il_t_{name}.name")))
+    # In steps, so that nothing is worked out twice.
+    rows = v.select(*base, F.try_variant_get("_il_v", "$.id", "long").alias("id"), fields.alias("_il_f"), *[c.alias(k) for k, c in firsts.items()]).withColumns(tokens).withColumns(got)
+    rows = rows.withColumn("_il_w", F.array_compact(F.array(*whole)))
+    known = F.array(*[F.lit(n) for n in ["id", *(n for _, names in aliases.values() for n in names)]])
+    rest = F.map_filter("_il_f", lambda k, x: ~(F.array_contains("_il_w", k) | (F.is_variant_null(x) & F.array_contains(known, k))))
+    return rows.select(*base, "id", *aliases, F.transform_values(rest, lambda k, x: F.to_json(x)).alias("other"))

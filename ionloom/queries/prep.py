@@ -41,7 +41,8 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_landed(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.landed(table(spark, sf, "eg_exports"))
+    exports = table(spark, sf, "eg_exports")
+    return drift.landed(exports, drift.alias_table(drift.changes(exports)))
 
 
 def p4_lifespans(spark: SparkSession, sf: str) -> DataFrame:

@@ -67,3 +67,17 @@ def test_clashing_columns_and_long_values(spark):
     odd = df.withColumns({c: F.lit("clash") for c in ("field", "value", "jtype", "id", "file_no", "seq", "k", "old_name", "q", "key")})
     assert got(odd) == got(df) == [(2, "added", "", "we ird.name'"), (2, "renamed", "note", "memo")]
     assert landed(odd).count() == 2
+
+
+def test_landed_finds_renames_and_keeps_the_rest(spark, tmp_path):
+    from ionloom.queries.prep import QUERIES
+
+    files = [
+        (1, "s", 0, [{"id": 1, "rt": 10.5, "note": "x"}, {"id": 2, "rt": 20.5, "note": "y"}]),
+        (2, "s", 1, [{"id": 1, "elu'ted": 10.5, "depth": {"a": [1, None]}}, {"id": 2, "elu'ted": "20.5", "note": None}]),
+        (3, "s", 2, [{"id": "x9", "rt": 1, "rt_seconds": 2, "z": "two"}, "[1]"]),
+    ]
+    frame(spark, files).write.parquet(str(tmp_path / "eg_exports.parquet"))
+    rows = QUERIES["p4_landed"](spark, str(tmp_path)).orderBy("export_row_id").collect()
+    assert [r.rt_seconds for r in rows] == [10.5, 20.5, 10.5, 20.5, 2.0, None]
+    assert [r.other for r in rows] == [{"note": '"x"'}, {"note": '"y"'}, {"depth": '{"a":[1,null]}'}, {"note": "null"}, {"id": '"x9"', "rt": "1", "z": '"two"'}, None]
