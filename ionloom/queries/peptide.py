@@ -180,8 +180,8 @@ def h13_peptide_estimate(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH f AS (SELECT eg_id, list_sort(list(CAST(round(fragment_mz) AS BIGINT))) AS keys, count(*) AS n FROM (SELECT DISTINCT eg_id, fragment_mz FROM fragment_ions WHERE fragment_mz IS NOT NULL) GROUP BY 1 HAVING count(*) <= 100)
 SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_fragments, round(avg(n), 6) AS mean_fragments FROM f""")
 def a17_library_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups, fragments and mean fragments of a library (groups of up to 100)."""
-    d = table(spark, sf, "fragment_ions").filter("fragment_mz is not null").select("eg_id", "fragment_mz").distinct().groupBy("eg_id").agg(F.count(F.lit(1)).alias("n")).filter("n <= 100")
+    """Groups, fragments and mean fragments of a library."""
+    d = table(spark, sf, "fragment_ions").filter("fragment_mz is not null").select("eg_id", "fragment_mz").distinct().groupBy("eg_id").agg(F.count(F.lit(1)).alias("n"))
     return d.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n_fragments"), F.round(F.avg("n"), 6).alias("mean_fragments"))
 
 
