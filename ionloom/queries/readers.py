@@ -97,7 +97,7 @@ def s15_skyline(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH f AS (SELECT eg_id, count(*) AS n FROM fragment_ions WHERE fragment_mz IS NOT NULL GROUP BY 1 HAVING count(*) <= 1000) SELECT e.eg_id AS id, e.precursor_charge::SMALLINT AS charge, coalesce(n, 0) AS n FROM elution_groups e JOIN f ON e.eg_id = f.eg_id")
 def s16_elution_group_json(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark)
-    f = table(spark, sf, "fragment_ions").filter("fragment_mz is not null").groupBy("eg_id").agg(F.collect_list("fragment_mz").alias("fragments"), F.count(F.lit(1)).alias("n")).filter("n <= 1000").drop("n")
+    f = table(spark, sf, "fragment_ions").filter("fragment_mz is not null").groupBy("eg_id").agg(F.collect_list("fragment_mz").alias("fragments"))
     g = table(spark, sf, "elution_groups").join(f, "eg_id").select(F.col("eg_id").alias("id"), F.col("precursor_mono_mz").alias("precursor"), "precursor_charge", "fragments")
     sinks.write_ndjson(g, path)
     return text_libraries.read_elution_groups(spark, path, lines=True).select("id", "charge", F.size("fragments").cast("long").alias("n"))

@@ -1,7 +1,14 @@
-from ionloom.queries import peptide
+from ionloom.queries import peptide, readers
 
 
 def test_library_stats_count_large_groups(spark, tmp_path):
     rows = [(1, 100.0 + k) for k in range(101)] + [(2, 5.0), (2, 5.0), (2, None), (3, 7.0)]
     spark.createDataFrame(rows, "eg_id long, fragment_mz double").write.parquet(str(tmp_path / "fragment_ions.parquet"))
     assert [tuple(r) for r in peptide.a17_library_stats(spark, str(tmp_path)).collect()] == [(3, 103, 34.333333)]
+
+
+def test_elution_group_json_keeps_large_groups(spark, tmp_path):
+    ions = [(1, 100.0 + k) for k in range(1001)] + [(2, 5.0), (2, None)]
+    spark.createDataFrame(ions, "eg_id long, fragment_mz double").write.parquet(str(tmp_path / "fragment_ions.parquet"))
+    spark.createDataFrame([(1, 500.5, 2), (2, 600.5, 3)], "eg_id long, precursor_mono_mz double, precursor_charge int").write.parquet(str(tmp_path / "elution_groups.parquet"))
+    assert sorted(tuple(r) for r in readers.s16_elution_group_json(spark, str(tmp_path)).collect()) == [(1, 2, 1001), (2, 3, 1)]
