@@ -29,7 +29,7 @@ class Settings:
     calibrants: int = CALIBRANTS
     bins: int = 60
     max_q: float = 0.5
-    rounds: int = 20
+    rounds: int = rescoring.ROUNDS
 
 
 def variants(library: DataFrame, decoys: str) -> DataFrame:

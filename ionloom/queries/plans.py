@@ -89,13 +89,13 @@ FEATURES = ["n", "top", "mean_mz", "mz", "charge", "mobility"]
 @query()
 def m10_rescored(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-validated boosting of targets against decoys, with q-values."""
-    r = rescoring.rescore(candidates(spark, sf), FEATURES, rounds=8, depth=3)
+    r = rescoring.rescore(candidates(spark, sf), FEATURES)
     return fdr.q_values(r, "discriminant_score").select("id", "is_target", "discriminant_score", "q_value")
 
 
 @query()
 def m11_importances(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(rescoring.importances(candidates(spark, sf), FEATURES, rounds=8), "feature string, gain double")
+    return spark.createDataFrame(rescoring.importances(candidates(spark, sf), FEATURES), "feature string, gain double")
 
 
 @query()

@@ -45,6 +45,18 @@ def test_rescoring_ranks(spark):
     assert rescoring.rescore(one, ["a"], rounds=2).agg(F.max("discriminant_score")).first()[0] == 0.0
 
 
+def test_boosting_goes_on_until_it_brings_nothing(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    d = spark.range(300).select(F.col("id"), (F.sin(F.col("id") * 1.7) + F.sin(F.col("id") * 0.1) > 0).cast("double").alias("_y"), F.lit(1.0).alias("_w"), F.sin(F.col("id") * 1.7).alias("a"), F.sin(F.col("id") * 0.1).alias("b"))
+    v = VectorAssembler(inputCols=["a", "b"], outputCol="_v").transform(d).cache()
+    train, rest = v.filter("id % 2 = 0"), v.filter("id % 2 = 1")
+    m = rescoring._boosted(train, rest, 40, 2, patience=4)
+    loss = m.evaluateEachIteration(rest)
+    assert len(loss) > 8 and loss[-1] == min(loss)
+    assert (rescoring.ROUNDS, rescoring.DEPTH, rescoring.PATIENCE, Settings().rounds) == (1000, 6, 100, 1000)
+
+
 def test_mobility_refit(spark):
     from ionloom.functions.chemistry import one_over_k0
 
