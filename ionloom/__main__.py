@@ -34,7 +34,11 @@ def _search(spark: SparkSession, a: argparse.Namespace) -> None:
     with report.phase("search"):
         results, cal = search(library, peaks.withColumnsRenamed({"mobility_ook0": "mobility", "cycle_index": "cycle"}), cycles, windows, Settings(decoys=a.decoys, max_q=a.max_q))
         write_results(results, f"{a.output}/results", a.max_q)
-    write_calibration(cal, f"{a.output}/calibration.json")
+    if isinstance(cal, dict):
+        for k, c in enumerate(cal[run_id] for run_id in sorted(cal)):
+            write_calibration(c, f"{a.output}/calibration_{k}.json")
+    else:
+        write_calibration(cal, f"{a.output}/calibration.json")
     report.write(f"{a.output}/report.json")
 
 

@@ -225,6 +225,34 @@ class Calibration:
         return library.withColumn("rt_calibrated", self.curve.column(x)).withColumn("rt_tolerance_minutes", tol)
 
 
+def apply_each(library: DataFrame, by: dict[int, Calibration], key: str, rt: str = "rt_seconds") -> DataFrame:
+    """As Calibration.apply, each row by the one its ``key`` has in ``by``; the curves are a small table."""
+
+    def parts(c: Curve) -> tuple[list[float], list[tuple[float, float, float]]]:
+        slope = [(c.ys[i + 1] - c.ys[i]) / max(c.xs[i + 1] - c.xs[i], MIN_STEP) for i in range(len(c.xs) - 1)]
+        return c.xs[1:-1], list(zip(c.xs, c.ys, slope))
+
+    def width(r: Ridge) -> tuple[float, float, list[float], list[tuple[float, float, float]]]:
+        # Beyond its ends a ridge is as wide as at them.
+        if len(r.library) < 2:
+            return (r.library[0], r.library[0], [], [(r.library[0], r.half_width[0], 0.0)]) if r.library else (0.0, 0.0, [], [])
+        return r.library[0], r.library[-1], *parts(Curve(list(r.library), list(r.half_width)))
+
+    seg = "array<struct<x:double,y:double,s:double>>"
+    kind = library.schema[key].dataType.simpleString()
+    rows = [(k, *parts(c.curve), *width(c.ridge), float(c.rt_minutes)) for k, c in by.items()]
+    curves = library.sparkSession.createDataFrame(rows, f"`{key}` {kind}, _k array<double>, _c {seg}, _r0 double, _r1 double, _rk array<double>, _rc {seg}, _m double")
+
+    def at(x: Column, knots: str, segments: str) -> Column:
+        p = F.get(segments, F.size(F.filter(knots, lambda t: t < x)))
+        return p.y + (x - p.x) * p.s
+
+    x = F.col(rt)
+    tol = F.when(F.size("_rc") > 0, F.greatest(at(F.least(F.greatest(x, F.col("_r0")), F.col("_r1")), "_rk", "_rc") / 60, F.lit(0.5))).otherwise(F.col("_m"))
+    out = sized_join(library, curves, [key], "inner").withColumn("rt_calibrated", at(x, "_k", "_c")).withColumn("rt_tolerance_minutes", tol)
+    return out.drop("_k", "_c", "_r0", "_r1", "_rk", "_rc", "_m")
+
+
 def fallback() -> Calibration:
     """Times as they are, one minute, 10 ppm, 5 percent."""
     return Calibration(Curve([0.0, 1.0], [0.0, 1.0]), Ridge())

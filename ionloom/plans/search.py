@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionloom.functions.chemistry import averagine, bare, carbons_sulphurs, ion_parts, isotope_envelope, shifted
@@ -102,11 +102,17 @@ def prescore(queries: DataFrame, windows: DataFrame, peaks: DataFrame, settings:
     return traces.pick(t, "apex_profile", "apex")
 
 
-def calibration(prescored: DataFrame, queries: DataFrame, cycles: DataFrame, settings: Settings) -> calibrate.Calibration:
-    """The curve from library to run times, from the best candidates."""
-    best = fdr.top_scores(prescored.join(queries.filter("is_target").select("query_id", "run_no", "rt_seconds"), "query_id"), settings.calibrants, "apex_value", "query_id")
+def calibration(prescored: DataFrame, queries: DataFrame, cycles: DataFrame, settings: Settings) -> dict[int, calibrate.Calibration]:
+    """The curve from library to run times of each run number, from that run's best candidates."""
+    s = F.col("apex_value").cast("double")
+    found = prescored.join(queries.filter("is_target").select("query_id", "run_no", "rt_seconds"), "query_id").filter((s > 0) & (s < float("inf")) & ~F.isnan(s))
+    # Each task keeps only its best of a run.
+    rank = F.row_number().over(Window.partitionBy("run_no").orderBy(F.desc("apex_value"), F.asc("query_id")))
+    best = found.withColumn("_rn", rank).filter(F.col("_rn") <= settings.calibrants).drop("_rn")
     pts = sized_join(best.withColumnRenamed("apex", "cycle"), cycles.select("run_no", "cycle", "rt_ms"), ["run_no", "cycle"], "inner")
-    return calibrate.fit(pts.select(F.col("rt_seconds").alias("library"), (F.col("rt_ms") / 1000).alias("observed"), F.lit(1.0).alias("weight")), settings.bins)
+    pts = stored(pts.select("run_no", F.col("rt_seconds").alias("library"), (F.col("rt_ms") / 1000).alias("observed"), F.lit(1.0).alias("weight")))
+    # Runs are few: their numbers are rows of cycles' runs.
+    return {r[0]: calibrate.fit(pts.filter(F.col("run_no") == r[0]).drop("run_no"), settings.bins) for r in cycles.select("run_no").distinct().collect()}
 
 
 def score(queries: DataFrame, windows: DataFrame, peaks: DataFrame, settings: Settings) -> DataFrame:
@@ -142,25 +148,25 @@ def secondary(matches: DataFrame, peaks_: DataFrame, pct: float = 3.0) -> DataFr
     return kept.groupBy("query_id").agg(F.first("obs_mobility").alias("obs_mobility"), mean(1).alias("ms1_ppm"), mean(2).alias("ms2_ppm"), F.count(F.when(F.col("level") == 2, 1)).alias("n_ms2_peaks"))
 
 
-def tolerances(scored: DataFrame, settings: Settings) -> tuple[tuple[float, float], tuple[float, float]]:
-    """(ppm, mobility percent) from the spread of the targets' errors, never below 1 ppm and half a percent."""
-    ok = scored.filter("is_target and ms2_ppm is not null").select(F.lit(1).alias("g"), "ms2_ppm", ((F.col("obs_mobility") - F.col("mobility")) / F.col("mobility") * 100).alias("pct"))
+def tolerances(scored: DataFrame, settings: Settings) -> dict[int, tuple[tuple[float, float], tuple[float, float]]]:
+    """(ppm, mobility percent) of each run number from the spread of its targets' errors, never below 1 ppm
+    and half a percent; runs without errors have none."""
+    ok = scored.filter("is_target and ms2_ppm is not null").select("run_no", "ms2_ppm", ((F.col("obs_mobility") - F.col("mobility")) / F.col("mobility") * 100).alias("pct"))
     out = []
     for c, sigmas, floor in (("ms2_ppm", 1.5, 1.0), ("pct", 3.0, 0.5)):
-        s = calibrate.robust_stats(ok, ["g"], c)
+        s = calibrate.robust_stats(ok, ["run_no"], c)
         lo, hi = calibrate.mad_bounds(F.col("median"), F.col("mad"), sigmas, floor)
-        r = s.select(lo, hi).first()
-        out.append((r[0], r[1]) if r else (10.0, 10.0))
-    return out[0], out[1]
+        out.append({r[0]: (r[1], r[2]) for r in s.select("run_no", lo, hi).collect()})
+    return {k: (out[0].get(k, (10.0, 10.0)), out[1].get(k, (10.0, 10.0))) for k in out[0] | out[1]}
 
 
-def with_windows(queries: DataFrame, cycles: DataFrame, c: calibrate.Calibration | None) -> DataFrame:
-    """Adds cycle_lo and cycle_hi: the whole run, or the cycles around the calibrated time."""
+def with_windows(queries: DataFrame, cycles: DataFrame, by_run: dict[int, calibrate.Calibration] | None) -> DataFrame:
+    """Adds cycle_lo and cycle_hi: the whole run, or the cycles around the time calibrated for that run."""
     ends = cycles.groupBy("run_no").agg(F.min("cycle").alias("_a"), F.max("cycle").alias("_b"), F.min("rt_ms").alias("_t0"), F.max("rt_ms").alias("_t1"))
     q = sized_join(queries, ends, ["run_no"], "inner")
-    if c is None:
+    if by_run is None:
         return q.withColumn("cycle_lo", F.col("_a")).withColumn("cycle_hi", F.col("_b")).drop("_a", "_b", "_t0", "_t1")
-    q = c.apply(q)
+    q = calibrate.apply_each(q, by_run, "run_no")
     lo, hi = (F.col("rt_calibrated") - F.col("rt_tolerance_minutes") * 60) * 1000, (F.col("rt_calibrated") + F.col("rt_tolerance_minutes") * 60) * 1000
     q = q.withColumn("_lo", lo).withColumn("_hi", hi).filter("_hi >= _t0 and _lo <= _t1")
     # Cycles are evenly spaced in time to within a cycle; the window takes one more on either side.
@@ -172,8 +178,8 @@ def with_windows(queries: DataFrame, cycles: DataFrame, c: calibrate.Calibration
 ML_FEATURES = ["base_score", *features.WEIGHTS, "main_score", "apex_value", "delta_next", "delta_second_next", "apex_rise", "apex_fall", "lambda", "lazy_z", "lazy_ratio", "ms1_ppm_abs", "ms2_ppm_abs", "n_ms2_peaks", "mobility_pct_abs", "rt_error_abs", "precursor_mz", "charge"]
 
 
-def search(library: DataFrame, peaks: DataFrame, cycles: DataFrame, windows: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, calibrate.Calibration]:
-    """(results with q-values, calibration). Peaks, cycles and windows carry run_id; runs get numbers."""
+def search(library: DataFrame, peaks: DataFrame, cycles: DataFrame, windows: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, calibrate.Calibration | dict[str, calibrate.Calibration]]:
+    """(results with q-values, calibration: of several runs one by run_id). Peaks, cycles and windows carry run_id; runs get numbers."""
     from ionloom.operators.sequence import numbered
 
     runs = stored(numbered(cycles.select("run_id").distinct().withColumn("one", F.lit(1)), ["one"], ["run_id"], "run_no").drop("one"))
@@ -182,16 +188,17 @@ def search(library: DataFrame, peaks: DataFrame, cycles: DataFrame, windows: Dat
     n_runs = runs.count()
     queries = stored(sized_join(query_table(library, n_runs, settings), runs, ["run_no"], "inner"))
     wide = with_windows(queries, cycles, None)
-    cal = calibration(prescore(wide, windows, peaks, settings), wide, cycles, settings)
-    narrow = stored(with_windows(queries, cycles, cal))
+    by_run = calibration(prescore(wide, windows, peaks, settings), wide, cycles, settings)
+    narrow = stored(with_windows(queries, cycles, by_run))
     scored = stored(score(narrow, windows, peaks, settings))
-    cal.mz_ppm, cal.mobility_pct = tolerances(scored, settings)
+    for k, t in tolerances(scored, settings).items():
+        by_run[k].mz_ppm, by_run[k].mobility_pct = t
     won = fdr.competition(scored, "decoy_group", "charge", "main_score", "query_id") if n_runs == 1 else fdr.competition(scored.withColumn("_g", F.struct("run_no", "decoy_group")), "_g", "charge", "main_score", "query_id").drop("_g")
     obs = sized_join(won.withColumnRenamed("apex", "cycle"), cycles.select("run_no", "cycle", "rt_ms"), ["run_no", "cycle"], "left")
     table = obs.withColumn("obs_rt_seconds", F.col("rt_ms") / 1000).withColumn("rt_error_abs", F.abs(F.col("obs_rt_seconds") - F.col("rt_calibrated"))).withColumn("ms1_ppm_abs", F.abs("ms1_ppm")).withColumn("ms2_ppm_abs", F.abs("ms2_ppm")).withColumn("mobility_pct_abs", F.abs(F.col("obs_mobility") - F.col("mobility")) / F.col("mobility") * 100)
     table = stored(table.withColumnRenamed("cycle", "apex"))
     ranked = rescoring.rescore(table, [*ML_FEATURES, "delta_group", "delta_group_ratio"], "is_target", "query_id", rounds=settings.rounds)
-    return fdr.q_values(ranked, "discriminant_score", "is_target", "query_id"), cal
+    return fdr.q_values(ranked, "discriminant_score", "is_target", "query_id"), next(iter(by_run.values())) if n_runs == 1 else {r.run_id: by_run[r.run_no] for r in runs.collect()}
 
 
 __all__ = ["Settings", "Width", "search"]

@@ -35,6 +35,24 @@ def test_search_of_two_runs_at_once(spark):
     assert p.groupby(["run_id", "decoy_group", "charge"]).size().max() == 1
 
 
+def test_each_run_has_its_own_calibration(spark):
+    from ionloom.plans.search import calibration, with_windows
+
+    # The weak run 1 has another gradient than the strong run 0, which alone would fill the calibrants.
+    pts = [(run * 1000 + i, run, float(i), 100.0 - 90 * run, int(i * (2 - run) + 50 * run)) for run in (0, 1) for i in range(10, 200)]
+    q = spark.createDataFrame([(a, r, x, True) for a, r, x, _, _ in pts], "query_id long, run_no long, rt_seconds double, is_target boolean")
+    pre = spark.createDataFrame([(a, v, c) for a, _, _, v, c in pts], "query_id long, apex_value double, apex int")
+    cycles = spark.createDataFrame([(r, c, c * 1000) for r in (0, 1) for c in range(500)], "run_no long, cycle int, rt_ms long")
+    by = calibration(pre, q, cycles, Settings(calibrants=150, bins=40))
+    assert abs(by[0].curve.predict(100.0) - 200) < 3 and abs(by[1].curve.predict(100.0) - 150) < 3
+    got = with_windows(q.filter("rt_seconds = 100"), cycles, by).orderBy("run_no").collect()
+    assert [abs(r.rt_calibrated - t) < 3 for r, t in zip(got, (200, 150))] == [True, True] and got[0].cycle_lo > got[1].cycle_lo
+    for k, c in by.items():
+        one = c.apply(q.filter(F.col("run_no") == k)).orderBy("query_id").select("rt_calibrated", "rt_tolerance_minutes").collect()
+        each = calibrate.apply_each(q.filter(F.col("run_no") == k), by, "run_no").orderBy("query_id").select("rt_calibrated", "rt_tolerance_minutes").collect()
+        assert [tuple(pytest.approx(v) for v in r) for r in one] == [tuple(r) for r in each]
+
+
 def test_rescoring_ranks(spark):
     rows = [(i, bool(i % 2), float(i % 2) + (i * 7919 % 100) / 120, None if i % 9 == 0 else float(i % 5)) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, is_target boolean, a double, b double")
