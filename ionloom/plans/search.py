@@ -169,9 +169,11 @@ def with_windows(queries: DataFrame, cycles: DataFrame, by_run: dict[int, calibr
     q = calibrate.apply_each(q, by_run, "run_no")
     lo, hi = (F.col("rt_calibrated") - F.col("rt_tolerance_minutes") * 60) * 1000, (F.col("rt_calibrated") + F.col("rt_tolerance_minutes") * 60) * 1000
     q = q.withColumn("_lo", lo).withColumn("_hi", hi).filter("_hi >= _t0 and _lo <= _t1")
-    # Cycles are evenly spaced in time to within a cycle; the window takes one more on either side.
-    pos = lambda x: F.col("_a") + (F.col(x) - F.col("_t0")) / F.greatest((F.col("_t1") - F.col("_t0")) / F.greatest(F.col("_b") - F.col("_a"), F.lit(1)), F.lit(1))
-    q = q.withColumn("cycle_lo", F.greatest(F.floor(pos("_lo")) - 1, F.col("_a")).cast("int")).withColumn("cycle_hi", F.least(F.ceil(pos("_hi")) + 1, F.col("_b")).cast("int"))
+    # On the run's own time axis, which may be uneven; of cycles at one time all count.
+    axis = cycles.select("run_no", F.col("rt_ms").cast("double").alias("_p"), "cycle").groupBy("run_no", "_p").agg(F.min("cycle").alias("cycle_lo"), F.max("cycle").alias("cycle_hi"))
+    for x, name in (("_lo", "cycle_lo"), ("_hi", "cycle_hi")):
+        q = interval.nearest(q, axis, x, "_p", ("run_no",))
+        q = sized_join(q, axis.select("run_no", "_p", F.col(name).cast("int").alias(name)), ["run_no", "_p"], "inner").drop("_p")
     return q.drop("_a", "_b", "_t0", "_t1", "_lo", "_hi")
 
 

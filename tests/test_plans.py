@@ -53,6 +53,17 @@ def test_each_run_has_its_own_calibration(spark):
         assert [tuple(pytest.approx(v) for v in r) for r in one] == [tuple(r) for r in each]
 
 
+def test_windows_follow_an_uneven_time_axis(spark):
+    from ionloom.plans.search import with_windows
+
+    # One cycle a second with a pause of 1,000 s after 100 of them, and a second run without.
+    cycles = spark.createDataFrame([(r, c, c * 1000 + (1_000_000 if c >= 100 and r == 0 else 0)) for r in (0, 1) for c in range(300)], "run_no long, cycle int, rt_ms long")
+    q = spark.createDataFrame([(1, 0, 50.0), (2, 0, 1150.0), (3, 1, 150.0), (4, 1, 10.0), (5, 1, 900.0)], "query_id long, run_no long, rt_seconds double")
+    same = {k: calibrate.Calibration(calibrate.Curve([0.0, 1.0], [0.0, 1.0]), calibrate.Ridge(), 0.5) for k in (0, 1)}
+    got = with_windows(q, cycles, same).orderBy("query_id").select("query_id", "cycle_lo", "cycle_hi").collect()
+    assert [tuple(r) for r in got] == [(1, 20, 80), (2, 120, 180), (3, 120, 180), (4, 0, 40)]
+
+
 def test_rescoring_ranks(spark):
     rows = [(i, bool(i % 2), float(i % 2) + (i * 7919 % 100) / 120, None if i % 9 == 0 else float(i % 5)) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, is_target boolean, a double, b double")
