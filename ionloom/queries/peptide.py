@@ -169,7 +169,7 @@ LOOK = f"""{PROT}, {PIECES}, wanted AS (SELECT DISTINCT peptide FROM pep WHERE l
 def j11_containing_proteins(spark: SparkSession, sf: str) -> DataFrame:
     """Sequences that hold a peptide, through an inverted index of 5-mers of the digested proteins."""
     p = proteins(spark, sf)
-    return peptides.containing_proteins(peptides.digest(p, 0, 14, 15), p, 5).groupBy("peptide").agg(F.count(F.lit(1)).alias("n_proteins"))
+    return peptides.containing_proteins(peptides.digest(p, 1, 6, 30), p, 5).groupBy("peptide").agg(F.count(F.lit(1)).alias("n_proteins"))
 
 
 @query(f"WITH {PROT} SELECT CAST(floor(sum(length(sequence)) / 10) * 2 AS BIGINT) AS n_estimate FROM prot")

@@ -73,7 +73,7 @@ def st02_running_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def s23_built_library(spark: SparkSession, sf: str) -> DataFrame:
     """Library entries of all texts read as proteins: digest, modify, decoys, predict, filter."""
-    settings = library.Build(missed=0, shortest=8, longest=25, variable=(("M", "[UNIMOD:35]"),), charges=(2, 2))
+    settings = library.Build(variable=(("M", "[UNIMOD:35]"),))
     return library.build(proteins(spark, sf), settings).select("sequence", "charge", "decoy", "decoy_group", F.round("precursor_mz", 4).alias("precursor_mz"), F.size("fragments").alias("n_fragments"))
 
 

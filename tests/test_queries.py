@@ -1,4 +1,4 @@
-from ionloom.queries import peptide, readers
+from ionloom.queries import peptide, plans, readers
 
 
 def test_library_stats_count_large_groups(spark, tmp_path):
@@ -12,3 +12,12 @@ def test_elution_group_json_keeps_large_groups(spark, tmp_path):
     spark.createDataFrame(ions, "eg_id long, fragment_mz double").write.parquet(str(tmp_path / "fragment_ions.parquet"))
     spark.createDataFrame([(1, 500.5, 2), (2, 600.5, 3)], "eg_id long, precursor_mono_mz double, precursor_charge int").write.parquet(str(tmp_path / "elution_groups.parquet"))
     assert sorted(tuple(r) for r in readers.s16_elution_group_json(spark, str(tmp_path)).collect()) == [(1, 2, 1001), (2, 3, 1)]
+
+
+def test_texts_are_digested_with_missed_cuts_at_any_length(spark, tmp_path):
+    docs = [(1, "AAGGLK SAMPLEVEYR"), (2, "xx aagglk samplevey" + "t" * 13 + "k")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.peptide: r.n_proteins for r in peptide.j11_containing_proteins(spark, str(tmp_path)).collect()}
+    assert got == {"AAGGLK": 2, "SAMPLEVEYR": 1, "AAGGLKSAMPLEVEYR": 1, "XXAAGGLK": 1, "SAMPLEVEY" + "T" * 13 + "K": 1}
+    lib = plans.s23_built_library(spark, str(tmp_path)).filter("not decoy").collect()
+    assert {("AAGGLKSAMPLEVEYR", 3), ("AAGGLKSAM[UNIMOD:35]PLEVEYR", 2)} <= {(r.sequence, r.charge) for r in lib}
