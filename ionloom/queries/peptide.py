@@ -189,10 +189,10 @@ def a17_library_stats(spark: SparkSession, sf: str) -> DataFrame:
 def j09_library_match(spark: SparkSession, sf: str) -> DataFrame:
     """Entries of every other source matched to those of the rest, by precursor and shared fragments."""
     frag = table(spark, sf, "fragment_ions").filter("fragment_mz is not null and fragment_intensity > 0").select("eg_id", matching.mz_key(F.col("fragment_mz"), 0).alias("k")).distinct()
-    keys = frag.groupBy("eg_id").agg(F.collect_list("k").alias("fragment_keys"), F.count(F.lit(1)).alias("n")).filter("n <= 2000")
+    keys = frag.groupBy("eg_id").agg(F.collect_list("k").alias("fragment_keys"), F.count(F.lit(1)).alias("n"))
     g = table(spark, sf, "elution_groups").select(F.col("eg_id").alias("id"), F.round(F.col("precursor_mono_mz") / 2).alias("mz"), F.col("precursor_charge").alias("charge"), F.coalesce("rt_seconds", F.lit(0.0)).alias("rt_seconds"), "eg_id", "source_id").filter("mz is not null")
     g = g.join(keys, "eg_id")
-    return matching.match_libraries(g.filter("source_id % 2 = 0"), g.filter("source_id % 2 = 1"), 3)
+    return matching.match_libraries(g.filter("source_id % 2 <=> 0"), g.filter("not (source_id % 2 <=> 0)"), 3)
 
 
 @query("""WITH r AS (SELECT min(rt_seconds) FILTER (decoy) AS a0, max(rt_seconds) FILTER (decoy) AS a1, min(rt_seconds) FILTER (NOT decoy) AS b0, max(rt_seconds) FILTER (NOT decoy) AS b1 FROM elution_groups WHERE rt_seconds IS NOT NULL AND NOT isnan(rt_seconds))

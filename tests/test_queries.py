@@ -1,4 +1,4 @@
-from ionloom.queries import peptide, plans, readers
+from ionloom.queries import interval, peptide, plans, readers
 
 
 def test_library_stats_count_large_groups(spark, tmp_path):
@@ -21,3 +21,16 @@ def test_texts_are_digested_with_missed_cuts_at_any_length(spark, tmp_path):
     assert got == {"AAGGLK": 2, "SAMPLEVEYR": 1, "AAGGLKSAMPLEVEYR": 1, "XXAAGGLK": 1, "SAMPLEVEY" + "T" * 13 + "K": 1}
     lib = plans.s23_built_library(spark, str(tmp_path)).filter("not decoy").collect()
     assert {("AAGGLKSAMPLEVEYR", 3), ("AAGGLKSAM[UNIMOD:35]PLEVEYR", 2)} <= {(r.sequence, r.charge) for r in lib}
+
+
+def test_nearest_point_of_all_rows(spark, tmp_path):
+    spark.createDataFrame([(50, "1995-01-02"), (51, "1995-01-12")], "l_orderkey long, l_shipdate string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, "1995-01-03"), (2, "1995-01-11")], "o_orderkey long, o_orderdate string").write.parquet(str(tmp_path / "orders.parquet"))
+    assert sorted(tuple(r) for r in interval.j06_nearest_cycle(spark, str(tmp_path)).collect()) == [(1, 0), (2, 10)]
+
+
+def test_library_match_keeps_entries_without_source(spark, tmp_path):
+    ions = [(g, 100.0 + k, 1.0) for g in (1, 2) for k in range(2001)]
+    spark.createDataFrame(ions, "eg_id long, fragment_mz double, fragment_intensity double").write.parquet(str(tmp_path / "fragment_ions.parquet"))
+    spark.createDataFrame([(1, 500.0, 2, 1.0, 4), (2, 500.0, 2, 1.0, None)], "eg_id long, precursor_mono_mz double, precursor_charge int, rt_seconds double, source_id long").write.parquet(str(tmp_path / "elution_groups.parquet"))
+    assert peptide.j09_library_match(spark, str(tmp_path)).count() == 1
