@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from ionloom.plans import library, rescoring
 from ionloom.queries import standins as S
 from ionloom.queries.peptide import proteins
 from ionloom.queries.standins import BASE, PEAKS
-from ionloom.runtime import shared_dir, table
+from ionloom.runtime import scratch, table
 from ionloom.sources import peaks as peak_source
 from ionloom.streaming import micro
 
@@ -30,17 +28,10 @@ def query(sql: str | None = None):
     return add
 
 
-def _folder(spark: SparkSession) -> str:
-    path = f"{shared_dir(spark)}/ionloom-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
 @query(f"WITH {PEAKS} SELECT window_id, count(*) AS n, CAST(sum(intensity) AS BIGINT) AS intensity FROM peaks WHERE mz BETWEEN 20000 AND 40000 GROUP BY 1")
 def k01_stored_index(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks written clustered by m/z and read back by a range that reaches the files."""
-    path = _folder(spark)
+    path = scratch(spark)
     names = {w: i for i, w in enumerate(("AF", "AO", "NF", "NO", "RF", "RO"))}
     number = F.coalesce(*[F.when(F.col("window_id") == w, i) for w, i in names.items()], F.lit(-1))
     p = S.peaks(spark, sf).select(F.lit("run").alias("run_id"), F.lit(2).cast("byte").alias("ms_level"), number.cast("int").alias("window_id"), F.col("mz").cast("float").alias("mz"), F.col("intensity").cast("float").alias("intensity"), F.col("mobility").cast("float").alias("mobility_ook0"), F.col("cycle").alias("cycle_index"))
@@ -54,7 +45,7 @@ def k01_stored_index(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{BASE}, s AS (SELECT i.query_id, i.ion, sum(p.intensity) AS i FROM ions i JOIN peaks p ON p.mz BETWEEN i.mz_lo AND i.mz_hi AND p.cycle BETWEEN i.cycle_lo AND i.cycle_hi GROUP BY 1, 2) SELECT ions.query_id, ions.ion, CAST(coalesce(i, 0) AS BIGINT) AS intensity FROM ions LEFT JOIN s ON ions.query_id = s.query_id AND ions.ion = s.ion")
 def st01_streamed_spectra(spark: SparkSession, sf: str) -> DataFrame:
     """Queries that arrive as a stream of files, answered batch by batch against the stored peaks."""
-    path = _folder(spark)
+    path = scratch(spark)
     ions = S.ions(spark, sf).select("query_id", "ion", "mz_lo", "mz_hi", "cycle_lo", "cycle_hi")
     ions.repartition(3, "query_id").write.parquet(f"{path}/in")
     stream = spark.readStream.schema(ions.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from ionloom.functions.chemistry import ion_parts
 from ionloom.queries.peptide import LABEL, PROT, proteins
-from ionloom.queries.plans import _folder
-from ionloom.runtime import table
+from ionloom.runtime import scratch, table
 from ionloom.sources import native, sinks, speclib_binary, text_libraries
 
 QUERIES: dict = {}
@@ -68,12 +67,12 @@ def _values(**more) -> dict:
 @query(TOLD)
 def s11_diann_text(spark: SparkSession, sf: str) -> DataFrame:
     rows = _named(ions(spark, sf), text_libraries.DIANN, _values(decoy=F.col("decoy")))
-    return told(text_libraries.read_diann(spark, _write_text(rows, _folder(spark), "\t")))
+    return told(text_libraries.read_diann(spark, _write_text(rows, scratch(spark), "\t")))
 
 
 @query(TOLD)
 def s12_diann_parquet(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark)
+    path = scratch(spark)
     rows = _named(ions(spark, sf), text_libraries.DIANN_PARQUET, _values(decoy=F.col("decoy")))
     typed = rows.select("_g", *[F.col(f"`{c}`").cast("double").alias(c) if c in ("Precursor.Mz", "Product.Mz", "RT", "IM", "Relative.Intensity") else F.col(f"`{c}`").cast("long").alias(c) if c in ("Precursor.Charge", "Fragment.Charge", "Fragment.Series.Number", "Decoy") else F.col(f"`{c}`") for c in rows.columns if c != "_g"])
     typed.sortWithinPartitions("_g").drop("_g").write.parquet(path)
@@ -84,19 +83,19 @@ def s12_diann_parquet(spark: SparkSession, sf: str) -> DataFrame:
 def s14_spectronaut(spark: SparkSession, sf: str) -> DataFrame:
     """A fifth of the precursors is flagged for exclusion."""
     rows = _named(ions(spark, sf), text_libraries.SPECTRONAUT, _values(excluded=F.when(F.col("eg_id") % 5 == 0, "True").otherwise("False")))
-    return told(text_libraries.read_spectronaut(spark, _write_text(rows, _folder(spark), "\t")))
+    return told(text_libraries.read_spectronaut(spark, _write_text(rows, scratch(spark), "\t")))
 
 
 @query(TOLD)
 def s15_skyline(spark: SparkSession, sf: str) -> DataFrame:
     v = _values(decoy=F.when(F.col("decoy") == 1, "True").otherwise("False"), intensity=F.lit("#N/A"))
     rows = _named(ions(spark, sf), text_libraries.SKYLINE, {k: v[k] for k in text_libraries.SKYLINE})
-    return told(text_libraries.read_skyline(spark, _write_text(rows, _folder(spark), ",")))
+    return told(text_libraries.read_skyline(spark, _write_text(rows, scratch(spark), ",")))
 
 
 @query("WITH f AS (SELECT eg_id, count(*) AS n FROM fragment_ions WHERE fragment_mz IS NOT NULL GROUP BY 1 HAVING count(*) <= 1000) SELECT e.eg_id AS id, e.precursor_charge::SMALLINT AS charge, coalesce(n, 0) AS n FROM elution_groups e JOIN f ON e.eg_id = f.eg_id")
 def s16_elution_group_json(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark)
+    path = scratch(spark)
     f = table(spark, sf, "fragment_ions").filter("fragment_mz is not null").groupBy("eg_id").agg(F.collect_list("fragment_mz").alias("fragments"))
     g = table(spark, sf, "elution_groups").join(f, "eg_id").select(F.col("eg_id").alias("id"), F.col("precursor_mono_mz").alias("precursor"), "precursor_charge", "fragments")
     sinks.write_ndjson(g, path)
@@ -106,7 +105,7 @@ def s16_elution_group_json(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT CAST(count(*) AS BIGINT) AS n_records FROM (SELECT payload FROM speclib_elements WHERE json_valid(payload) AND json_type(payload) = 'OBJECT' AND NOT contains(payload, chr(10)))")
 def s17_native_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Records written as lines and read back as a native library."""
-    path = _folder(spark) + ".ndjson"
+    path = scratch(spark) + ".ndjson"
     p = table(spark, sf, "speclib_elements").filter(F.try_parse_json("payload").isNotNull() & F.ltrim("payload").startswith("{") & ~F.col("payload").contains("\n")).select(F.col("payload").alias("value"))
     p.write.text(path)
     return native.read_native(spark, path).agg(F.countDistinct("record_id").alias("n_records"))
@@ -114,7 +113,7 @@ def s17_native_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {PROT} SELECT CAST(protein_id AS VARCHAR) AS protein_id, length(sequence) AS n, md5(sequence) AS hash FROM prot")
 def s19_fasta(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark)
+    path = scratch(spark)
     p = proteins(spark, sf).select(F.concat(F.lit(">"), F.col("protein_id").cast("string"), F.lit(" made\n"), F.regexp_replace("sequence", "(.{60})", "$1\n")).alias("value"))
     p.write.text(path)
     return native.read_fasta(spark, path).select("protein_id", F.length("sequence").cast("long").alias("n"), F.md5("sequence").alias("hash"))
@@ -122,7 +121,7 @@ def s19_fasta(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT DISTINCT precursor_sequence AS peptide FROM elution_groups")
 def s20_peptide_list(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark)
+    path = scratch(spark)
     s = table(spark, sf, "elution_groups").select("precursor_sequence").distinct()
     s.select(F.concat(F.lit(" "), F.col("precursor_sequence"), F.lit("\n\n# note")).alias("value")).write.text(path)
     return native.read_peptide_list(spark, path)
@@ -135,7 +134,7 @@ CODES, LENGTH = {v: k for k, v in speclib_binary.SERIES.items()}, 100
 SELECT seq || CAST(z AS VARCHAR) AS modified, CAST(z AS INTEGER) AS charge, fragment_label AS label, count(*) AS n_groups FROM d GROUP BY 1, 2, 3""")
 def s13_binary_library(spark: SparkSession, sf: str) -> DataFrame:
     """Entries packed into binary libraries, a file per part of the groups, and read back; of repeated ions one stays."""
-    path = _folder(spark)
+    path = scratch(spark)
     g = ions(spark, sf).groupBy("eg_id", "seq", "z", "pmz").agg(F.collect_list(F.struct("mz", "p")).alias("f"))
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
