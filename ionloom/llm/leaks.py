@@ -1,35 +1,42 @@
 """Evaluation passages inside a corpus, found through a positional inverted index.
 
-Each block of documents becomes one shard of the index: for every term of the test items its list of
-positions in the block, stored in the shared folder. A search looks at every run of ``min_words`` terms
-of every item: it takes the list of the run's rarest term in the shard, shifts it to the run's start, and
-intersects it with the shifted lists of the other terms, rarest first. With ``slack`` 0 the terms must
-stand consecutively (a phrase); with more, each may be off its place by so many words (proximity).
+The index holds the places of every term of the corpus, whatever will be sought: a row per term and block of
+documents, stored in the shared folder clustered by term. A search reads only the lists it needs: of every run
+of ``min_words`` terms of an item those of its rarest terms, by their numbers in the index. The lists are
+shifted by the terms' offsets and intersected; documents where they meet are then read in whole. With
+``slack`` 0 the words must stand consecutively (a phrase); with more, each may be off its place by so many
+words (proximity). Another set of items asks the same index.
 
 Defined results: null and empty texts hold nothing; items with fewer than ``min_words`` words are never
 found; a document is reported once per item, whatever its number of passages; documents and items are
-read whole; a hyphen at a line end joins its two parts if the joined word is a term of the items.
+read whole; a hyphen at a line end joins its two parts if the joined word is a word of the items (the index
+has both readings); several texts of one item_id are one item, several of one doc_id one document.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.runtime import fits_broadcast, stored
+from ionloom.runtime import BROADCAST_BYTES, measured, sized_join, stored
 
 MIN_WORDS = 12
-#: Words between two documents of a shard, so that no match crosses them.
-GAP = 64
-#: Documents and characters after which a shard is closed.
-SHARD_DOCS, SHARD_CHARS = 10_000, 16_000_000
+#: Documents and characters after which a block of postings leaves the task that reads it.
+BLOCK_DOCS, BLOCK_CHARS = 10_000, 16_000_000
+#: Parts over which the list of one term is spread, so that a common term isn't one task's.
+SALTS = 64
+#: Words among which the words split at line ends are counted; passages looked for are at most half as long.
+SPAN = 64
 
 WORD = re.compile(r"[^\W_]+")
 # Code points that are not seen (soft hyphen, joiners, zero widths, marks, selectors, tags).
@@ -43,8 +50,13 @@ MARKDOWN = re.compile(r"\*\*|__|~~|\]\([^)\s]*\)|\\[A-Za-z]+\{")
 SPLIT_WORD = re.compile(rf"([^\W_]+)[{HYPHENS}][^\S\n]*\r?\n[\s>|]*([^\W_]+)")
 
 
-def normalised(text: str, vocabulary: dict[str, int] | None = None) -> str:
-    """``text`` without what makes no difference to its words, in folded case."""
+# Stands between the parts of a split word until it is decided how they are read; no word holds it.
+SEAM = chr(0xE000)
+
+
+def normalised(text: str, vocabulary=None, seams: bool = False) -> str:
+    """``text`` without what makes no difference to its words, in folded case. The parts of a word split at a
+    line end are joined if ``vocabulary`` has the joined word (or is None); with ``seams`` that stays open."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
@@ -52,14 +64,14 @@ def normalised(text: str, vocabulary: dict[str, int] | None = None) -> str:
     plain = text.isascii()
     if not plain:
         # Soft hyphens at line ends split words as other hyphens do, so they go only afterwards.
-        text = unicodedata.normalize("NFKC", text)
+        text = unicodedata.normalize("NFKC", text.replace(SEAM, " "))
         text = INVISIBLE.sub(lambda m: SOFT if m.group() == SOFT else "", text)
     text = MARKDOWN.sub("", text).casefold()
     if "\n" in text:
 
         def join(m: re.Match) -> str:
             whole = INVISIBLE.sub("", m.group(1) + m.group(2))
-            return whole if vocabulary is None or whole in vocabulary else m.group(1) + " " + m.group(2)
+            return m.group(1) + SEAM + m.group(2) if seams else whole if vocabulary is None or whole in vocabulary else m.group(1) + " " + m.group(2)
 
         text = SPLIT_WORD.sub(join, text)
     if not plain:
@@ -67,120 +79,180 @@ def normalised(text: str, vocabulary: dict[str, int] | None = None) -> str:
     return text
 
 
-def words(text: str, vocabulary: dict[str, int] | None = None) -> list[str]:
+def words(text: str, vocabulary=None) -> list[str]:
     return WORD.findall(normalised(text, vocabulary))
 
 
-SHARD = "doc_ids array<long>, doc_starts array<int>, terms array<int>, list_starts array<int>, positions array<int>"
-SHARD_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int32())), ("terms", pa.list_(pa.int32())), ("list_starts", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32()))])
+def both_readings(text: str) -> tuple[list[str], list[tuple[int, str]]]:
+    """The words of ``text`` with split words apart, and each split word joined, at the place of its first part."""
+    text = normalised(text, seams=True)
+    if SEAM not in text:
+        return WORD.findall(text), []
+    out, joined = [], []
+    for m in SEAMED.finditer(text):
+        parts = m.group().split(SEAM)
+        joined += [(len(out) + i, parts[i] + parts[i + 1]) for i in range(len(parts) - 1)]
+        out += parts
+    return out, joined
 
 
-def shard(docs: list[tuple[int, str]], vocabulary: dict[str, int]) -> pa.RecordBatch:
-    """One row: the postings of a block of documents."""
-    ids, starts, parts, at = [], [], [], 0
-    for doc_id, text in docs:
-        tokens = words(text, vocabulary)
-        get = vocabulary.get
-        terms = np.fromiter((get(w, -1) for w in tokens), dtype=np.int32, count=len(tokens))
-        ids.append(doc_id)
-        starts.append(at)
-        parts.append((at, terms))
-        at += len(tokens) + GAP
-    term = np.concatenate([t for _, t in parts]) if parts else np.array([], dtype=np.int32)
-    place = np.concatenate([np.arange(len(t)) + a for a, t in parts]) if parts else np.array([], dtype=np.int64)
-    known = term >= 0
-    term, place = term[known], place[known]
-    order = np.argsort(term, kind="stable")
-    term, place = term[order], place[order]
-    heads = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.array([], dtype=int)
-    cols = [ids, starts, term[heads], np.r_[heads, len(term)], place]
-    return pa.RecordBatch.from_arrays([pa.array([np.asarray(c)], type=f.type) for c, f in zip(cols, SHARD_ARROW)], schema=SHARD_ARROW)
+SEAMED = re.compile(rf"[^\W_]+(?:{SEAM}[^\W_]+)*")
+
+
+@lru_cache(maxsize=1 << 16)
+def term_of(word: str) -> int:
+    """64 bits that stand for a word."""
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+INDEX = "term long, block long, splits int, n int, doc_ids array<long>, positions array<int>"
 
 
-def build_index(documents: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """Shards of the index, one row each; documents never leave the task that reads them."""
+def postings(docs: list[tuple[int, str]], block: int) -> Iterator[pa.RecordBatch]:
+    """Rows of INDEX for a block of documents: every term with the places where it stands."""
+    number: dict[str, int] = {}
+    ids, lens, flat, extra, splits = [], [], [], [], 0
+    for k, (doc_id, text) in enumerate(docs):
+        tokens, joined = both_readings(text)
+        flat.append(np.array([number.setdefault(w, len(number)) for w in tokens], dtype=np.int32))
+        ids.append(doc_id)
+        lens.append(len(tokens))
+        if joined:
+            at = np.array([p for p, _ in joined])
+            splits = max(splits, int((np.searchsorted(at, at + SPAN) - np.arange(len(at))).max()))
+            extra += [(k, p, number.setdefault(w, len(number))) for p, w in joined]
+    total = sum(lens)
+    if not total:
+        return
+    term = np.concatenate([*flat, np.array([t for _, _, t in extra], dtype=np.int32)])
+    doc = np.concatenate([np.repeat(np.arange(len(ids)), lens), np.array([k for k, _, _ in extra], dtype=np.int64)])
+    place = np.concatenate([np.arange(total) - np.repeat(np.r_[0, np.cumsum(lens)[:-1]], lens), np.array([p for _, p, _ in extra], dtype=np.int64)])
+    order = np.argsort(term, kind="stable")
+    term = term[order]
+    doc_ids, place = pa.array(np.array(ids, dtype=np.int64)[doc[order]]), pa.array(place[order].astype(np.int32))
+    starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+    ends = np.r_[starts[1:], len(term)]
+    hashes = np.array([term_of(w) for w in number], dtype=np.int64)[term[starts]]
+    for i in range(0, len(starts), 10_000):
+        j = min(i + 10_000, len(starts))
+        offs = pa.array(np.r_[starts[i:j], ends[j - 1]].astype(np.int32))
+        n = j - i
+        cols = [pa.array(hashes[i:j]), pa.array(np.full(n, block, dtype=np.int64)), pa.array(np.full(n, splits, dtype=np.int32)), pa.array((ends[i:j] - starts[i:j]).astype(np.int32)), pa.ListArray.from_arrays(offs, doc_ids), pa.ListArray.from_arrays(offs, place)]
+        yield pa.RecordBatch.from_arrays(cols, names=["term", "block", "splits", "n", "doc_ids", "positions"])
+
+
+def build_index(documents: DataFrame) -> DataFrame:
+    """The stored index of a corpus, whatever will be sought in it: (term, block, splits, n, doc_ids, positions),
+    a row per term and block of documents, clustered by term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, chars = [], 0
+        part, no, block, chars = TaskContext.get().partitionId(), 0, [], 0
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not text or doc_id is None:
-                    continue
                 block.append((doc_id, text))
                 chars += len(text)
-                if len(block) >= SHARD_DOCS or chars >= SHARD_CHARS:
-                    yield shard(block, vocabulary)
-                    block, chars = [], 0
+                if len(block) >= BLOCK_DOCS or chars >= BLOCK_CHARS:
+                    yield from postings(block, (part << 32) + no)
+                    no, block, chars = no + 1, [], 0
         if block:
-            yield shard(block, vocabulary)
-
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SHARD)
-
+            yield from postings(block, (part << 32) + no)
 
-def _near(starts: np.ndarray, places: np.ndarray, slack: int) -> np.ndarray:
-    """Which of ``starts`` have a place within ``slack``."""
-    at = np.searchsorted(places, starts - slack)
-    return (at < len(places)) & (places[np.minimum(at, len(places) - 1)] <= starts + slack)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text <> ''")
+    rows = docs.mapInArrow(run, INDEX)
+    return stored(rows.repartition("term", F.pmod("block", F.lit(SALTS))).sortWithinPartitions("term"))
 
 
-def search_shard(row: dict, items: list[tuple[int, np.ndarray]], min_words: int, slack: int) -> set[tuple[int, int]]:
-    """(doc_id, item_id) of the shard."""
-    terms, heads, positions = row["terms"], row["list_starts"], row["positions"].astype(np.int64)
-    size = np.zeros(int(max((t.max() for _, t in items if len(t)), default=0)) + 1, dtype=np.int64)
-    begin = np.zeros_like(size)
-    inside = terms < len(size)
-    size[terms[inside]] = np.diff(heads)[inside]
-    begin[terms[inside]] = heads[:-1][inside]
-    starts, ids = row["doc_starts"], row["doc_ids"]
+def rarest(terms: list[int], numbers: dict[int, int], min_words: int) -> list[tuple[int, int]]:
+    """Of every run of an item that the corpus can hold, the places of its rarest and its second rarest term."""
+    size = [numbers.get(t, 0) for t in terms]
     out = set()
-    for item_id, t in items:
-        if len(t) < min_words:
-            continue
-        sizes = size[t]
-        runs = np.lib.stride_tricks.sliding_window_view(sizes, min_words)
-        for k in np.flatnonzero(runs.min(axis=1) > 0):
-            order = np.argsort(sizes[k : k + min_words], kind="stable") + k
-            first = order[0]
-            found = positions[begin[t[first]] : begin[t[first]] + sizes[first]] - first + k
-            for j in order[1:]:
-                found = found[_near(found + (j - k), positions[begin[t[j]] : begin[t[j]] + sizes[j]], slack)]
-                if not len(found):
-                    break
-            if len(found):
-                out.update((int(ids[d]), item_id) for d in np.unique(np.searchsorted(starts, found, side="right") - 1) if d >= 0)
-    return out
-
-
-def _terms(items: DataFrame) -> tuple[dict[str, int], list[tuple[int, np.ndarray]]]:
-    vocabulary: dict[str, int] = {}
-    seqs = []
-    for r in items.collect():
-        if r.item_id is not None and r.text:
-            seqs.append((int(r.item_id), np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(r.text)], dtype=np.int64)))
-    return vocabulary, seqs
-
-
-def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, slack: int = 0, blocks: int = 1) -> DataFrame:
-    """(doc_id, item_id): every document that holds ``min_words`` words of an item.
-
-    Items are a held-out set far smaller than the corpus: they are read by the driver, in ``blocks`` by
-    hash if their measured size is beyond what may be broadcast; each block has its own index."""
-    items = items.select("item_id", F.col("text").cast("string").alias("text"))
-    if blocks == 1 and not fits_broadcast(items):
-        blocks = 16
+    for k in range(len(terms) - min_words + 1):
+        run = range(k, k + min_words)
+        if min(size[i] for i in run) > 0:
+            first, second = (sorted(run, key=lambda i: (size[i], i)) * 2)[:2]
+            out.add((first, second))
+    return sorted(out)
+
+
+def candidates(index: DataFrame, seqs: list[tuple[int, list[int]]], min_words: int, slack: int) -> DataFrame:
+    """(doc_id, item_id) where the two rarest terms of some run stand as far apart as in the item, but for ``slack``
+    and the words that may be read as one or two.
+
+    The list of each run's rarest term says in which documents, and where, its second one is to be looked for;
+    of that one's list only those documents' places are kept. What is broadcast is made of the items, whose size
+    was measured."""
+    spark = index.sparkSession
+    terms = sorted({t for _, ts in seqs for t in ts})
+    wanted = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term long"))
+    numbers = {r.term: r.n for r in index.select("term", "n").join(wanted, "term").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    pairs = [(ts[a], i, a, ts[b], b) for i, ts in seqs for a, b in rarest(ts, numbers, min_words)]
+    first = F.broadcast(spark.createDataFrame(pairs, "term long, item_id long, a int, second long, b int"))
+    seconds = F.broadcast(spark.createDataFrame(sorted({(p[3],) for p in pairs}), "term long"))
+    splits = F.col("splits") if 2 * min_words <= SPAN else F.when(F.col("splits") > 0, F.lit(min_words)).otherwise(F.lit(0))
+    hits = index.join(first, "term").select("item_id", "second", (F.col("b") - F.col("a")).alias("apart"), splits.alias("splits"), F.explode(F.arrays_zip("doc_ids", "positions")).alias("p"))
+    asked = hits.select(F.col("p.doc_ids").alias("doc_id"), F.col("second").alias("term"), "item_id", (F.col("p.positions") + F.col("apart")).alias("at"), (F.col("splits") + 2 * slack).alias("off")).distinct()
+    places = index.join(seconds, "term").select("term", F.explode(F.arrays_zip("doc_ids", "positions")).alias("p")).select("term", F.col("p.doc_ids").alias("doc_id"), F.col("p.positions").alias("place"))
+    met = sized_join(places, asked, ["doc_id", "term"], "inner").filter(F.abs(F.col("place") - F.col("at")) <= F.col("off"))
+    return met.select("doc_id", "item_id").distinct()
+
+
+def holds(tokens: list[str], item: list[str], min_words: int, slack: int) -> bool:
+    """Whether ``min_words`` words of ``item`` in a row stand in ``tokens``, each within ``slack`` of its place."""
+    if not slack:
+        text = f" {' '.join(tokens)} "
+        return any(f" {' '.join(item[k : k + min_words])} " in text for k in range(len(item) - min_words + 1))
+    wanted, places = set(item), {}
+    for p, w in enumerate(tokens):
+        if w in wanted:
+            places.setdefault(w, []).append(p)
+    near = np.arange(-slack, slack + 1)
+    begins = [np.unique(np.add.outer(np.array(places[w]) - i, near)) if w in places else np.array([], dtype=int) for i, w in enumerate(item)]
+    for k in range(len(item) - min_words + 1):
+        run = sorted(begins[k : k + min_words], key=len)
+        left = run[0]
+        for other in run[1:]:
+            if not len(left):
+                break
+            left = np.intersect1d(left, other, assume_unique=True)
+        if len(left):
+            return True
+    return False
+
+
+def search(index: DataFrame, documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, slack: int = 0, blocks: int | None = None) -> DataFrame:
+    """(doc_id, item_id) of every document that holds ``min_words`` words of an item; ``index`` is that of ``documents``.
+
+    Items are read by the driver in as many blocks (by hash) as their measured size needs; each block asks the
+    same index. Documents that hold a candidate are then read in whole."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text <> ''")
+    blocks = blocks or 1 + measured(items) // (BROADCAST_BYTES // 4)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for b in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        vocabulary, seqs = _terms(part)
-        index = stored(build_index(documents, vocabulary))
-
-        def run(batches: Iterator[pa.RecordBatch], seqs=seqs) -> Iterator[pa.RecordBatch]:
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        texts = [(r.item_id, words(r.text)) for r in part.collect()]
+        texts = [(i, ws) for i, ws in texts if len(ws) >= min_words]
+        found = candidates(index, [(i, [term_of(w) for w in ws]) for i, ws in texts], min_words, slack)
+        # At most the block's items in a list.
+        pairs = sized_join(docs, found.groupBy("doc_id").agg(F.collect_list("item_id").alias("items")), ["doc_id"], "inner").select("doc_id", "text", "items")
+        by_id: dict[int, list[list[str]]] = {}
+        for i, ws in texts:
+            by_id.setdefault(i, []).append(ws)
+
+        def run(batches: Iterator[pa.RecordBatch], by_id=by_id) -> Iterator[pa.RecordBatch]:
+            vocabulary = {w for many in by_id.values() for ws in many for w in ws}
             for batch in batches:
-                for i in range(batch.num_rows):
-                    row = {n: batch.column(n)[i].values.to_numpy() for n in batch.schema.names}
-                    got = sorted(search_shard(row, seqs, min_words, slack))
-                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["doc_id", "item_id"])
-
-        found = index.mapInArrow(run, "doc_id long, item_id long").distinct()
-        out = found if out is None else out.unionByName(found)
-    return out
+                got = []
+                for doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+                    tokens = words(text, vocabulary)
+                    got += [(doc_id, i) for i in wanted if any(holds(tokens, ws, min_words, slack) for ws in by_id[i])]
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["doc_id", "item_id"])
+
+        got = pairs.mapInArrow(run, "doc_id long, item_id long").distinct()
+        out = got if out is None else out.unionByName(got)
+    return out.distinct() if blocks > 1 else out
+
+
+def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, slack: int = 0, blocks: int | None = None) -> DataFrame:
+    """Index and search at once."""
+    return search(build_index(documents), documents, items, min_words, slack, blocks)

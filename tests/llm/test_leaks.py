@@ -1,6 +1,6 @@
 import random
 
-from ionloom.llm.leaks import leaks, words
+from ionloom.llm.leaks import build_index, leaks, search, term_of, words
 
 ITEM = "Given 8367 replicates and a holdout set measured 9229 times, estimate how far the boosted tree may differ from 8592 once every fold is excluded"
 
@@ -60,3 +60,23 @@ def test_against_brute_force_with_common_words(spark):
 
 def test_long_text(spark):
     assert found(spark, ["word " * 400_000 + ITEM, "a" * 2_000_000]) == [(0, 1)]
+
+
+def test_one_index_for_any_items(spark, monkeypatch):
+    w = ITEM.split()
+    other = "a second held out passage of fourteen plain words that nobody has seen before today"
+    docs = spark.createDataFrame([(1, ITEM), (2, other.upper()), (3, "x " * 40)], "doc_id long, text string")
+    index = build_index(docs)
+    monkeypatch.setattr("ionloom.llm.leaks.build_index", None)
+    ask = lambda text, **kw: [(r.doc_id, r.item_id) for r in search(index, docs, spark.createDataFrame([(9, text)], "item_id long, text string"), **kw).collect()]
+    assert ask(ITEM) == [(1, 9)] and ask(other) == [(2, 9)] and ask(" ".join(w[:8] + ["new"] + w[8:16])) == []
+    assert ask(" ".join(w[:8] + w[9:16]), slack=1) == [(1, 9)]
+    terms = {r.term for r in index.select("term").collect()}
+    assert {term_of(x) for x in words(ITEM) + other.split() + ["x"]} == terms
+
+
+def test_split_words_in_both_readings(spark):
+    """A passage in which one split word is a single word of the item and another is two."""
+    item = "the half-marathon of batch 6402 is raised to 8563 units while its flow holds near 4"
+    text = item.replace("half-marathon", "half-\nmarathon").replace("raised", "rai-\n sed").replace("units", "un-\nits")
+    assert found(spark, ["word " * 50 + text + " and so on" * 20], [(1, item)]) == [(0, 1)]
