@@ -2,17 +2,17 @@
 
 The model is an averaged embedding of a sentence's words and subwords with an independent logistic output
 per subject. It is trained on the sentences of labelled documents, each with its document's share of votes
-per subject. Every round each partition continues from the shared weights on its own sentences, and the
-weights are then averaged over the partitions, so gradients are synchronised once a round. Every document
-is scored: a sentence has the subject of its highest output if that is likely enough, and a document has
-the subjects of at least a fourth of its sentences.
+per subject: every step sums the gradients over all partitions and moves the shared weights once, so the model
+doesn't depend on how the sentences are spread. The number of steps is the same whatever the data. Every
+document is scored: a sentence has the subject of its highest output if that is likely enough, and a document
+has the subjects of at least a fourth of its sentences. Its sentences are read once and kept as numbers.
 
 Sentences that do not count for a subject: text quoted from the held-out test items (they share runs of
 words with an item, numbers aside) and page footers (sentences which, numbers aside, all over the corpus
-stand only at the end of documents). They still are sentences of the document.
+stand only at the end of documents, and of at least FOOTER). They still are sentences of the document.
 
 Bounds: at most ``MAX_LABELLED`` labelled documents train the model, those with the smallest seeded hash;
-the shared weights have a fixed size, whatever the data; footers sought are at most ``MAX_FOOTERS``.
+the shared weights have a fixed size, whatever the data; the held-out items must fit a broadcast.
 
 Defined results: null and empty texts, texts without words and texts on no subject give no row; labels
 with a null subject or document, or with a subject that is not in the list, do not count; repeated labels
@@ -21,10 +21,10 @@ of one annotator count once; without any label there is no model and no row.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.runtime import stored
+from ionloom.runtime import BROADCAST_BYTES, fits_broadcast, release, sized_join, stored
 
 MAX_LABELLED = 20_000
-MAX_FOOTERS = 2_000
 SLOTS, DIM = 1 << 15, 16
-ROUNDS, PARTITIONS, BATCH, RATE = 10, 6, 128, 0.4
-#: Steps that a partition makes at least between two synchronisations; few sentences are passed several times.
-STEPS = 160
+STEPS, RATE = 60, 0.1
+#: Sentences in a row of training arrays.
+CHUNK = 20_000
+#: Tasks whose gradients the driver adds itself; beyond, they are first added by pieces of the weights.
+SUMMING, PIECES = 8, 16
+#: Documents that a page footer ends at least.
+FOOTER = 5
 SEED = 11
 SHARE, LIKELY = 0.25, 0.35
 QUOTE_RUN = 5
@@ -79,78 +82,47 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) & (SLOTS - 1) for p in parts]
 
 
-class Words:
-    """Words seen, each with its slots, as arrays for averaging."""
-
-    def __init__(self):
-        self.at: dict[str, int] = {}
-        self.slots: list[int] = []
-        self.starts: list[int] = []
-
-    def number(self, word: str) -> int:
-        k = self.at.get(word)
-        if k is None:
-            k = self.at[word] = len(self.starts)
-            self.starts.append(len(self.slots))
-            self.slots.extend(features(word))
-        return k
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(self.slots, dtype=np.int64), np.array(self.starts, dtype=np.int64)
-
-
 def initial(n_subjects: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
     return (rng.uniform(-1, 1, (SLOTS, DIM)) / DIM).astype(np.float32), np.zeros((DIM, n_subjects), np.float32), np.full(n_subjects, -2.0, np.float32)
 
 
-def _scatter(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+def packed_examples(words: list[list[str]], votes: list[list[float]]) -> dict[str, np.ndarray]:
+    """Sentences as arrays: words by number, and the slots of each word seen."""
+    at: dict[str, int] = {}
+    slots: list[int] = []
+    starts: list[int] = []
+    flat: list[int] = []
+    for ws in words:
+        for x in ws:
+            k = at.get(x)
+            if k is None:
+                k = at[x] = len(starts)
+                starts.append(len(slots))
+                slots.extend(features(x))
+            flat.append(k)
+    return {"flat": np.array(flat, np.int32), "lens": np.array([len(w) for w in words], np.int32), "slots": np.array(slots, np.int32), "starts": np.array(starts, np.int32), "y": np.array(votes, np.float32).ravel()}
+
+
+def gradient(weights, x: dict[str, np.ndarray], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(slots used, gradient of their embeddings, of the outputs, of the biases), summed over the sentences."""
+    e, w, b = weights
+    flat, lens, slots, starts, y = x["flat"], x["lens"], x["slots"], x["starts"], x["y"].reshape(len(x["lens"]), -1)
+    per = np.diff(np.r_[starts, len(slots)]).astype(np.float32)[:, None]
+    vec = np.add.reduceat(e[slots], starts, axis=0) / per
+    heads = np.r_[0, np.cumsum(lens)[:-1]]
+    n = lens.astype(np.float32)[:, None]
+    mean = np.add.reduceat(vec[flat], heads, axis=0) / n
+    err = (1 / (1 + np.exp(-(mean @ w + b))) - y) * times[:, None]
+    d_word = _sums(flat, np.repeat((err @ w.T) / n, lens, axis=0), len(starts)) / per
+    used, back = np.unique(slots, return_inverse=True)
+    d_e = _sums(back, np.repeat(d_word, per[:, 0].astype(np.int64), axis=0), len(used))
+    return used, d_e.astype(np.float32), (mean.T @ err).astype(np.float32), err.sum(axis=0).astype(np.float32)
+
+
+def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sums of the rows of ``values`` by ``at``."""
-    order = np.argsort(at, kind="stable")
-    heads = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
-    out = np.zeros((size, values.shape[1]), np.float32)
-    out[at[order][heads]] = np.add.reduceat(values[order], heads, axis=0)
-    return out
-
-
-def train_local(weights, texts: list[list[str]], y: np.ndarray, round_no: int, rate: float = RATE):
-    """Passes over the sentences (lists of words) with adaptive steps."""
-    e, w, b = (x.copy() for x in weights)
-    vocabulary = Words()
-    flat = np.array([vocabulary.number(x) for t in texts for x in t], dtype=np.int64)
-    lens = np.array([len(t) for t in texts], dtype=np.int64)
-    offs = np.r_[0, np.cumsum(lens)]
-    slots, starts = vocabulary.arrays()
-    per_word = np.diff(np.r_[starts, len(slots)])
-    g_e, g_w, g_b = np.full(SLOTS, 1e-6, np.float32), np.full_like(w, 1e-6), np.full_like(b, 1e-6)
-    rng = np.random.default_rng(SEED + round_no)
-    passes = max(1, -(-STEPS * BATCH // max(1, len(texts))))
-    order = np.concatenate([rng.permutation(len(texts)) for _ in range(min(passes, 50))])
-    for i in range(0, len(order), BATCH):
-        ids = order[i : i + BATCH]
-        n = lens[ids]
-        tok = np.concatenate([flat[offs[j] : offs[j + 1]] for j in ids])
-        used, inv = np.unique(tok, return_inverse=True)
-        counts = per_word[used]
-        sl = np.concatenate([slots[starts[u] : starts[u] + c] for u, c in zip(used, counts)])
-        heads = np.r_[0, np.cumsum(counts)[:-1]]
-        vec = np.add.reduceat(e[sl], heads, axis=0) / counts[:, None]
-        sh = np.r_[0, np.cumsum(n)[:-1]]
-        mean = np.add.reduceat(vec[inv], sh, axis=0) / n[:, None]
-        p = 1 / (1 + np.exp(-(mean @ w + b)))
-        err = (p - y[ids]).astype(np.float32) / len(ids)
-        d_w, d_b = mean.T @ err, err.sum(axis=0)
-        d_mean = (err @ w.T) / n[:, None]
-        d_vec = _scatter(inv, np.repeat(d_mean, n, axis=0), len(used)) / counts[:, None]
-        at, back = np.unique(sl, return_inverse=True)
-        d_e = _scatter(back, np.repeat(d_vec, counts, axis=0), len(at))
-        g_e[at] += (d_e**2).mean(axis=1)
-        g_w += d_w**2
-        g_b += d_b**2
-        e[at] -= rate * d_e / np.sqrt(g_e[at])[:, None]
-        w -= rate * d_w / np.sqrt(g_w)
-        b -= rate * d_b / np.sqrt(g_b)
-    return e, w, b
+    return np.stack([np.bincount(at, weights=values[:, j], minlength=size) for j in range(values.shape[1])], axis=1)
 
 
 class Scorer:
@@ -176,30 +148,44 @@ class Scorer:
         return k if logits[k] > math.log(LIKELY / (1 - LIKELY)) else -1
 
 
-def document_subjects(text: str, scorer: Scorer, quoted: frozenset, footers: frozenset, memo: dict | None = None) -> list[int]:
-    found, total = Counter(), 0
-    memo = {} if memo is None else memo
-    all_ = sentences(text)
-    for i, s in enumerate(all_):
-        total += 1
-        key = shape(s)
-        k = memo.get(key)
-        if k is None:
-            words = [x for x in key if x != "0"]
-            runs = sum(key[j : j + QUOTE_RUN] in quoted for j in range(len(key) - QUOTE_RUN + 1))
-            k = -1 if not words or runs >= 2 else scorer.subject(words)
+def sentence_subject(key: tuple[str, ...], scorer: Scorer, quoted: frozenset) -> int:
+    """The subject of a sentence by its shape; -1 for none, without words, or quoted from the held-out items."""
+    words = [x for x in key if x != "0"]
+    if not words or sum(key[j : j + QUOTE_RUN] in quoted for j in range(len(key) - QUOTE_RUN + 1)) >= 2:
+        return -1
+    return scorer.subject(words)
+
+
+def shape_hash(key: tuple[str, ...]) -> int:
+    """64 bits that stand for a shape."""
+    return int.from_bytes(hashlib.blake2b(" ".join(key).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+DIGITS = re.compile(r"\d+")
+
+
+def read_document(text: str, scorer: Scorer, quoted: frozenset, memo: dict) -> tuple[list[int], list[int]]:
+    """(hash of its shape, subject or -1) of every sentence."""
+    hashes, found = [], []
+    for s in sentences(text):
+        plain = DIGITS.sub("0", s)
+        got = memo.get(plain)
+        if got is None:
+            key = shape(plain)
             if len(memo) > 50_000:
                 memo.clear()
-            memo[key] = k
-        if k >= 0 and not (i == len(all_) - 1 and key in footers):
-            found[k] += 1
-    return [k for k, n in found.items() if n >= SHARE * total]
+            got = memo[plain] = shape_hash(key), sentence_subject(key, scorer, quoted)
+        hashes.append(got[0])
+        found.append(got[1])
+    return hashes, found
 
 
 def quoted_runs(items: DataFrame | None) -> frozenset:
-    """Runs of words of the held-out items (a table of fixed size), numbers as ``0``."""
+    """Runs of words of the held-out items (measured first, as every task gets them), numbers as ``0``."""
     if items is None:
         return frozenset()
+    if not fits_broadcast(items.select(F.col("text").cast("string").alias("text"))):
+        raise ValueError(f"held-out items of more than {BROADCAST_BYTES} bytes")
     out = set()
     for r in items.select(F.col("text").cast("string").alias("text")).filter("text is not null").toLocalIterator():
         key = shape(r.text)
@@ -207,49 +193,12 @@ def quoted_runs(items: DataFrame | None) -> frozenset:
     return frozenset(out)
 
 
-def _counted(documents: DataFrame, shapes) -> DataFrame:
-    """(shape, n): how often each shape that ``shapes`` picks from a document's sentences occurs; counts
-    leave batch by batch, so no task holds those of all its documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = Counter(k for text in b.column(0).to_pylist() if text for k in shapes(sentences(text)))
-            yield pa.RecordBatch.from_arrays([pa.array([" ".join(k) for k in got], pa.string()), pa.array(list(got.values()), pa.int64())], names=["shape", "n"])
-
-    return documents.select(F.col("text").cast("string")).mapInArrow(count, "shape string, n long").groupBy("shape").agg(F.sum("n").alias("n"))
-
-
-def page_footers(documents: DataFrame) -> frozenset:
-    """Shapes of sentences that stand (nearly) only at the end of documents and do so in many of them.
-
-    First the last sentences are counted; those of at least 1/MAX_FOOTERS of the documents are so few that
-    their other places can be counted by name in a second pass."""
-    least = max(5, documents.count() // MAX_FOOTERS)
-    last = {tuple(r["shape"].split(" ")): r["n"] for r in _counted(documents, lambda found: [shape(s) for s in found[-1:]]).filter(F.col("n") >= least).collect()}
-    if not last:
-        return frozenset()
-    heads = {k[0] for k in last}
-
-    def elsewhere(found: list[str]) -> list[tuple[str, ...]]:
-        out = []
-        for s in found[:-1]:
-            m = TOKENS.search(s)
-            if m and ("0" if m.group()[0].isdigit() else m.group().casefold()) in heads:
-                k = shape(s)
-                if k in last:
-                    out.append(k)
-        return out
-
-    inside = {tuple(r["shape"].split(" ")): r["n"] for r in _counted(documents, elsewhere).collect()}
-    return frozenset(k for k, n in last.items() if inside.get(k, 0) * 9 <= n)
-
-
 def training_sentences(documents: DataFrame, labels: DataFrame, names: list[str], quoted: frozenset, limit: int = MAX_LABELLED) -> DataFrame:
-    """(words array<string>, y array<float>) of the labelled documents' sentences, in PARTITIONS parts."""
+    """The labelled documents' sentences as rows of arrays, CHUNK sentences each at most."""
     votes = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "subject", "annotator").filter(F.col("doc_id").isNotNull() & F.col("subject").isin(names)).distinct()
     per = votes.groupBy("doc_id").agg(F.countDistinct(F.coalesce("annotator", F.lit(""))).alias("n"), F.collect_list("subject").alias("subjects"))
     per = per.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(limit)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(per, "doc_id").select("text", "n", "subjects")
+    docs = sized_join(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null"), per, ["doc_id"], "inner").select("text", "n", "subjects")
     number = {s: i for i, s in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,59 +208,124 @@ def training_sentences(documents: DataFrame, labels: DataFrame, names: list[str]
                 y = [0.0] * len(names)
                 for s in subjects:
                     y[number[s]] += 1.0 / n
+                y = [min(1.0, v) for v in y]
                 for s in sentences(text):
                     key = shape(s)
                     words = [x for x in key if x != "0"]
                     if words and sum(key[j : j + QUOTE_RUN] in quoted for j in range(len(key) - QUOTE_RUN + 1)) < 2:
-                        xs.append(words)
-                        ys.append([min(1.0, v) for v in y])
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.string())), pa.array(ys, pa.list_(pa.float32()))], names=["words", "y"])
+                        xs.append(" ".join(words))
+                        ys.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.string()), pa.array(ys, pa.list_(pa.float32()))], names=["words", "y"])
+
+    # Equal sentences are one with their mean votes and their number.
+    each = docs.mapInArrow(run, "words string, y array<float>").groupBy("words").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("y")[i]).alias(f"y{i}") for i in range(len(names))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, CHUNK):
+                c = b.slice(i, CHUNK)
+                n = c.column(1).to_numpy()
+                x = packed_examples([t.split(" ") for t in c.column(0).to_pylist()], [])
+                x["y"] = (np.stack([c.column(2 + k).to_numpy() for k in range(len(names))], axis=1) / n[:, None]).astype(np.float32).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([x[k].tobytes()], pa.binary()) for k in EXAMPLE] + [pa.array([n.astype(np.float32).tobytes()], pa.binary()), pa.array([len(n)], pa.int64())], names=[*EXAMPLE, "times", "n"])
+
+    return stored(each.mapInArrow(pack, ", ".join(f"{k} binary" for k in EXAMPLE) + ", times binary, n long"))
+
 
-    return stored(docs.mapInArrow(run, "words array<string>, y array<float>").repartition(PARTITIONS, F.xxhash64("words", "y")))
+EXAMPLE = {"flat": np.int32, "lens": np.int32, "slots": np.int32, "starts": np.int32, "y": np.float32}
 
 
-def train(examples: DataFrame, n_subjects: int, rounds: int = ROUNDS):
-    """Weights after ``rounds`` synchronisations; None without examples."""
+def train(examples: DataFrame, n_subjects: int, steps: int = STEPS):
+    """Weights after ``steps`` synchronised steps; None without examples.
+
+    Every step sums the gradients of all sentences over all partitions, pre-aggregated in each task and then by
+    pieces of the weights; what reaches the driver is the sum, of the weights' own size."""
+    if not examples._il_rows:
+        return None
     weights = initial(n_subjects)
-    # In a fixed order, so that training twice gives the same weights.
-    spread = examples.repartition(PARTITIONS, F.xxhash64("words", "y")).sortWithinPartitions(F.xxhash64("words", "y"))
-    for r in range(rounds):
+    total = float(examples.select(F.sum("n")).first()[0])
+    moments = [(np.zeros_like(x), np.zeros_like(x)) for x in weights]
+    tail = DIM * n_subjects + n_subjects
+    few = examples.rdd.getNumPartitions() <= SUMMING
+
+    for t in range(1, steps + 1):
         shared = weights
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
-            xs, ys = [], []
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            d_e, d_w, d_b = (np.zeros_like(x) for x in shared)
             for b in batches:
-                xs += b.column(0).to_pylist()
-                ys += b.column(1).to_pylist()
-            if xs:
-                got = train_local(shared, xs, np.array(ys, dtype=np.float32), r, RATE / (1 + 0.3 * r))
-                yield pa.RecordBatch.from_arrays([pa.array([len(xs)], pa.int64()), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in got)], names=["n", "e", "w", "b"])
-
-        parts = spread.mapInArrow(run, "n long, e binary, w binary, b binary").collect()
-        if not parts:
-            return None
-        total = sum(p["n"] for p in parts)
-        weights = tuple(sum(np.frombuffer(p[k], dtype=np.float32).reshape(old.shape) * np.float32(p["n"] / total) for p in parts) for k, old in zip("ewb", shared))
+                for row in b.to_pylist():
+                    used, g_e, g_w, g_b = gradient(shared, {k: np.frombuffer(row[k], kind) for k, kind in EXAMPLE.items()}, np.frombuffer(row["times"], np.float32))
+                    d_e[used] += g_e
+                    d_w += g_w
+                    d_b += g_b
+            parts = [*np.split(d_e, PIECES), np.r_[d_w.ravel(), d_b]]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], names=["piece", "g"])
+
+        def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for b in frames:
+                for piece, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    v = np.frombuffer(g, np.float32)
+                    sums[piece] = sums[piece] + v if piece in sums else v
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], names=["piece", "g"])
+
+        sums = examples.mapInArrow(run, "piece int, g binary")
+        got: dict[int, np.ndarray] = {}
+        for r in (sums if few else sums.repartition(SUMMING, "piece").mapInArrow(add, "piece int, g binary")).collect():
+            v = np.frombuffer(r.g, np.float32)
+            got[r.piece] = got[r.piece] + v if r.piece in got else v
+        rest = got[PIECES]
+        grads = np.concatenate([got[i] for i in range(PIECES)]).reshape(SLOTS, DIM) / total, rest[: tail - n_subjects].reshape(DIM, n_subjects) / total, rest[tail - n_subjects :] / total
+        weights = tuple(_step(x, g, m, t) for x, g, m in zip(weights, grads, moments))
     return weights
 
 
-def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """(doc_id, subject) of every document that deals with a subject. ``areas`` has a fixed few rows."""
-    names = sorted(r[0] for r in areas.select("subject").filter("subject is not null").distinct().collect())
-    quoted = quoted_runs(items)
-    weights = train(training_sentences(documents, labels, names, quoted), len(names)) if names else None
-    footers = page_footers(documents) if weights else frozenset()
+def _step(x: np.ndarray, g: np.ndarray, moments: tuple[np.ndarray, np.ndarray], t: int) -> np.ndarray:
+    """A step with running means of the gradient and of its square."""
+    m, v = moments
+    m += (1 - 0.9) * (g - m)
+    v += (1 - 0.99) * (g * g - v)
+    return (x - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+
+
+def read_all(documents: DataFrame, weights, quoted: frozenset) -> DataFrame:
+    """(doc_id, hashes, found): every document's sentences once, by shape and subject."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if weights is None:
-            return
         scorer, memo = Scorer(weights), {}
         for b in batches:
-            ids, found = [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k in document_subjects(text, scorer, quoted, footers, memo) if text else ():
-                    ids.append(doc_id)
-                    found.append(names[k])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["doc_id", "subject"])
-
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null").mapInArrow(run, "doc_id long, subject string")
+            rows = [(i, *read_document(t, scorer, quoted, memo)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int8()))], names=["doc_id", "hashes", "found"])
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text <> ''")
+    return docs.mapInArrow(run, "doc_id long, hashes array<long>, found array<byte>").filter("size(hashes) > 0")
+
+
+def page_footers(read: DataFrame) -> DataFrame:
+    """(last): shapes that end at least FOOTER documents and stand at most a ninth as often anywhere else."""
+    ends = read.groupBy(F.element_at("hashes", -1).alias("last")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FOOTER)
+    ends = stored(ends)
+    others = read.select(F.explode(F.slice("hashes", 1, F.size("hashes") - 1)).alias("last"))
+    inside = sized_join(others, ends, ["last"], "inner").groupBy("last").agg(F.count(F.lit(1)).alias("elsewhere"))
+    return ends.join(inside, "last", "left").filter(F.coalesce("elsewhere", F.lit(0)) * 9 <= F.col("n")).select("last")
+
+
+def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """(doc_id, subject) of every document that deals with a subject. ``areas`` has a fixed few rows."""
+    spark = documents.sparkSession
+    names = sorted(r[0] for r in areas.select("subject").filter("subject is not null").distinct().collect())
+    quoted = quoted_runs(items)
+    examples = training_sentences(documents, labels, names, quoted) if names else None
+    weights = train(examples, len(names)) if names else None
+    if examples is not None:
+        release(spark, examples)
+    if weights is None:
+        return spark.createDataFrame([], "doc_id long, subject string")
+    read = stored(read_all(documents, weights, quoted))
+    footers = stored(page_footers(read)).withColumn("footer", F.lit(True))
+    judged = sized_join(read.withColumn("last", F.element_at("hashes", -1)), footers, ["last"])
+    counted = judged.withColumn("_own", F.when(F.col("footer"), F.slice("found", 1, F.size("found") - 1)).otherwise(F.col("found")))
+    number = F.array(*[F.lit(n) for n in names])
+    per = counted.select("doc_id", F.size("found").alias("n"), F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.struct(k.alias("k"), F.size(F.filter("_own", lambda x: x == k)).alias("m"))), lambda s: s.m > 0).alias("s"))
+    return per.select("doc_id", "n", F.explode("s").alias("s")).filter(F.col("s.m") >= SHARE * F.col("n")).filter("doc_id is not null").select("doc_id", F.element_at(number, F.col("s.k") + 1).alias("subject")).distinct()

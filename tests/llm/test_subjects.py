@@ -32,17 +32,53 @@ def test_held_out_accuracy(spark):
     assert right >= 0.95 * 240
 
 
-def test_quotes_and_footers_do_not_count():
+def test_quotes_do_not_count():
     class Always:
         def subject(self, words):
             return 0 if "claim" in words else -1
 
-    text = "Nothing here. Nothing there. The claim stands."
     quoted = frozenset(S.shape("the claim stands for 12 years")[j : j + 5] for j in range(2))
-    assert S.document_subjects(text, Always(), frozenset(), frozenset()) == [0]
-    assert S.document_subjects(text, Always(), frozenset(), frozenset([S.shape("The claim stands.")])) == []
-    assert S.document_subjects("Nothing. A b c d. The claim stands for 9 years.", Always(), quoted, frozenset()) == []
-    assert S.document_subjects("N. N. N. N. The claim.", Always(), frozenset(), frozenset()) == []
+    text = "Nothing here. The claim stands. The claim stands for 9 years."
+    assert S.read_document(text, Always(), frozenset(), {})[1] == [-1, 0, 0]
+    assert S.read_document(text, Always(), quoted, {})[1] == [-1, 0, -1]
+    assert S.read_document("1 2 3. No end", Always(), quoted, {})[1] == []
+
+
+def test_footers_and_shares(spark):
+    row = lambda i, hashes, found: (i, hashes, found)
+    read = spark.createDataFrame([row(i, [1, 7], [0, 1]) for i in range(9)] + [row(20 + i, [8, 9 + i], [0, 0]) for i in range(5)] + [row(30, [7, 2], [1, 0])] + [row(40 + i, [8], [0]) for i in range(6)], "doc_id long, hashes array<long>, found array<byte>")
+    assert [r.last for r in S.page_footers(read).collect()] == [7]
+
+
+def test_gradients_do_not_depend_on_the_partitions():
+    words = [["ab", "cd"], ["ab"], ["ef", "ab", "ab"]]
+    y = np.array([[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]], np.float32)
+    rng = np.random.default_rng(1)
+    weights = (rng.normal(size=(S.SLOTS, S.DIM)).astype(np.float32), rng.normal(size=(S.DIM, 2)).astype(np.float32), np.zeros(2, np.float32))
+
+    def total(parts):
+        out = [np.zeros((S.SLOTS, S.DIM)), np.zeros((S.DIM, 2)), np.zeros(2)]
+        for ids in parts:
+            x = S.packed_examples([words[i] for i in ids], [y[i] for i in ids])
+            used, *g = S.gradient(weights, x, np.ones(len(ids), np.float32))
+            out[0][used] += g[0]
+            out[1] += g[1]
+            out[2] += g[2]
+        return out
+
+    def loss(w):
+        e, o, b = w
+        vec = {x: e[S.features(x)].mean(axis=0) for x in ("ab", "cd", "ef")}
+        z = np.array([np.mean([vec[x] for x in ws], axis=0) for ws in words]) @ o + b
+        return float((np.logaddexp(0, z) - y * z).sum())
+
+    one, three = total([[0, 1, 2]]), total([[2], [0], [1]])
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(one, three))
+    k, h = S.features("cd")[0], 1e-2
+    up, down = (tuple(x.astype(float).copy() for x in weights) for _ in range(2))
+    up[0][k, 3] += h
+    down[0][k, 3] -= h
+    assert abs((loss(up) - loss(down)) / (2 * h) - one[0][k, 3]) < 1e-3
 
 
 def test_sentences():
@@ -58,8 +94,3 @@ def test_dirt_and_empty(spark):
     assert S.subjects(d, lab.limit(0), areas).count() == 0
     assert S.subjects(d.limit(0), lab, areas).count() == 0
     assert S.subjects(d, lab, areas.limit(0)).count() == 0
-
-
-def test_page_footers(spark):
-    d, *_ = make(spark)
-    assert S.shape("This page may be copied under the licence clause.") in S.page_footers(d)
