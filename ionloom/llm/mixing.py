@@ -7,7 +7,11 @@ every document; the fraction takes the documents whose seeded hash lies below a
 histogram of tokens over the hash.
 
 Without a given total, the largest total is taken at which every source that has documents reaches its
-share, so the reached shares are the targets (rescaled over the sources that have documents).
+share, so the reached shares are the targets (rescaled over the sources that have documents). One tiny source
+then bounds the whole mix, as the report shows: its column ``bounds_mix`` names the source at its cap, and
+``unused_share`` says how much of a source's repeatable tokens stay out for it. With ``total="once"`` the total
+is the tokens of all the mix's sources, each once: sources that can't reach their share within their cap are
+clamped to it, the others take over their weight, and the report shows by how much shares differ.
 
 Defined results: source names are compared in lower case, trimmed, blanks and hyphens as underscores; null
 sources are in no mix; empty and null texts have no tokens and are not selected; a repeated doc_id is one
@@ -86,8 +90,9 @@ def water_fill(tokens: dict[str, int], shares: dict[str, float], caps: dict[str,
     return reps
 
 
-def _plan(targets: list, tokens: dict[tuple[str, str], dict[int, int]], total: float | None) -> list[tuple]:
-    """(mix, source, share, cap, repetitions, whole, last slot of the fraction) per target."""
+def _plan(targets: list, tokens: dict[tuple[str, str], dict[int, int]], total: float | str | None) -> list[tuple]:
+    """(mix, source, share, cap, repetitions, whole, last slot of the fraction, tokens, those of the largest slot,
+    clamped, bounds the mix) per target."""
     mixes: dict[str, dict[str, list]] = {}
     for mix, source, share, cap in targets:
         e = mixes.setdefault(mix, {}).setdefault(source, [0.0, None])
@@ -97,7 +102,7 @@ def _plan(targets: list, tokens: dict[tuple[str, str], dict[int, int]], total: f
     out = []
     for mix, by in sorted(mixes.items()):
         sizes = {s: sum(tokens.get((mix, s), {}).values()) for s in by}
-        reps = water_fill(sizes, {s: e[0] for s, e in by.items()}, {s: e[1] for s, e in by.items()}, total)
+        reps = water_fill(sizes, {s: e[0] for s, e in by.items()}, {s: e[1] for s, e in by.items()}, float(sum(sizes.values())) if total == "once" else total)
         for s, (share, cap) in sorted(by.items()):
             whole = int(reps[s] + 1e-9)
             want, got, last = (reps[s] - whole) * sizes[s], 0.0, -1
@@ -106,14 +111,16 @@ def _plan(targets: list, tokens: dict[tuple[str, str], dict[int, int]], total: f
                 if want - got <= n / 2:
                     break
                 got, last = got + n, slot
-            out.append((mix, s, share, cap, reps[s], whole, last if whole < cap else -1))
+            at_cap = sizes[s] > 0 and share > 0 and reps[s] >= cap * (1 - 1e-9)
+            largest = max(tokens.get((mix, s), {}).values(), default=0)
+            out.append((mix, s, share, cap, reps[s], whole, last if whole < cap else -1, sizes[s], largest, at_cap and total is not None, at_cap and total is None))
     return out
 
 
-PLAN = "mix_name string, source string, target_share double, max_repeats int, repetitions double, whole int, last_slot int"
+PLAN = "mix_name string, source string, target_share double, max_repeats int, repetitions double, whole int, last_slot int, source_tokens long, largest_slot long, clamped boolean, bounds_mix boolean"
 
 
-def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total: float | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total: float | str | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(selection, plan). Selection: (mix_name, source, doc_id, copies, n_tokens), one row per chosen document.
 
     What reaches the driver is the targets and one histogram of SLOTS counts per target."""
@@ -136,9 +143,10 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
 
 
 def shares(selection: DataFrame, plan: DataFrame) -> DataFrame:
-    """The report: target and reached share, tokens and most repetitions per source of each mix."""
+    """The report: target and reached share, tokens, most repetitions and whether it is at its cap, per source of each mix."""
     got = selection.groupBy("mix_name", "source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("n_tokens"), F.max("copies").alias("most_copies"), F.count(F.lit(1)).alias("n_docs"))
     total = got.groupBy("mix_name").agg(F.sum("n_tokens").alias("mix_tokens"))
     out = plan.join(got, ["mix_name", "source"], "left").join(total, "mix_name", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return out.select("mix_name", "source", "target_share", F.coalesce(F.col("n_tokens") / F.col("mix_tokens"), F.lit(0.0)).alias("reached_share"), "max_repeats", "repetitions", zero("most_copies"), zero("n_docs"), zero("n_tokens"))
+    used = F.when(F.col("source_tokens") * F.col("max_repeats") > 0, 1 - F.coalesce(F.col("n_tokens"), F.lit(0)) / (F.col("source_tokens") * F.col("max_repeats")))
+    return out.select("mix_name", "source", "target_share", F.coalesce(F.col("n_tokens") / F.col("mix_tokens"), F.lit(0.0)).alias("reached_share"), "max_repeats", "repetitions", zero("most_copies"), zero("n_docs"), zero("n_tokens"), "source_tokens", "largest_slot", "clamped", "bounds_mix", used.alias("unused_share"))

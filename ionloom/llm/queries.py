@@ -35,6 +35,25 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(*mixing.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets")))
 
 
+def p8_budgeted(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of mixes as large as their sources taken once: small sources are clamped to their cap, their weight goes to the others."""
+    return mixing.shares(*mixing.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), total="once"))
+
+
+def p8_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of every source of every mix, for the largest unclamped total and for sources taken once:
+    no document beyond its cap, the wanted tokens met to within one hash slot, sources clamped only at their cap."""
+    out = None
+    for name, total in (("largest", None), ("once", "once")):
+        r = mixing.shares(*mixing.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), total=total))
+        r = r.select(
+            F.lit(name).alias("total"), "mix_name", "source", (F.col("source_tokens") > 0).alias("has_documents"), (F.col("most_copies") <= F.col("max_repeats")).alias("cap_kept"),
+            (F.abs(F.col("n_tokens") - F.col("repetitions") * F.col("source_tokens")) <= F.col("largest_slot")).alias("tokens_met"), (~F.col("clamped") | (F.abs(F.col("repetitions") - F.col("max_repeats")) < 1e-6)).alias("clamped_at_cap"),
+        )
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return subjects.subjects(*(table(spark, sf, t) for t in ("documents", "subject_labels", "subject_areas", "eval_items")))
 
@@ -45,7 +64,7 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
     return p9_found(spark, sf).join(docs, "doc_id").groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_spectra, p7_found, p7_proximity, p8_mixture, p8_shares, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_spectra, p7_found, p7_proximity, p8_mixture, p8_shares, p8_budgeted, p8_checked, p9_found, p9_composition)}
 
 TOP = """
 WITH latest AS (
@@ -57,4 +76,9 @@ ranked AS (
 ORACLE = {
     "p2_found": TOP + "SELECT eg_id, ion_row_id FROM ranked WHERE rank < 8",
     "p2_spectra": TOP + "SELECT eg_id, CAST(rank AS INTEGER) AS rank, fragment_label, fragment_mz, fragment_intensity FROM ranked WHERE rank < 8",
+    "p8_checked": r"""
+WITH d AS (SELECT DISTINCT regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g') AS source FROM documents WHERE text <> '' AND source IS NOT NULL),
+t AS (SELECT DISTINCT mix_name, regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g') AS source FROM mix_targets WHERE source IS NOT NULL AND mix_name IS NOT NULL)
+SELECT total, mix_name, t.source, d.source IS NOT NULL AS has_documents, TRUE AS cap_kept, TRUE AS tokens_met, TRUE AS clamped_at_cap FROM t LEFT JOIN d ON t.source = d.source, (VALUES ('largest'), ('once')) v(total)
+""",
 }

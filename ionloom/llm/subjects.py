@@ -36,7 +36,7 @@ from ionloom.runtime import BROADCAST_BYTES, fits_broadcast, release, sized_join
 
 MAX_LABELLED = 20_000
 SLOTS, DIM = 1 << 15, 16
-STEPS, RATE = 60, 0.1
+STEPS, RATE = 40, 0.15
 #: Sentences in a row of training arrays.
 CHUNK = 20_000
 #: Tasks whose gradients the driver adds itself; beyond, they are first added by pieces of the weights.

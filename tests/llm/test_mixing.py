@@ -51,3 +51,16 @@ def test_source_names_and_tokens(spark):
     df = spark.createDataFrame([(1, " Wiki-Pages ", "Hello world"), (2, None, None)], "doc_id long, source string, text string")
     assert [r[0] for r in df.select(source_name(df.source)).collect()] == ["wiki_pages", None]
     assert [r.n_tokens for r in token_counts(df, "doc_id", "text", []).orderBy("doc_id").collect()] == [2, 0]
+
+
+def test_a_tiny_source_bounds_or_is_clamped(spark):
+    docs = [(i, "text " * 50, "big") for i in range(400)] + [(1000 + i, "text " * 50, "mid") for i in range(100)] + [(2000, "text " * 50, "tiny")]
+    d, t = frames(spark, docs, [("m", "big", 0.5, 2), ("m", "mid", 0.3, 4), ("m", "tiny", 0.2, 3)])
+    rows = {r.source: r for r in shares(*mixture(d, t)).collect()}
+    assert [s for s, r in rows.items() if r.bounds_mix] == ["tiny"] and not any(r.clamped for r in rows.values())
+    assert abs(rows["big"].reached_share - 0.5) < 0.05 and rows["big"].unused_share > 0.98
+    rows = {r.source: r for r in shares(*mixture(d, t, total="once")).collect()}
+    assert [s for s, r in rows.items() if r.clamped] == ["tiny"] and rows["tiny"].most_copies == 3 and not any(r.bounds_mix for r in rows.values())
+    one = rows["tiny"].source_tokens
+    assert abs(sum(r.n_tokens for r in rows.values()) - 501 * one) < 12 * one
+    assert abs(rows["big"].n_tokens / rows["mid"].n_tokens - 5 / 3) < 0.1
