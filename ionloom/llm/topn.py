@@ -1,9 +1,11 @@
-"""The N best items of every group, by sorted runs and a loser-tree merge.
+"""The N best items of every group, by stored sorted runs and a loser-tree merge.
 
-Rows are spread by their item, so a group that holds any share of all rows is spread too. Each task keeps
-an item's latest row, sorts its items by (group, score, ties) and stores the first N of every group: a
-sorted run. Runs are bucketed by group; each bucket's runs are merged by a loser tree, which after N
-outputs of a group seeks every run to its next group. A bucket holds at most N rows per run and group.
+Rows are spread by their item, so a group that holds any share of all rows is spread too. Each task gets the
+rows of an item together, keeps its latest one, sorts RUN_ROWS items at a time by (group, score, ties) and cuts
+every group to its first N: a sorted run. Runs are stored by bucket of groups; a bucket is read in the order of
+its groups and runs, a block of whole groups at a time, whose runs a loser tree merges: after N outputs of a
+group it seeks every run to its next group. No task holds more than a run, or a block's groups with N rows
+of each run.
 
 Defined results: rows with a null group belong to no group; items whose latest row has a null, NaN,
 infinite or non-positive score are out; null tie values come after all others; equal rows are one item;
@@ -16,9 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ionloom.runtime import stored
+
+#: Rows from which a run is made, and from which on a block of groups is merged.
+RUN_ROWS, BLOCK_ROWS = 500_000, 200_000
+
+
 def _codes(column: pa.ChunkedArray) -> np.ndarray:
     """Ranks of the values in byte order; null is 0."""
     d = column.combine_chunks().dictionary_encode()
@@ -129,28 +138,72 @@ def merge_runs(t: pa.Table, n: int) -> tuple[list[int], list[int]]:
         tree.replay(w)
 
 
-def _runs(n: int):
+def _runs(n: int, run_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            yield from make_run(pa.Table.from_batches(got), n).to_batches(max_chunksize=20_000)
+        """Batches come in the order of items; a run ends with an item."""
+        part, no, held, rows = TaskContext.get().partitionId(), 0, [], 0
+
+        def made(batches_: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = make_run(pa.Table.from_batches(batches_), n)
+            yield from t.append_column("run", pa.array(np.full(len(t), (part << 32) + no, dtype=np.int64))).to_batches(max_chunksize=20_000)
+
+        for b in batches:
+            if rows >= run_rows and b.num_rows:
+                end = _same_item(held[-1], b)
+                if end < b.num_rows:
+                    yield from made([*held, b.slice(0, end)] if end else held)
+                    no, held, rows, b = no + 1, [], 0, b.slice(end)
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+        if held:
+            yield from made(held)
 
     return run
 
 
-def _merged(n: int):
+def _same_item(before: pa.RecordBatch, b: pa.RecordBatch) -> int:
+    """How many rows of ``b`` belong to the last item of ``before``."""
+    cols = [b.schema.get_field_index(c) for c in ("grp", "k1", "k2", "tie_num")]
+    last = [before.column(c)[before.num_rows - 1].as_py() for c in cols]
+    same = lambda x, y: x == y or (x != x and y != y)
+    n = 0
+    while n < b.num_rows and all(same(b.column(c)[n].as_py(), v) for c, v in zip(cols, last)):
+        n += 1
+    return n
+
+
+def _merged(n: int, block_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            t = pa.Table.from_batches(got)
-            rows, ranks = merge_runs(t, n)
-            out = t.select(["grp", "rid", "score", "tie_num", "k2"]).take(pa.array(rows)).append_column("rank", pa.array(ranks, pa.int32()))
+        """Batches come in the order of groups; a block ends with a group."""
+        held, rows = [], 0
+
+        def made() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            t = t.take(pa.array(np.lexsort((t["seq"].to_numpy(), t["run"].to_numpy()))))
+            at, ranks = merge_runs(t, n)
+            out = t.select(["grp", "rid", "score", "tie_num", "k2"]).take(pa.array(at)).append_column("rank", pa.array(ranks, pa.int32()))
             yield from out.to_batches(max_chunksize=20_000)
 
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if rows >= block_rows:
+                g = b.column(0).to_numpy()
+                end = int(np.searchsorted(g, held[-1].column(0)[held[-1].num_rows - 1].as_py(), side="right"))
+                if end < b.num_rows:
+                    held.append(b.slice(0, end))
+                    yield from made()
+                    held, rows, b = [], 0, b.slice(end)
+            held.append(b)
+            rows += b.num_rows
+        if held:
+            yield from made()
+
     return run
 
 
-def top_items(rows: DataFrame, n: int = 8, group: str = "eg_id", row_id: str = "ion_row_id", item: tuple[str, str] = ("run_id", "fragment_label"), tie_number: str = "fragment_mz", score: str = "fragment_intensity", version: str = "loaded_at") -> DataFrame:
+def top_items(rows: DataFrame, n: int = 8, group: str = "eg_id", row_id: str = "ion_row_id", item: tuple[str, str] = ("run_id", "fragment_label"), tie_number: str = "fragment_mz", score: str = "fragment_intensity", version: str = "loaded_at", run_rows: int = RUN_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(grp, rid, score, tie_num, k2, rank from 0): the ``n`` best items of each group by score descending,
     then ``tie_number``, the second item column and the row id ascending. An item is a group with equal
     item columns and ``tie_number``; its latest row by ``version``, then row id, counts."""
@@ -158,9 +211,9 @@ def top_items(rows: DataFrame, n: int = 8, group: str = "eg_id", row_id: str = "
         F.col(group).cast("long").alias("grp"), F.col(item[0]).cast("string").alias("k1"), F.col(item[1]).cast("string").alias("k2"), F.col(tie_number).cast("double").alias("tie_num"),
         F.col(score).cast("double").alias("score"), F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(version).cast("timestamp_ntz")).alias("version"), F.col(row_id).cast("long").alias("rid"),
     ).filter("grp is not null and rid is not null")
-    stored = "grp long, rid long, score double, tie_num double, k2 string, seq long"
-    # As many parts as the session says: fewer and larger ones would not fit a Python worker.
+    # As many parts as the session says; what a task holds doesn't depend on them.
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = d.repartition(parts, "grp", "k1", "k2", "tie_num").mapInArrow(_runs(n), stored).withColumn("run", F.spark_partition_id())
-    buckets = runs.repartition(parts, "grp").sortWithinPartitions("run", "seq")
-    return buckets.mapInArrow(_merged(n), "grp long, rid long, score double, tie_num double, k2 string, rank int")
+    by_item = d.repartition(parts, "grp", "k1", "k2", "tie_num").sortWithinPartitions("grp", "k1", "k2", "tie_num")
+    runs = by_item.mapInArrow(_runs(n, run_rows), "grp long, rid long, score double, tie_num double, k2 string, seq long, run long")
+    buckets = stored(runs).repartition(parts, "grp").sortWithinPartitions("grp", "run", "seq")
+    return buckets.mapInArrow(_merged(n, block_rows), "grp long, rid long, score double, tie_num double, k2 string, rank int")

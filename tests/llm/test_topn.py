@@ -45,6 +45,12 @@ def test_against_brute_force(spark):
         got = [(r.grp, r.rid) for r in top_items(df, n).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(rows, n)
     assert top_items(df.limit(0)).count() == 0
+    # Many runs in each task and many blocks in each bucket.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        assert {(r.grp, r.rid) for r in top_items(df, 8, run_rows=100, block_rows=50).collect()} == brute(rows, 8)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 @settings(max_examples=60, deadline=None)
