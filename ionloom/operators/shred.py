@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ionloom.runtime import stored
+
 # Field names the formats use for the same thing.
 MZ_NAMES = ("fragment_mzs", "fragment_mz", "fragment_mono_mzs")
 INTENSITY_NAMES = ("fragment_intensities", "fragment_intensity")
@@ -54,6 +56,8 @@ ARRAY_RULES = (
     (frozenset({"element", "null"}), "elements"),
 )
 LABEL_STATE = {"texts": "text", "labels": "object", "mixed_labels": "mixed", "empty": "text"}
+#: Under this key an object keeps its state, so that it is classified once; no JSON key is an object.
+STATE = object()
 LEAF = {type(None): "null", bool: "bool", int: "num", float: "num"}
 
 
@@ -95,25 +99,28 @@ def classify(value):
             return "groups", [v for _, v in pairs]
         return "array", [v for _, v in pairs]
     pairs = {k: classify(v) for k, v in value.items()}
-    state = {k: s for k, (s, _) in pairs.items()}
     o = {k: v for k, (_, v) in pairs.items()}
+    o[STATE] = object_state({k: s for k, (s, _) in pairs.items()}, o)
+    return o[STATE], o
+
+
+def object_state(state: dict[str, str], o: dict) -> str:
+    """The transition of an object: its state from its members'."""
     if "series" in o and "ordinal" in o:
-        return "label", o
+        return "label"
     if "elements" in o and state["elements"] in ("elements", "empty"):
-        return "batch", o
+        return "batch"
     if "elution_group" in o and (state["elution_group"] == "groups" or state["elution_group"] in GROUP_STATES or "precursor" in o):
-        return "element", o
+        return "element"
     if state.get("fragments") == "fragments":
-        return "group_fragments", o
+        return "group_fragments"
     mz = _named(o, MZ_NAMES) or ("fragments" if state.get("fragments") == "nums" else None)
     if mz and state[mz] in ("nums", "empty"):
         label = _named(o, LABEL_NAMES)
-        return "group_parallel_" + (LABEL_STATE.get(state[label], "mixed") if label else "bare"), o
+        return "group_parallel_" + (LABEL_STATE.get(state[label], "mixed") if label else "bare")
     if "mz" in o:
-        return "fragment", o
-    if "id" in o:
-        return "group_empty", o
-    return "object", o
+        return "fragment"
+    return "group_empty" if "id" in o else "object"
 
 
 def label_text(label, position: int) -> str:
@@ -181,7 +188,7 @@ def shred_payload(record_id, payload, emit: frozenset[str]) -> Iterator[tuple]:
         for g, group in enumerate([groups] if alone else groups):
             if not isinstance(group, dict):
                 continue
-            shape = classify(group)[0]
+            shape = group[STATE]
             if shape not in ROUTES:
                 continue
             rows = ROUTES[shape](group)
@@ -225,15 +232,32 @@ KEYS = ["record_id", "element_pos", "group_pos", "fragment_pos"]
 SUBTYPES = {
     "elements": ("element", ["record_id", "element_pos", "shape", "sequence", "charge", "decoy", "decoy_group"]),
     "groups": ("group", ["record_id", "element_pos", "group_pos", "shape", "eg_id", "precursor_mz", "charge", "mobility_ook0", "rt_seconds", "n_fragments"]),
-    "fragments": ("fragment", [*KEYS, "shape", "fragment_label", "fragment_mz", "fragment_intensity"]),
     "rejects": ("reject", ["record_id", "shape"]),
 }
 
 
-def subtype_tables(rows: DataFrame) -> dict[str, DataFrame]:
-    """The supertype tables and, for each variant of group, its typed fragment table ``fragments_<variant>``."""
-    out = {name: rows.filter(F.col("kind") == kind).select(*cols) for name, (kind, cols) in SUBTYPES.items()}
-    for shape in sorted(GROUP_STATES - {"group_empty"}):
-        cols = [*KEYS, "fragment_mz", "fragment_intensity"] + ([] if shape == "group_parallel_bare" else ["fragment_label"])
-        out["fragments_" + shape.removeprefix("group_")] = out["fragments"].filter(F.col("shape") == shape).select(*cols)
+VARIANTS = tuple(sorted(GROUP_STATES - {"group_empty"}))
+
+
+def subtype_tables(records: DataFrame, emit: tuple[str, ...] = ("element", "group", "fragment", "reject")) -> dict[str, DataFrame]:
+    """The typed tables of all records: ``elements``, ``groups``, ``rejects`` and for each variant of group its
+    fragment table ``fragments_<variant>``, which has the columns of that variant and the common keys.
+
+    Payloads are parsed once; rows are stored by kind and variant, so each table reads only its own files."""
+    rows = stored(shred(records, emit), ("kind", "shape"))
+    out = {name: rows.filter(F.col("kind") == kind).select(*cols) for name, (kind, cols) in SUBTYPES.items() if kind in emit and kind != "fragment"}
+    if "fragment" in emit:
+        for shape in VARIANTS:
+            cols = [*KEYS, "fragment_mz", "fragment_intensity"] + ([] if shape == "group_parallel_bare" else ["fragment_label"])
+            out["fragments_" + shape.removeprefix("group_")] = rows.filter((F.col("kind") == "fragment") & (F.col("shape") == shape)).select(*cols)
+    return out
+
+
+def all_fragments(tables: dict[str, DataFrame]) -> DataFrame:
+    """The supertype of the fragment tables: their common keys, values and labels; without labels the position."""
+    out = None
+    for name, t in sorted(tables.items()):
+        if name.startswith("fragments_"):
+            t = t if "fragment_label" in t.columns else t.withColumn("fragment_label", F.col("fragment_pos").cast("string"))
+            out = t if out is None else out.unionByName(t)
     return out

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.runtime import sized_join
+from ionloom.runtime import sized_join, stored
 
 # Milliseconds per unit, and the spellings of each.
 FACTORS = {"ms": 1, "s": 1000, "cmin": 600, "min": 60_000, "h": 3_600_000}
@@ -144,12 +144,14 @@ def unlabelled_units(values: DataFrame) -> DataFrame:
 
 
 def to_milliseconds(values: DataFrame, sources: DataFrame, defaults: dict[str, str], fallback: str = "default") -> DataFrame:
-    """``values`` has rec_table, rec_id, source_id, field_name and value (text). Adds number, unit,
+    """``values`` has rec_table, rec_id, source_id, field_name and value (text), and is read once. Adds number, unit,
     unit_origin (text, source, note, default or mixture), rt_ms, mix_unit, mix_posterior and uncertain."""
     values = values.select("rec_table", "rec_id", F.col("source_id").cast("int"), "field_name", F.col("value").cast("string"))
     read = with_parsed(values)
     read = sized_join(read, source_units(sources), ["source_id"])
     read = read.withColumn("unit", F.coalesce("text_unit", "source_unit")).withColumn("unit_origin", F.when(F.col("text_unit").isNotNull(), "text").otherwise(F.col("source_origin")))
+    # Texts are parsed once; the mixture and the result read the numbers.
+    read = stored(read.drop("text_unit", "source_unit", "source_origin"))
     key = F.coalesce(F.col("source_id"), F.lit(-(2**31))).alias("source_id")
     mix = unlabelled_units(read.select(key, "field_name", "number", "unit")).withColumnRenamed("source_id", "_il_key")
     read = sized_join(read.withColumn("_il_key", key), mix, ["_il_key", "field_name"]).drop("_il_key")

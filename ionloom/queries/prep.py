@@ -12,20 +12,20 @@ PACKED = ["protein_group", "protein_name", "genes"]
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = shred.shred(table(spark, sf, "speclib_elements"), ("fragment",))
-    return rows.select("record_id", "element_pos", "group_pos", "fragment_pos", "fragment_label")
+    """Fragments of all variants, from their typed tables."""
+    tables = shred.subtype_tables(table(spark, sf, "speclib_elements"), ("fragment",))
+    return shred.all_fragments(tables).select("record_id", "element_pos", "group_pos", "fragment_pos", "fragment_label")
 
 
-def p1_elements(spark: SparkSession, sf: str) -> DataFrame:
-    return shred.subtype_tables(shred.shred(table(spark, sf, "speclib_elements"), ("element",)))["elements"]
+def _typed(kind: str, name: str):
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        return shred.subtype_tables(table(spark, sf, "speclib_elements"), (kind,))[name]
 
+    f.__name__ = f"p1_{name}"
+    return f
 
-def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return shred.subtype_tables(shred.shred(table(spark, sf, "speclib_elements"), ("group",)))["groups"]
 
-
-def p1_fragments_parallel_object(spark: SparkSession, sf: str) -> DataFrame:
-    return shred.subtype_tables(shred.shred(table(spark, sf, "speclib_elements"), ("fragment",)))["fragments_parallel_object"]
+TYPED = [_typed("element", "elements"), _typed("group", "groups"), _typed("reject", "rejects"), *[_typed("fragment", "fragments_" + v.removeprefix("group_")) for v in shred.VARIANTS]]
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,11 +64,17 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_units(spark: SparkSession, sf: str) -> DataFrame:
-    """What unit each source's values had, how it was found, and how sure the mixture is where it was missing."""
-    return _times(spark, sf).groupBy("source_id", "field_name", "unit", "unit_origin").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("mix_posterior"), 4).alias("posterior"), F.sum(F.col("uncertain").cast("long")).alias("n_uncertain"))
+    """What unit each source's values had and how it was found."""
+    return _times(spark, sf).groupBy("source_id", "field_name", "unit", "unit_origin").agg(F.count(F.lit(1)).alias("n"))
+
 
+def p6_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """How sure the mixture is of each source's unit where none was given, and how many values it flags."""
+    missing = _times(spark, sf).filter("unit_origin in ('default', 'mixture')")
+    return missing.groupBy("source_id", "field_name", "unit", "mix_unit").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("mix_posterior"), 4).alias("posterior"), F.sum(F.col("uncertain").cast("long")).alias("n_uncertain"))
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_elements, p1_groups, p1_fragments_parallel_object, p3_found, p3_transitions, p4_found, p4_landed, p4_lifespans, p5_found, p6_found, p6_units)}
+
+QUERIES = {f.__name__: f for f in (p1_found, *TYPED, p3_found, p3_transitions, p4_found, p4_landed, p4_lifespans, p5_found, p6_found, p6_units, p6_mixture)}
 
 ORACLE = {
     "p5_found": r"""
@@ -163,3 +169,49 @@ c AS (SELECT p.*, s.factor, CASE
 SELECT rec_table, rec_id, field_name, CAST(round(round(ms, 4)) AS BIGINT) AS rt_ms FROM c WHERE ms IS NOT NULL
 """,
 }
+
+SHREDDED = r"""
+WITH ok AS (SELECT record_id, CAST(payload AS JSON) AS j FROM speclib_elements WHERE json_valid(payload)),
+root AS (SELECT record_id, CASE json_type(j) WHEN 'ARRAY' THEN 'elements' ELSE CASE WHEN json_type(j, '$.elements') = 'ARRAY' THEN 'batch' ELSE 'element' END END AS shape,
+  CASE json_type(j) WHEN 'ARRAY' THEN CAST(j AS JSON[]) WHEN 'OBJECT' THEN CASE WHEN json_type(j, '$.elements') = 'ARRAY' THEN CAST(j->'$.elements' AS JSON[]) ELSE [j] END END AS els FROM ok),
+el AS (SELECT record_id, shape, unnest(els) AS e, unnest(range(len(els))) AS element_pos FROM root),
+elem AS (SELECT record_id, shape, element_pos, CASE json_type(e, '$.precursor') WHEN 'VARCHAR' THEN CASE WHEN json_valid(e->>'$.precursor') THEN CAST(e->>'$.precursor' AS JSON) END ELSE e->'$.precursor' END AS p,
+  CASE json_type(e, '$.elution_group') WHEN 'VARCHAR' THEN CASE WHEN json_valid(e->>'$.elution_group') THEN CAST(e->>'$.elution_group' AS JSON) END ELSE e->'$.elution_group' END AS g FROM el WHERE json_exists(e, '$.elution_group')),
+gr AS (SELECT record_id, element_pos, CASE json_type(g) WHEN 'ARRAY' THEN CAST(g AS JSON[]) WHEN 'OBJECT' THEN [g] END AS gs FROM elem),
+g0 AS (SELECT record_id, element_pos, unnest(gs) AS g, unnest(range(len(gs))) AS group_pos FROM gr),
+g1 AS (SELECT *, CASE WHEN json_type(g, '$.fragments') = 'ARRAY' THEN CAST(g->'$.fragments[*].mz' AS JSON[]) ELSE CAST(coalesce(nullif(g->'$.fragment_mzs', 'null'), nullif(g->'$.fragment_mz', 'null')) AS JSON[]) END AS mz,
+  CASE WHEN json_type(g, '$.fragments') = 'ARRAY' THEN CAST(g->'$.fragments[*].intensity' AS JSON[]) ELSE coalesce(CAST(nullif(g->'$.fragment_intensities', 'null') AS JSON[]), []) END AS it,
+  CASE WHEN json_type(g, '$.fragments') = 'ARRAY' THEN CAST(g->'$.fragments[*].label' AS JSON[]) WHEN json_type(g, '$.fragment_labels') = 'ARRAY' THEN CAST(g->'$.fragment_labels' AS JSON[]) END AS lab FROM g0 WHERE json_type(g) = 'OBJECT'),
+g2 AS (SELECT *, list_distinct(list_filter(list_transform(lab, lambda x: json_type(x)), lambda x: x <> 'NULL')) AS kinds FROM g1),
+g3 AS (SELECT *, CASE WHEN json_type(g, '$.fragments') = 'ARRAY' AND len(mz) > 0 THEN 'group_fragments' WHEN mz IS NULL THEN 'group_empty' WHEN lab IS NULL THEN 'group_parallel_bare'
+    WHEN len(kinds) = 0 OR kinds = ['VARCHAR'] THEN 'group_parallel_text' WHEN kinds = ['OBJECT'] THEN 'group_parallel_object' ELSE 'group_parallel_mixed' END AS shape FROM g2),
+fr AS (SELECT record_id, element_pos, group_pos, shape, unnest(range(len(mz))) AS fragment_pos, unnest(mz) AS m, unnest(it) AS i, unnest(coalesce(lab, list_transform(mz, lambda x: NULL))) AS l FROM g3 WHERE len(mz) = len(it) AND (lab IS NULL OR len(lab) = len(mz)))
+"""
+FRAGMENT = """SELECT record_id, CAST(element_pos AS INTEGER) AS element_pos, CAST(group_pos AS INTEGER) AS group_pos, CAST(fragment_pos AS INTEGER) AS fragment_pos, CAST(m AS DOUBLE) AS fragment_mz, CAST(i AS DOUBLE) AS fragment_intensity"""
+LABEL_SQL = r""", CASE WHEN l IS NULL OR json_type(l) = 'NULL' THEN CAST(fragment_pos AS VARCHAR) WHEN json_type(l) = 'OBJECT' THEN (l->>'$.series') || (l->>'$.ordinal')
+    || CASE coalesce(CAST(l->>'$.isotope' AS INTEGER), 0) WHEN 0 THEN '' WHEN 1 THEN '+i' ELSE '+' || (l->>'$.isotope') || 'i' END || CASE WHEN coalesce(CAST(l->>'$.charge' AS INTEGER), 1) > 1 THEN '^' || (l->>'$.charge') ELSE '' END
+  ELSE l->>'$' END AS fragment_label"""
+ORACLE |= {
+    "p1_elements": SHREDDED + "SELECT record_id, CAST(element_pos AS INTEGER) AS element_pos, shape, p->>'$.sequence' AS sequence, TRY_CAST(p->>'$.charge' AS INTEGER) AS charge, TRY_CAST(p->>'$.decoy' AS BOOLEAN) AS decoy, TRY_CAST(p->>'$.decoy_group' AS BIGINT) AS decoy_group FROM elem",
+    "p1_groups": SHREDDED + """SELECT record_id, CAST(element_pos AS INTEGER) AS element_pos, CAST(group_pos AS INTEGER) AS group_pos, shape, TRY_CAST(g->>'$.id' AS BIGINT) AS eg_id, CAST(coalesce(g->>'$.precursor_mz', g->>'$.precursor_mono_mz') AS DOUBLE) AS precursor_mz,
+  TRY_CAST(g->>'$.precursor_charge' AS INTEGER) AS charge, CAST(coalesce(g->>'$.mobility_ook0', g->>'$.mobility') AS DOUBLE) AS mobility_ook0, CAST(g->>'$.rt_seconds' AS DOUBLE) AS rt_seconds,
+  CAST(CASE WHEN mz IS NULL THEN 0 WHEN len(mz) = len(it) AND (lab IS NULL OR len(lab) = len(mz)) THEN len(mz) END AS INTEGER) AS n_fragments FROM g3""",
+    "p1_rejects": "SELECT record_id, CASE WHEN payload IS NULL OR payload = '' THEN 'null' ELSE 'unreadable' END AS shape FROM speclib_elements WHERE payload IS NULL OR NOT json_valid(payload)",
+    **{"p1_fragments_" + v.removeprefix("group_"): SHREDDED + FRAGMENT + ("" if v == "group_parallel_bare" else LABEL_SQL) + f" FROM fr WHERE shape = '{v}'" for v in shred.VARIANTS},
+}
+_NAMED = {"ms": "ms|msec|milliseconds?", "s": r"s|secs?\.?|seconds?", "min": r"m|mins?\.?|minutes?", "h": "h|hrs?|hours?"}
+ORACLE["p6_units"] = ORACLE["p6_found"][: ORACLE["p6_found"].index("SELECT rec_table, rec_id, field_name, CAST(round")].rstrip() + r""",
+su AS (SELECT source_id, CASE """ + " ".join(f"WHEN regexp_full_match(lower(trim(rt_unit)), '{p}') THEN '{u}'" for u, p in _NAMED.items()) + r""" END AS named,
+  CASE WHEN regexp_matches(lower(note), 'hundredths of a minute|0\.01 min') THEN 'cmin' WHEN regexp_matches(n, '\b(ms|milliseconds?)\b') THEN 'ms' WHEN regexp_matches(n, '\b(seconds?|sekunden)\b') THEN 's' WHEN regexp_matches(n, '\b(hours?|h-based)\b') THEN 'h' WHEN regexp_matches(n, '\b(minutes?)\b') THEN 'min' END AS noted
+  FROM (SELECT *, regexp_replace(lower(note), '[0-9]+ ?(ms|s|min|h)\b', '', 'g') AS n FROM library_sources)),
+z AS (SELECT c.source_id, field_name, CASE WHEN num IS NOT NULL THEN coalesce(named, noted, CASE field_name WHEN 'rt_seconds' THEN 's' ELSE 'min' END) WHEN u IN ('s', 'sec', 'seconds') THEN 's' WHEN u IN ('m', 'min', 'minutes') THEN 'min' WHEN u IN ('h', 'hr', 'hours') THEN 'h' ELSE 'ms' END AS unit,
+  CASE WHEN num IS NULL THEN 'text' WHEN named IS NOT NULL THEN 'source' WHEN noted IS NOT NULL THEN 'note' ELSE 'default' END AS unit_origin FROM c LEFT JOIN su ON c.source_id = su.source_id WHERE ms IS NOT NULL)
+SELECT source_id, field_name, unit, unit_origin, count(*) AS n FROM z GROUP BY ALL
+"""
+# The lines that p3_found does not reject, typed.
+_WITH = ORACLE["p3_found"][: ORACLE["p3_found"].index("SELECT line_id, unnest(reasons)")].rstrip()
+_CANON = {k: [f"vals[list_position(names, '{n}')]" for n in names] for k, names in lines.ALIASES.items()}
+_TYPES = {"precursor_mz": "DOUBLE", "charge": "INTEGER", "rt_min": "DOUBLE", "mobility": "DOUBLE", "decoy": "INTEGER", "frag_mz": "DOUBLE", "frag_num": "INTEGER", "frag_charge": "INTEGER", "rel_int": "FLOAT"}
+ORACLE["p3_transitions"] = (
+    _WITH + " SELECT v.line_id, " + ", ".join(f"{'TRY_CAST(' if k in _TYPES else ''}coalesce({', '.join(c)}){f' AS {_TYPES[k]})' if k in _TYPES else ''} AS {k}" for k, c in _CANON.items()) + " FROM v JOIN r ON v.line_id = r.line_id WHERE len(reasons) = 0"
+)

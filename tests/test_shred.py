@@ -2,8 +2,9 @@ import json
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from ionloom.operators.shred import KEYS, _batch, shred, shred_payload, subtype_tables
+from ionloom.operators.shred import KEYS, _batch, all_fragments, shred, shred_payload, subtype_tables
 
 EG = {"id": 1, "precursor_mz": 500.5, "fragment_mzs": [1.0, 2.0], "fragment_intensities": [0.5, 0.6], "fragment_labels": ["y1", "y2"]}
 
@@ -42,12 +43,27 @@ def test_dirt(spark):
 
 
 def test_subtypes_hold_all_fragments(spark, sf):
-    rows = shred(spark.read.parquet(f"{sf}/speclib_elements.parquet"))
-    tables = subtype_tables(rows)
-    parts = sum(t.count() for k, t in tables.items() if k.startswith("fragments_"))
-    assert parts == tables["fragments"].count() > 0
-    orphans = tables["fragments"].join(tables["groups"], KEYS[:3], "left_anti").count() + tables["groups"].join(tables["elements"], KEYS[:2], "left_anti").count()
+    records = spark.read.parquet(f"{sf}/speclib_elements.parquet")
+    tables = subtype_tables(records)
+    every = all_fragments(tables)
+    want = sorted(tuple(r) for r in shred(records, ("fragment",)).select(*KEYS, "fragment_label", "fragment_mz").collect())
+    assert sorted(tuple(r) for r in every.select(*KEYS, "fragment_label", "fragment_mz").collect()) == want
+    assert sum(t.count() for k, t in tables.items() if k.startswith("fragments_")) == len(want) > 0
+    orphans = every.join(tables["groups"], KEYS[:3], "left_anti").count() + tables["groups"].join(tables["elements"], KEYS[:2], "left_anti").count()
     assert orphans == 0
+    assert tables["rejects"].join(tables["elements"], "record_id").count() == 0
+
+
+def test_each_table_reads_its_own_files_and_columns(spark, sf):
+    t = subtype_tables(spark.read.parquet(f"{sf}/speclib_elements.parquet"))["fragments_parallel_object"]
+    files = [r[0] for r in t.select(F.input_file_name()).distinct().collect()]
+    assert files and all("kind=fragment/shape=group_parallel_object" in f for f in files)
+    assert "sequence" not in t._jdf.queryExecution().executedPlan().toString()
+
+
+def test_empty_table_has_empty_tables(spark, sf):
+    tables = subtype_tables(spark.read.parquet(f"{sf}/speclib_elements.parquet").limit(0))
+    assert all(t.count() == 0 for t in tables.values()) and all_fragments(tables).count() == 0
 
 
 def test_long_and_empty(spark):
