@@ -1,7 +1,7 @@
 """One consistent table from files whose fields drift, and a report of each change.
 
-A column lifespan catalogue is kept per stream and field: which files hold the field and with which
-type. Lag and lead over the catalogue cut it into islands, whose starts and ends are the changes;
+A column lifespan catalogue is kept per stream (the producer), field and type: which files hold the field with
+that type. Numbering cuts it into islands of successive files, whose starts and ends are the changes;
 values of shared ids decide which end and start are one renamed field. An alias table (given, plus the
 renames found) generates the casts that land every record in one table.
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionloom.operators.sequence import neighbours, numbered
-from ionloom.runtime import sized_join, stored
+from ionloom.runtime import release, sized_join, stored
 
 # Names under which the formats carry each quantity, and its type in the landed table.
 CANONICAL = {
@@ -56,43 +56,43 @@ def json_type(value: Column) -> Column:
 
 
 def fields_of(exports: DataFrame) -> DataFrame:
-    """(stream, file_id, id, field, value variant, type), one row per non-null field of a record."""
+    """(stream, file_id, id, field, value as text, type), one row per non-null field of a record."""
     spark = exports.sparkSession
     parsed = exports.select("export_stream", "file_id", F.try_parse_json(F.col("payload").cast("string")).alias("_il_v")).filter("file_id is not null and _il_v is not null and schema_of_variant(_il_v) like 'OBJECT%'")
     out = parsed.lateralJoin(spark.tvf.variant_explode(F.col("_il_v").outer()))
-    out = out.select("export_stream", "file_id", F.try_variant_get("_il_v", "$.id", "string").alias("id"), F.col("key").alias("field"), "value", json_type(F.col("value")).alias("jtype"))
+    out = out.select("export_stream", "file_id", F.try_variant_get("_il_v", "$.id", "string").alias("id"), F.col("key").alias("field"), json_type(F.col("value")).alias("jtype"), F.col("value").cast("string").alias("text"))
     return out.filter("jtype is not null and field <> 'id'")
 
 
 def files_of(exports: DataFrame) -> DataFrame:
-    """(stream, file_id, file_no, prev_file_id): files of each stream numbered by their time."""
+    """(stream, file_id, file_no, prev_file_id, next_file_id): files of each stream numbered by their time."""
     files = exports.filter("file_id is not null and export_stream is not null").groupBy("export_stream", "file_id").agg(F.min("exported_at").alias("exported_at"))
     seq = numbered(files, ["export_stream"], ["exported_at", "file_id"], "file_no")
     return neighbours(seq, ["export_stream"], "file_no", ["file_id"])
 
 
-def catalogue(exports: DataFrame, files: DataFrame) -> DataFrame:
-    """(stream, field, file_no, file_id, jtype, and the same of the field's neighbouring files).
+def catalogue(fields: DataFrame, files: DataFrame) -> DataFrame:
+    """(stream, field, jtype, file_no, file_id, prev_file_id, next_file_id): which file holds which field.
 
     The footers: counts per file, field and type are pre-aggregated where the records lie."""
-    counts = fields_of(exports).groupBy("export_stream", "file_id", "field", "jtype").agg(F.count(F.lit(1)).alias("n"))
+    counts = fields.groupBy("export_stream", "file_id", "field", "jtype").agg(F.count(F.lit(1)).alias("n"))
     # The commonest type, then the alphabetically first; array<null> yields to any other.
     best = counts.groupBy("export_stream", "file_id", "field").agg(F.min(F.struct(F.when(F.col("jtype") == "array<null>", F.lit(1)).otherwise(F.lit(0)), -F.col("n"), "jtype")).alias("b"))
     best = best.select("export_stream", "file_id", "field", F.col("b.jtype").alias("jtype"))
-    files = files.select("export_stream", "file_id", "file_no", "exported_at", F.col("prev_file_id"), F.col("next_file_id"))
-    return best.join(files, ["export_stream", "file_id"]).select("export_stream", "file_id", "field", "jtype", "file_no", "exported_at", "prev_file_id", "next_file_id")
+    return best.join(files.select("export_stream", "file_id", "file_no", "prev_file_id", "next_file_id"), ["export_stream", "file_id"])
 
 
 def lifespans(catalogue_: DataFrame) -> DataFrame:
-    """Islands: (stream, field, jtype, first_file_no, last_file_no, n_files) of unbroken presence with one type."""
-    w = Window.partitionBy("export_stream", "field", "jtype")
-    isl = numbered(catalogue_.select("export_stream", "field", "jtype", "file_no"), ["export_stream", "field", "jtype"], ["file_no"], "k")
-    return isl.groupBy("export_stream", "field", "jtype", (F.col("file_no") - F.col("k")).alias("island")).agg(F.min("file_no").alias("first_file_no"), F.max("file_no").alias("last_file_no"), F.count(F.lit(1)).alias("n_files")).drop("island")
+    """Islands: (stream, field, jtype, first_file_no, last_file_no, n_files, the ids of the first and the last file
+    and of those before and after) of unbroken presence with one type. The stream is the producer."""
+    isl = numbered(catalogue_, ["export_stream", "field", "jtype"], ["file_no"], "k")
+    ends = [F.min_by(c, "file_no").alias(n) for c, n in (("file_id", "first_file_id"), ("prev_file_id", "before_id"))] + [F.max_by(c, "file_no").alias(n) for c, n in (("file_id", "last_file_id"), ("next_file_id", "after_id"))]
+    return isl.groupBy("export_stream", "field", "jtype", (F.col("file_no") - F.col("k")).alias("island")).agg(F.min("file_no").alias("first_file_no"), F.max("file_no").alias("last_file_no"), F.count(F.lit(1)).alias("n_files"), *ends).drop("island")
 
 
-def quantity(value: Column) -> Column:
+def quantity(text: Column) -> Column:
     """What a value says, whatever its type: its leaves as numbers where they are numbers."""
-    text = F.regexp_replace(value.cast("string"), r',?"unit":"[^"]*"', "")
+    text = F.regexp_replace(text, r',?"unit":"[^"]*"', "")
     text = F.regexp_replace(text, r'"\w+":', " ")
     tokens = F.filter(F.split(text, r'[\s\[\]{}",;|]+'), lambda t: t != "")
     tokens = F.transform(tokens, lambda t: F.coalesce(t.try_cast("double").cast("string"), F.when(t == "true", "1.0").when(t == "false", "0.0"), t))
@@ -101,24 +101,25 @@ def quantity(value: Column) -> Column:
 
 def changes(exports: DataFrame, agreement: float = AGREEMENT) -> DataFrame:
     """(file_id, change_kind, old_name, new_name): each file against the one before it in its stream."""
-    files = stored(files_of(exports))
-    cat = stored(catalogue(exports, files))
-    # Neighbouring rows of a field that aren't neighbouring files mark an island's end and start.
-    by_field = numbered(cat, ["export_stream", "field"], ["file_no"], "k")
-    spans = stored(neighbours(by_field, ["export_stream", "field"], "k", ["file_no", "jtype"]))
-    started = spans.filter("file_no > 0 and (prev_file_no is null or prev_file_no < file_no - 1)").select("file_id", F.col("prev_file_id").alias("before"), F.col("field").alias("new_name"), F.col("jtype").alias("new_type"))
-    ended = spans.filter("next_file_id is not null and (next_file_no is null or next_file_no > file_no + 1)").select(F.col("next_file_id").alias("file_id"), F.col("file_id").alias("before"), F.col("field").alias("old_name"), F.col("jtype").alias("old_type"))
-    retyped = spans.filter("prev_file_no = file_no - 1 and prev_jtype <> jtype").select("file_id", F.lit("retyped").alias("change_kind"), F.col("field").alias("old_name"), F.col("field").alias("new_name"))
-    pairs = started.join(ended.drop("before"), "file_id")
-    values = fields_of(exports)
-
-    def side(names: DataFrame, file_col: str, name: str, out: str) -> DataFrame:
+    # Payloads are parsed once; everything below reads their fields.
+    values = stored(fields_of(exports))
+    spans = stored(lifespans(catalogue(values, files_of(exports))))
+    starts = spans.filter("first_file_no > 0").select(F.col("first_file_id").alias("file_id"), F.col("before_id").alias("before"), F.col("field").alias("new_name"), F.col("jtype").alias("new_type"))
+    ends = spans.filter("after_id is not null").select(F.col("after_id").alias("file_id"), F.col("field").alias("old_name"), F.col("jtype").alias("old_type"))
+    # An island that ends where another of the same field starts is a new type; the rest are gone or new names.
+    same = stored(starts.join(ends, (starts.file_id == ends.file_id) & (F.col("new_name") == F.col("old_name")), "full").select(F.coalesce(starts.file_id, ends.file_id).alias("file_id"), "before", "old_name", "old_type", "new_name", "new_type"))
+    retyped = same.filter("old_name is not null and new_name is not null").select("file_id", F.lit("retyped").alias("change_kind"), "old_name", "new_name")
+    started = same.filter("old_name is null").select("file_id", "before", "new_name", "new_type")
+    ended = same.filter("new_name is null").select("file_id", "old_name", "old_type")
+    pairs = stored(started.join(ended, "file_id"))
+
+    def side(names: DataFrame, file_col: str, name: str) -> DataFrame:
         """Quantities of the fields that ended or started in files where both happen."""
         wanted = names.select(F.col(file_col).alias("file_id"), F.col("file_id").alias("_il_at"), F.col(name).alias("field")).distinct() if file_col != "file_id" else names.select("file_id", F.col("file_id").alias("_il_at"), F.col(name).alias("field")).distinct()
-        return sized_join(values, wanted, ["file_id", "field"], "inner").filter("id is not null").groupBy("_il_at", "id", "field").agg(F.max(quantity(F.col("value"))).alias("q")).select(F.col("_il_at").alias("file_id"), "id", F.col("field").alias(out), F.col("q").alias(f"q_{out}"))
+        return sized_join(values.filter("id is not null").select("file_id", "id", "field", "text"), wanted, ["file_id", "field"], "inner").groupBy("_il_at", "id", "field").agg(F.max(quantity(F.col("text"))).alias("q")).select(F.col("_il_at").alias("file_id"), "id", F.col("field").alias(name), F.col("q").alias(f"q_{name}"))
 
-    old = side(pairs, "before", "old_name", "old_name")
-    new = side(pairs, "file_id", "new_name", "new_name")
+    old = side(pairs, "before", "old_name")
+    new = side(pairs, "file_id", "new_name")
     score = old.join(new, ["file_id", "id"]).groupBy("file_id", "old_name", "new_name").agg(F.avg((F.col("q_old_name") == F.col("q_new_name")).cast("int")).alias("share"), F.sum((F.col("q_old_name") == F.col("q_new_name")).cast("int")).alias("same"))
     score = score.filter((F.col("share") >= agreement) & (F.col("same") > 0))
     rank = [F.desc("share"), F.desc("same"), F.asc(F.levenshtein("old_name", "new_name")), F.asc("old_name"), F.asc("new_name")]
@@ -139,6 +140,8 @@ def changes(exports: DataFrame, agreement: float = AGREEMENT) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = stored(out)
+    release(exports.sparkSession, values, spans, same, pairs, renamed)
     return out
 
 

@@ -47,7 +47,8 @@ def p4_landed(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_lifespans(spark: SparkSession, sf: str) -> DataFrame:
     exports = table(spark, sf, "eg_exports")
-    return drift.lifespans(drift.catalogue(exports, drift.files_of(exports)))
+    spans = drift.lifespans(drift.catalogue(drift.fields_of(exports), drift.files_of(exports)))
+    return spans.select("export_stream", "field", "jtype", "first_file_no", "last_file_no", "n_files")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -215,3 +216,10 @@ _TYPES = {"precursor_mz": "DOUBLE", "charge": "INTEGER", "rt_min": "DOUBLE", "mo
 ORACLE["p3_transitions"] = (
     _WITH + " SELECT v.line_id, " + ", ".join(f"{'TRY_CAST(' if k in _TYPES else ''}coalesce({', '.join(c)}){f' AS {_TYPES[k]})' if k in _TYPES else ''} AS {k}" for k, c in _CANON.items()) + " FROM v JOIN r ON v.line_id = r.line_id WHERE len(reasons) = 0"
 )
+_BEST = ORACLE["p4_found"][: ORACLE["p4_found"].index("cur AS (SELECT")]
+ORACLE["p4_lifespans"] = (
+    _BEST
+    + """no AS (SELECT s, f, row_number() OVER (PARTITION BY s ORDER BY t, f) - 1 AS n FROM (SELECT s, f, min(t) AS t FROM rec GROUP BY 1, 2)),
+isl AS (SELECT s, k, jt, n, n - row_number() OVER (PARTITION BY s, k, jt ORDER BY n) AS island FROM best JOIN no ON best.f = no.f)
+SELECT s AS export_stream, k AS field, jt AS jtype, min(n) AS first_file_no, max(n) AS last_file_no, count(*) AS n_files FROM isl GROUP BY s, k, jt, island"""
+)

@@ -1,7 +1,7 @@
 import datetime
 import json
 
-from ionloom.operators.drift import alias_table, changes, landed, lifespans, catalogue, files_of
+from ionloom.operators.drift import alias_table, catalogue, changes, fields_of, files_of, landed, lifespans
 
 T = datetime.datetime(2025, 1, 1)
 SCHEMA = "export_row_id long, file_id long, export_stream string, exported_at timestamp, received_at timestamp, record_no int, payload string"
@@ -43,7 +43,7 @@ def test_dirt(spark):
 def test_lifespans_and_landed(spark):
     files = [(i, "s", i, [{"id": 1, "precMz": str(i + 0.5), **({"im": [1.25]} if i != 2 else {})}]) for i in range(4)]
     df = frame(spark, files)
-    spans = sorted(tuple(r) for r in lifespans(catalogue(df, files_of(df))).select("field", "first_file_no", "last_file_no", "n_files").collect())
+    spans = sorted(tuple(r) for r in lifespans(catalogue(fields_of(df), files_of(df))).select("field", "first_file_no", "last_file_no", "n_files").collect())
     assert spans == [("im", 0, 1, 2), ("im", 3, 3, 1), ("precMz", 0, 3, 4)]
     rows = landed(df).orderBy("file_id").collect()
     assert [r.precursor_mono_mz for r in rows] == [0.5, 1.5, 2.5, 3.5] and [r.mobility_ook0 for r in rows] == [1.25, 1.25, None, 1.25]
