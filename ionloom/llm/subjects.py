@@ -101,7 +101,16 @@ def packed_examples(words: list[list[str]], votes: list[list[float]]) -> dict[st
                 starts.append(len(slots))
                 slots.extend(features(x))
             flat.append(k)
-    return {"flat": np.array(flat, np.int32), "lens": np.array([len(w) for w in words], np.int32), "slots": np.array(slots, np.int32), "starts": np.array(starts, np.int32), "y": np.array(votes, np.float32).ravel()}
+    flat_, slots_, lens = np.array(flat, np.int32), np.array(slots, np.int32), np.array([len(w) for w in words], np.int32)
+    per = np.diff(np.r_[starts, len(slots)])
+    by_word = np.argsort(flat_, kind="stable")
+    by_slot = np.argsort(slots_, kind="stable")
+    used, slot_heads = np.unique(slots_[by_slot], return_index=True)
+    return {
+        "flat": flat_, "lens": lens, "slots": slots_, "starts": np.array(starts, np.int32), "used": used.astype(np.int32), "slot_heads": slot_heads.astype(np.int32), "y": np.array(votes, np.float32).ravel(),
+        # Where each word and each slot stands, in their order, so that gradients are sums of neighbours.
+        "sentence_of": np.repeat(np.arange(len(lens)), lens)[by_word].astype(np.int32), "word_heads": np.searchsorted(flat_[by_word], np.arange(len(starts))).astype(np.int32), "word_of": np.repeat(np.arange(len(starts)), per)[by_slot].astype(np.int32),
+    }
 
 
 def gradient(weights, x: dict[str, np.ndarray], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,50 +119,48 @@ def gradient(weights, x: dict[str, np.ndarray], times: np.ndarray) -> tuple[np.n
     flat, lens, slots, starts, y = x["flat"], x["lens"], x["slots"], x["starts"], x["y"].reshape(len(x["lens"]), -1)
     per = np.diff(np.r_[starts, len(slots)]).astype(np.float32)[:, None]
     vec = np.add.reduceat(e[slots], starts, axis=0) / per
-    heads = np.r_[0, np.cumsum(lens)[:-1]]
     n = lens.astype(np.float32)[:, None]
-    mean = np.add.reduceat(vec[flat], heads, axis=0) / n
+    mean = np.add.reduceat(vec[flat], np.r_[0, np.cumsum(lens)[:-1]], axis=0) / n
     err = (1 / (1 + np.exp(-(mean @ w + b))) - y) * times[:, None]
-    d_word = _sums(flat, np.repeat((err @ w.T) / n, lens, axis=0), len(starts)) / per
-    used, back = np.unique(slots, return_inverse=True)
-    d_e = _sums(back, np.repeat(d_word, per[:, 0].astype(np.int64), axis=0), len(used))
-    return used, d_e.astype(np.float32), (mean.T @ err).astype(np.float32), err.sum(axis=0).astype(np.float32)
-
-
-def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of the rows of ``values`` by ``at``."""
-    return np.stack([np.bincount(at, weights=values[:, j], minlength=size) for j in range(values.shape[1])], axis=1)
+    d_word = np.add.reduceat(((err @ w.T) / n)[x["sentence_of"]], x["word_heads"], axis=0) / per
+    d_e = np.add.reduceat(d_word[x["word_of"]], x["slot_heads"], axis=0)
+    return x["used"], d_e, mean.T @ err, err.sum(axis=0)
 
 
 class Scorer:
-    """Outputs per sentence, with each word's part kept."""
+    """Subjects of many sentences at once; each word's part is kept."""
 
     def __init__(self, weights):
         e, w, self.b = weights
         self.ew = e @ w
-        self.words: dict[str, np.ndarray] = {}
-
-    def word(self, x: str) -> np.ndarray:
-        v = self.words.get(x)
-        if v is None:
-            if len(self.words) > 100_000:
-                self.words.clear()
-            v = self.words[x] = self.ew[features(x)].mean(axis=0)
-        return v
-
-    def subject(self, words: list[str] | tuple[str, ...]) -> int:
-        """The number of the likeliest subject, or -1."""
-        logits = sum(self.word(x) for x in words) / len(words) + self.b
-        k = int(logits.argmax())
-        return k if logits[k] > math.log(LIKELY / (1 - LIKELY)) else -1
-
-
-def sentence_subject(key: tuple[str, ...], scorer: Scorer, quoted: frozenset) -> int:
-    """The subject of a sentence by its shape; -1 for none, without words, or quoted from the held-out items."""
-    words = [x for x in key if x != "0"]
-    if not words or sum(key[j : j + QUOTE_RUN] in quoted for j in range(len(key) - QUOTE_RUN + 1)) >= 2:
-        return -1
-    return scorer.subject(words)
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1024, w.shape[1]), np.float32)
+
+    def _number(self, x: str) -> int:
+        k = self.at.get(x)
+        if k is None:
+            k = self.at[x] = len(self.at)
+            if k >= len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[k] = self.ew[features(x)].mean(axis=0)
+        return k
+
+    def subjects(self, sentences_: list[list[str]]) -> list[int]:
+        """The number of the likeliest subject of each sentence (a list of words), or -1."""
+        if not sentences_:
+            return []
+        if len(self.at) > 200_000:
+            self.at.clear()
+        flat = np.array([self._number(x) for ws in sentences_ for x in ws])
+        lens = np.array([len(ws) for ws in sentences_])
+        logits = np.add.reduceat(self.rows[flat], np.r_[0, np.cumsum(lens)[:-1]], axis=0) / lens[:, None] + self.b
+        k = logits.argmax(axis=1)
+        return np.where(logits[np.arange(len(k)), k] > math.log(LIKELY / (1 - LIKELY)), k, -1).tolist()
+
+
+def quotes(key: tuple[str, ...], quoted: frozenset) -> bool:
+    """Whether a sentence shares runs of words with the held-out items."""
+    return sum(key[j : j + QUOTE_RUN] in quoted for j in range(len(key) - QUOTE_RUN + 1)) >= 2
 
 
 def shape_hash(key: tuple[str, ...]) -> int:
@@ -164,20 +171,26 @@ def shape_hash(key: tuple[str, ...]) -> int:
 DIGITS = re.compile(r"\d+")
 
 
-def read_document(text: str, scorer: Scorer, quoted: frozenset, memo: dict) -> tuple[list[int], list[int]]:
-    """(hash of its shape, subject or -1) of every sentence."""
-    hashes, found = [], []
-    for s in sentences(text):
-        plain = DIGITS.sub("0", s)
-        got = memo.get(plain)
-        if got is None:
-            key = shape(plain)
-            if len(memo) > 50_000:
-                memo.clear()
-            got = memo[plain] = shape_hash(key), sentence_subject(key, scorer, quoted)
-        hashes.append(got[0])
-        found.append(got[1])
-    return hashes, found
+def read_documents(texts: list[str], scorer, quoted: frozenset, memo: dict) -> Iterator[tuple[list[int], list[int]]]:
+    """(hash of its shape, subject or -1) of every sentence of each text. ``memo`` keeps sentences already seen."""
+    if len(memo) > 100_000:
+        memo.clear()
+    found = [[DIGITS.sub("0", s) for s in sentences(t)] for t in texts]
+    new = {s for many in found for s in many if s not in memo}
+    wanted, words = [], []
+    for s in new:
+        key = shape(s)
+        ws = [x for x in key if x != "0"]
+        if ws and not quotes(key, quoted):
+            wanted.append((s, key))
+            words.append(ws)
+        else:
+            memo[s] = shape_hash(key), -1
+    for (s, key), k in zip(wanted, scorer.subjects(words)):
+        memo[s] = shape_hash(key), k
+    for many in found:
+        got = [memo[s] for s in many]
+        yield [h for h, _ in got], [k for _, k in got]
 
 
 def quoted_runs(items: DataFrame | None) -> frozenset:
@@ -212,7 +225,7 @@ def training_sentences(documents: DataFrame, labels: DataFrame, names: list[str]
                 for s in sentences(text):
                     key = shape(s)
                     words = [x for x in key if x != "0"]
-                    if words and sum(key[j : j + QUOTE_RUN] in quoted for j in range(len(key) - QUOTE_RUN + 1)) < 2:
+                    if words and not quotes(key, quoted):
                         xs.append(" ".join(words))
                         ys.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.string()), pa.array(ys, pa.list_(pa.float32()))], names=["words", "y"])
@@ -232,7 +245,7 @@ def training_sentences(documents: DataFrame, labels: DataFrame, names: list[str]
     return stored(each.mapInArrow(pack, ", ".join(f"{k} binary" for k in EXAMPLE) + ", times binary, n long"))
 
 
-EXAMPLE = {"flat": np.int32, "lens": np.int32, "slots": np.int32, "starts": np.int32, "y": np.float32}
+EXAMPLE = {**dict.fromkeys(("flat", "lens", "slots", "starts", "used", "slot_heads", "sentence_of", "word_heads", "word_of"), np.int32), "y": np.float32}
 
 
 def train(examples: DataFrame, n_subjects: int, steps: int = STEPS):
@@ -295,8 +308,11 @@ def read_all(documents: DataFrame, weights, quoted: frozenset) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, memo = Scorer(weights), {}
         for b in batches:
-            rows = [(i, *read_document(t, scorer, quoted, memo)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int8()))], names=["doc_id", "hashes", "found"])
+            # A thousand texts at once, however long the batch.
+            for i in range(0, b.num_rows, 1000):
+                c = b.slice(i, 1000)
+                rows = list(read_documents(c.column(1).to_pylist(), scorer, quoted, memo))
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int8()))], names=["doc_id", "hashes", "found"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text <> ''")
     return docs.mapInArrow(run, "doc_id long, hashes array<long>, found array<byte>").filter("size(hashes) > 0")

@@ -34,14 +34,15 @@ def test_held_out_accuracy(spark):
 
 def test_quotes_do_not_count():
     class Always:
-        def subject(self, words):
-            return 0 if "claim" in words else -1
+        def subjects(self, sentences):
+            return [0 if "claim" in words else -1 for words in sentences]
 
     quoted = frozenset(S.shape("the claim stands for 12 years")[j : j + 5] for j in range(2))
+    read = lambda text, quoted: list(S.read_documents([text], Always(), quoted, {}))[0][1]
     text = "Nothing here. The claim stands. The claim stands for 9 years."
-    assert S.read_document(text, Always(), frozenset(), {})[1] == [-1, 0, 0]
-    assert S.read_document(text, Always(), quoted, {})[1] == [-1, 0, -1]
-    assert S.read_document("1 2 3. No end", Always(), quoted, {})[1] == []
+    assert read(text, frozenset()) == [-1, 0, 0]
+    assert read(text, quoted) == [-1, 0, -1]
+    assert read("1 2 3. No end", quoted) == []
 
 
 def test_footers_and_shares(spark):
