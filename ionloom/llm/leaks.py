@@ -162,61 +162,88 @@ def build_index(documents: DataFrame) -> DataFrame:
     return stored(rows.repartition("term", F.pmod("block", F.lit(SALTS))).sortWithinPartitions("term"))
 
 
-def rarest(terms: list[int], numbers: dict[int, int], min_words: int) -> list[tuple[int, int]]:
-    """Of every run of an item that the corpus can hold, the places of its rarest and its second rarest term."""
+def rarest(terms: list[int], numbers: dict[int, int], min_words: int) -> dict[tuple[int, int], list[int]]:
+    """The places of the rarest and the second rarest term of every run of an item that the corpus can hold, with
+    the runs' own places."""
     size = [numbers.get(t, 0) for t in terms]
-    out = set()
+    out: dict[tuple[int, int], list[int]] = {}
     for k in range(len(terms) - min_words + 1):
         run = range(k, k + min_words)
         if min(size[i] for i in run) > 0:
             first, second = (sorted(run, key=lambda i: (size[i], i)) * 2)[:2]
-            out.add((first, second))
-    return sorted(out)
+            out.setdefault((first, second), []).append(k)
+    return out
 
 
-def candidates(index: DataFrame, seqs: list[tuple[int, list[int]]], min_words: int, slack: int) -> DataFrame:
-    """(doc_id, item_id) where the two rarest terms of some run stand as far apart as in the item, but for ``slack``
-    and the words that may be read as one or two.
+def candidates(index: DataFrame, items: list[list[int]], min_words: int, slack: int) -> tuple[DataFrame, list[tuple[int, list[int]]]]:
+    """(doc_id, pair), and for each pair its item's number and its runs' places: documents where the two rarest terms
+    of some runs stand as far apart as in the item, but for ``slack`` and the words that may be read as one or two.
 
-    The list of each run's rarest term says in which documents, and where, its second one is to be looked for;
-    of that one's list only those documents' places are kept. What is broadcast is made of the items, whose size
-    was measured."""
+    The list of the rarest term says in which documents, and where, the second one is to be looked for; of that
+    one's list only those documents' places are kept. What is broadcast is made of the items, whose size was
+    measured."""
     spark = index.sparkSession
-    terms = sorted({t for _, ts in seqs for t in ts})
-    wanted = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term long"))
+    wanted = F.broadcast(spark.createDataFrame(sorted({(t,) for ts in items for t in ts}), "term long"))
     numbers = {r.term: r.n for r in index.select("term", "n").join(wanted, "term").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    pairs = [(ts[a], i, a, ts[b], b) for i, ts in seqs for a, b in rarest(ts, numbers, min_words)]
-    first = F.broadcast(spark.createDataFrame(pairs, "term long, item_id long, a int, second long, b int"))
+    pairs = [(n, ts[a], a, ts[b], b, ks) for n, ts in enumerate(items) for (a, b), ks in sorted(rarest(ts, numbers, min_words).items())]
+    first = F.broadcast(spark.createDataFrame([(t, p, u, b - a) for p, (_, t, a, u, b, _) in enumerate(pairs)], "term long, pair int, second long, apart int"))
     seconds = F.broadcast(spark.createDataFrame(sorted({(p[3],) for p in pairs}), "term long"))
     splits = F.col("splits") if 2 * min_words <= SPAN else F.when(F.col("splits") > 0, F.lit(min_words)).otherwise(F.lit(0))
-    hits = index.join(first, "term").select("item_id", "second", (F.col("b") - F.col("a")).alias("apart"), splits.alias("splits"), F.explode(F.arrays_zip("doc_ids", "positions")).alias("p"))
-    asked = hits.select(F.col("p.doc_ids").alias("doc_id"), F.col("second").alias("term"), "item_id", (F.col("p.positions") + F.col("apart")).alias("at"), (F.col("splits") + 2 * slack).alias("off")).distinct()
+    hits = index.join(first, "term").select("pair", "second", "apart", splits.alias("splits"), F.explode(F.arrays_zip("doc_ids", "positions")).alias("p"))
+    asked = hits.select(F.col("p.doc_ids").alias("doc_id"), F.col("second").alias("term"), "pair", (F.col("p.positions") + F.col("apart")).alias("at"), (F.col("splits") + 2 * slack).alias("off")).distinct()
     places = index.join(seconds, "term").select("term", F.explode(F.arrays_zip("doc_ids", "positions")).alias("p")).select("term", F.col("p.doc_ids").alias("doc_id"), F.col("p.positions").alias("place"))
     met = sized_join(places, asked, ["doc_id", "term"], "inner").filter(F.abs(F.col("place") - F.col("at")) <= F.col("off"))
-    return met.select("doc_id", "item_id").distinct()
-
-
-def holds(tokens: list[str], item: list[str], min_words: int, slack: int) -> bool:
-    """Whether ``min_words`` words of ``item`` in a row stand in ``tokens``, each within ``slack`` of its place."""
-    if not slack:
-        text = f" {' '.join(tokens)} "
-        return any(f" {' '.join(item[k : k + min_words])} " in text for k in range(len(item) - min_words + 1))
-    wanted, places = set(item), {}
-    for p, w in enumerate(tokens):
-        if w in wanted:
-            places.setdefault(w, []).append(p)
-    near = np.arange(-slack, slack + 1)
-    begins = [np.unique(np.add.outer(np.array(places[w]) - i, near)) if w in places else np.array([], dtype=int) for i, w in enumerate(item)]
-    for k in range(len(item) - min_words + 1):
-        run = sorted(begins[k : k + min_words], key=len)
-        left = run[0]
-        for other in run[1:]:
+    return met.select("doc_id", "pair").distinct(), [(p[0], p[5]) for p in pairs]
+
+
+class Passages:
+    """The runs of the items, made once, and whether a text holds some of them."""
+
+    def __init__(self, items: list[list[str]], min_words: int, slack: int):
+        self.items, self.min_words, self.slack = items, min_words, slack
+        self.vocabulary = {w for ws in items for w in ws}
+        self.runs: dict[tuple[int, int], str] = {}
+        self.near = np.arange(-slack, slack + 1)
+
+    def run(self, n: int, k: int) -> str:
+        got = self.runs.get((n, k))
+        if got is None:
+            got = self.runs[n, k] = f" {' '.join(self.items[n][k : k + self.min_words])} "
+        return got
+
+    def found(self, text: str, wanted: list[tuple[int, list[int]]]) -> set[int]:
+        """Items (by number) of which ``text`` holds one of the runs named: in a row, or each word within the slack."""
+        tokens = words(text, self.vocabulary)
+        out: set[int] = set()
+        if not self.slack:
+            line = f" {' '.join(tokens)} "
+            for n, ks in wanted:
+                if n not in out and any(self.run(n, k) in line for k in ks):
+                    out.add(n)
+            return out
+        places: dict[str, list[int]] = {}
+        for p, w in enumerate(tokens):
+            if w in self.vocabulary:
+                places.setdefault(w, []).append(p)
+        arrays = {w: np.array(p) for w, p in places.items()}
+        for n, ks in wanted:
+            if n not in out and any(self._holds(arrays, self.items[n][k : k + self.min_words]) for k in ks):
+                out.add(n)
+        return out
+
+    def _holds(self, places: dict[str, np.ndarray], run: list[str]) -> bool:
+        """The lists, shifted to where the run begins and widened by the slack, meet; the shortest goes first."""
+        if not all(w in places for w in run):
+            return False
+        order = sorted(range(len(run)), key=lambda i: len(places[run[i]]))
+        left = np.unique(np.add.outer(places[run[order[0]]] - order[0], self.near))
+        for i in order[1:]:
+            p = places[run[i]] - i
+            at = np.searchsorted(p, left - self.slack)
+            left = left[(at < len(p)) & (p[np.minimum(at, len(p) - 1)] <= left + self.slack)]
             if not len(left):
-                break
-            left = np.intersect1d(left, other, assume_unique=True)
-        if len(left):
-            return True
-    return False
+                return False
+        return True
 
 
 def search(index: DataFrame, documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, slack: int = 0, blocks: int | None = None) -> DataFrame:
@@ -230,22 +257,15 @@ def search(index: DataFrame, documents: DataFrame, items: DataFrame, min_words:
     out = None
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        texts = [(r.item_id, words(r.text)) for r in part.collect()]
-        texts = [(i, ws) for i, ws in texts if len(ws) >= min_words]
-        found = candidates(index, [(i, [term_of(w) for w in ws]) for i, ws in texts], min_words, slack)
-        # At most the block's items in a list.
-        pairs = sized_join(docs, found.groupBy("doc_id").agg(F.collect_list("item_id").alias("items")), ["doc_id"], "inner").select("doc_id", "text", "items")
-        by_id: dict[int, list[list[str]]] = {}
-        for i, ws in texts:
-            by_id.setdefault(i, []).append(ws)
-
-        def run(batches: Iterator[pa.RecordBatch], by_id=by_id) -> Iterator[pa.RecordBatch]:
-            vocabulary = {w for many in by_id.values() for ws in many for w in ws}
+        texts = [(r.item_id, ws) for r in part.collect() if len(ws := words(r.text)) >= min_words]
+        found, runs = candidates(index, [[term_of(w) for w in ws] for _, ws in texts], min_words, slack)
+        # At most the block's runs in a list.
+        pairs = sized_join(docs, found.groupBy("doc_id").agg(F.collect_list("pair").alias("pairs")), ["doc_id"], "inner").select("doc_id", "text", "pairs")
+
+        def run(batches: Iterator[pa.RecordBatch], texts=texts, runs=runs) -> Iterator[pa.RecordBatch]:
+            passages = Passages([ws for _, ws in texts], min_words, slack)
             for batch in batches:
-                got = []
-                for doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                    tokens = words(text, vocabulary)
-                    got += [(doc_id, i) for i in wanted if any(holds(tokens, ws, min_words, slack) for ws in by_id[i])]
+                got = [(doc_id, texts[n][0]) for doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns)) for n in passages.found(text, [runs[p] for p in wanted])]
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["doc_id", "item_id"])
 
         got = pairs.mapInArrow(run, "doc_id long, item_id long").distinct()
