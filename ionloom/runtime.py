@@ -78,15 +78,17 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
             _scratch.remove(path)
 
 
-def stored(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stored(df: DataFrame, partition_by: tuple[str, ...] = (), **also: Column) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and a lost
-    executor costs a re-read instead of a recomputation. The size of its rows is measured on the way."""
+    executor costs a re-read instead of a recomputation. The size of its rows is measured on the way, and
+    what ``also`` names: aggregates that the result has in ``_il_seen``."""
     spark = df.sparkSession
     path, seen = scratch(spark), Observation()
-    w = df.observe(seen, F.sum(row_bytes(df)).alias("b"), F.count(F.lit(1)).alias("n")).write
+    w = df.observe(seen, F.sum(row_bytes(df)).alias("b"), F.count(F.lit(1)).alias("n"), *[c.alias(f"also_{k}") for k, c in also.items()]).write
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._il_path, out._il_bytes, out._il_rows = path, int(seen.get["b"] or 0), int(seen.get["n"])
+    out._il_seen = {k: seen.get[f"also_{k}"] for k in also}
     return out
 
 
