@@ -32,7 +32,7 @@ def _search(spark: SparkSession, a: argparse.Namespace) -> None:
     peaks, cycles, windows, _ = read_index(spark, a.index)
     library = spark.read.parquet(a.library)
     with report.phase("search"):
-        results, cal = search(library, peaks.withColumnsRenamed({"mobility_ook0": "mobility", "cycle_index": "cycle"}), cycles, windows, Settings(decoys=a.decoys, max_q=a.max_q))
+        results, cal = search(library, peaks.withColumnsRenamed({"mobility_ook0": "mobility", "cycle_index": "cycle"}), cycles, windows, Settings(decoys=a.decoys, max_q=a.max_q), report.values)
         write_results(results, f"{a.output}/results", a.max_q)
     if isinstance(cal, dict):
         for k, c in enumerate(cal[run_id] for run_id in sorted(cal)):
@@ -54,6 +54,12 @@ def _build(spark: SparkSession, a: argparse.Namespace) -> None:
     out.write.mode("overwrite").parquet(a.output)
 
 
+def _show(spark: SparkSession, a: argparse.Namespace) -> None:
+    from ionloom.sources.registry import read_library
+
+    read_library(spark, a.library).show(a.rows, truncate=80)
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="ionloom")
     sub = p.add_subparsers(dest="command", required=True)
@@ -74,6 +80,9 @@ def main(argv: list[str] | None = None) -> None:
     b.add_argument("--output", required=True)
     b.add_argument("--missed", type=int, default=1)
     b.add_argument("--decoys", choices=["none", "reverse", "mutate"], default="reverse")
+    d = sub.add_parser("show-library", help="print entries of a library of any kind")
+    d.add_argument("library")
+    d.add_argument("--rows", type=int, default=20)
     w = sub.add_parser("write-template", help="write example query files")
     w.add_argument("folder")
     a = p.parse_args(argv)
@@ -84,7 +93,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     from ionloom.runtime import session
 
-    {"query": _query, "search": _search, "build-library": _build}[a.command](SparkSession.getActiveSession() or session("local[*]"), a)
+    {"query": _query, "search": _search, "build-library": _build, "show-library": _show}[a.command](SparkSession.getActiveSession() or session("local[*]"), a)
 
 
 if __name__ == "__main__":

@@ -91,3 +91,27 @@ def np_unit_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     norm = np.sqrt((moved**2).sum(axis=1))
     ok = norm >= 1e-12
     return moved[ok] / norm[ok, None], ok
+
+
+def map_labels(fragments: Column, label: str, f) -> Column:
+    """Fragments (an array of structs) with ``f`` applied to the field ``label``; the rest stays."""
+    return F.transform(fragments, lambda x: x.withField(label, f(x[label])))
+
+
+def drop_row(rows: Column, at: Column) -> Column:
+    """An array of arrays without its row ``at`` (from 0); a place outside changes nothing, as in all of these."""
+    return F.filter(rows, lambda r, i: i != at)
+
+
+def swap_rows(rows: Column, a: Column, b: Column) -> Column:
+    ok = (a >= 0) & (b >= 0) & (a < F.size(rows)) & (b < F.size(rows))
+    return F.when(ok, F.transform(rows, lambda r, i: F.when(i == a, F.get(rows, b)).when(i == b, F.get(rows, a)).otherwise(r))).otherwise(rows)
+
+
+def replace_row(rows: Column, at: Column, row: Column) -> Column:
+    return F.transform(rows, lambda r, i: F.when(i == at, row).otherwise(r))
+
+
+def put_value(rows: Column, at: Column, column: Column, value: Column) -> Column:
+    """The value at a row and column replaced."""
+    return F.transform(rows, lambda r, i: F.when(i == at, F.transform(r, lambda x, j: F.when(j == column, value).otherwise(x))).otherwise(r))

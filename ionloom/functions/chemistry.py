@@ -12,7 +12,10 @@ RESIDUES = {
 }
 WATER, PROTON = 18.010565, 1.007276
 # Mass shifts of the modifications by their public accession.
-UNIMOD = {1: 42.010565, 4: 57.021464, 7: 0.984016, 21: 79.966331, 35: 15.994915, 121: 114.042927}
+UNIMOD = {
+    1: 42.010565, 4: 57.021464, 5: 43.005814, 7: 0.984016, 21: 79.966331, 23: -18.010565, 27: -18.010565, 28: -17.026549, 34: 14.015650, 35: 15.994915, 36: 28.031300, 37: 42.046950, 39: 45.987721, 58: 56.026215,
+    64: 100.016044, 121: 114.042927, 122: 27.994915, 188: 6.020129, 214: 144.102063, 259: 8.014199, 267: 10.008269, 299: 43.989829, 312: 119.004099, 385: -17.026549, 737: 229.162932, 747: 86.000394, 1289: 70.041865, 1363: 68.026215, 2016: 304.207146,
+}
 # Carbons per residue; C and M hold one sulphur.
 CARBONS = {"A": 3, "C": 3, "D": 4, "E": 5, "F": 9, "G": 2, "H": 6, "I": 6, "K": 6, "L": 6, "M": 5, "N": 4, "P": 5, "Q": 5, "R": 6, "S": 3, "T": 4, "V": 5, "W": 11, "Y": 9}
 CANONICAL = "ACDEFGHIKLMNPQRSTVWY"
@@ -109,6 +112,12 @@ def ion_label(series: Column, ordinal: Column, isotope: Column, charge: Column)
     return F.concat(series, F.coalesce(ordinal.cast("string"), F.lit("")), iso, F.when(charge == 1, "").otherwise(F.concat(F.lit("^"), charge.cast("string"))))
 
 
+def neutron_offset(isotope: Column, by: Column) -> Column:
+    """The isotope of a label so many neutrons on; null where it leaves -128..127."""
+    n = isotope.cast("long") + by.cast("long")
+    return F.when(n.between(-128, 127), n.cast("int"))
+
+
 def terminality(series: Column) -> Column:
     return F.when(series.isin(*SERIES_N), "N").when(series.isin(*SERIES_C), "C")
 

@@ -33,6 +33,14 @@ class Width:
         return x * (1 - self.lo / scale), x * (1 + self.hi / scale)
 
 
+def around_by(x: Column, kind: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+    """As Width.around, with a width per row."""
+    scale = F.when(kind == "ppm", 1e6).otherwise(100.0)
+    whole = kind.isin("absolute", "minutes")
+    open_ = lambda c, end: F.when(kind == "unrestricted", end).otherwise(c)
+    return open_(F.when(whole, x - lo).otherwise(x * (1 - lo / scale)), -INF), open_(F.when(whole, x + hi).otherwise(x * (1 + hi / scale)), INF)
+
+
 @dataclass(frozen=True)
 class Tolerance:
     """Widths of the four dimensions of a query, with the usual defaults."""

@@ -69,15 +69,32 @@ def match_counters(ions: DataFrame, matches: DataFrame) -> DataFrame:
     return ions.select("query_id").distinct().join(got, "query_id", "left").select("query_id", zero("n_peaks"), zero("n_windows"))
 
 
-def skip_reason(n_fragments: Column, in_scan_range: Column, in_rt_range: Column, n_windows: Column, n_peaks: Column) -> Column:
-    """Why a query can't be scored, in the order of the gates; null if it can."""
-    return (
-        F.when(n_fragments == 0, "no_expected_fragments")
-        .when(~in_scan_range, "fragmented_range")
-        .when(~in_rt_range, "rt_out_of_bounds")
-        .when(n_windows == 0, "fragments_outside_scan_range")
-        .when(n_peaks == 0, "no_observed_signal")
-    )
+def funnel(pairs: DataFrame, stages: dict[str, Column]) -> DataFrame:
+    """(stage, n): how many rows pass each stage and all before it, in one pass."""
+    passed, aggs = F.lit(True), []
+    for name, cond in stages.items():
+        passed = passed & F.coalesce(cond, F.lit(False))
+        aggs.append(F.count(F.when(passed, 1)).alias(name))
+    one = pairs.agg(*aggs)
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("stage"), F.col(n).alias("n")) for n in stages])))
+
+
+# Why a query can't be scored, in the order of the gates.
+SKIP_REASONS = (
+    "no_expected_fragments", "fragmented_range", "rt_out_of_bounds", "fragments_outside_scan_range", "no_observed_signal", "apex_empty_data",
+    "apex_insufficient_data", "apex_non_finite_score", "calibrant_nan_score", "finalize_error", "invariant_violation",
+)
+
+
+def skip_reason(n_fragments: Column = None, in_scan_range: Column = None, in_rt_range: Column = None, n_windows: Column = None, n_peaks: Column = None, apex_empty: Column = None, too_short: Column = None, not_finite: Column = None, calibrant_nan: Column = None, not_finished: Column = None, broken: Column = None) -> Column:
+    """The first gate that a query fails; null if it passes those given."""
+    none = lambda c: None if c is None else c == 0
+    fails = (none(n_fragments), None if in_scan_range is None else ~in_scan_range, None if in_rt_range is None else ~in_rt_range, none(n_windows), none(n_peaks), apex_empty, too_short, not_finite, calibrant_nan, not_finished, broken)
+    out = F.lit(None).cast("string")
+    for name, fail in reversed(list(zip(SKIP_REASONS, fails))):
+        if fail is not None:
+            out = F.when(fail, name).otherwise(out)
+    return out
 
 
 #: Aggregations by name: functions of (ions, matches). A caller's own are added with ``aggregator``.

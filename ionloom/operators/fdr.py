@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionloom.operators.sequence import running_sums
+from ionloom.operators.sequence import neighbours, numbered, running_sums
 from ionloom.runtime import sized_join, stored
 
 
@@ -33,7 +33,8 @@ def q_values(scored: DataFrame, score: str = "score", is_target: str = "is_targe
     q = sized_join(ranged, least, ["_pid"], "inner").withColumn("q_value", F.least(F.min("_raw").over(below), F.col("_after"), F.lit(1.0)))
     # Rows of one score lie in one or more ranges; the first one's value is the least of them.
     first = q.groupBy(score).agg(F.min("q_value").alias("q_value"))
-    return q.drop("q_value", "_t", "_d", "_raw", "_pid", "_after").join(first, score)
+    # A score that many rows share is a hot key.
+    return sized_join(q.drop("q_value", "_t", "_d", "_raw", "_pid", "_after"), first, [score], "inner")
 
 
 def threshold_report(q: DataFrame, thresholds: tuple[float, ...] = (0.01, 0.05, 0.1, 0.5, 1.0), is_target: str = "is_target") -> DataFrame:
@@ -48,9 +49,9 @@ def threshold_report(q: DataFrame, thresholds: tuple[float, ...] = (0.01, 0.05,
 def consecutive_dedup(rows: DataFrame, seq: str = "sequence", charge: str = "charge", mz: str = "mz", score: str = "score", is_target: str = "is_target") -> DataFrame:
     """Ordered by sequence, score, targets first and m/z, a row goes if it equals the one just before it
     in sequence, charge and m/z; interleaved charges survive."""
-    w = Window.partitionBy(seq).orderBy(F.desc(score), F.desc(is_target), F.asc(mz), F.asc(charge))
-    same = F.lag(charge).over(w).eqNullSafe(F.col(charge)) & F.lag(mz).over(w).eqNullSafe(F.col(mz)) & (F.row_number().over(w) > 1)
-    return rows.withColumn("_same", same).filter(~F.col("_same")).drop("_same")
+    beside = neighbours(numbered(rows, [seq], [F.desc(score), F.desc(is_target), F.asc(mz), F.asc(charge)], "_k"), [seq], "_k", [charge, mz])
+    same = F.col(f"prev_{charge}").eqNullSafe(F.col(charge)) & F.col(f"prev_{mz}").eqNullSafe(F.col(mz)) & (F.col("_k") > 0)
+    return beside.filter(~same).select(*rows.columns)
 
 
 def best_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

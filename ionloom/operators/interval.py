@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ionloom.operators.sequence import neighbours, numbered
 from ionloom.runtime import row_bytes, sized_join
 
 #: Each level's bins are so many times as wide as those of the level below.
@@ -59,25 +60,32 @@ def nearest(values: DataFrame, axis: DataFrame, value: str, point: str, group: t
     """``values`` with the nearest ``point`` of ``axis`` (of the same group); a tie takes the smaller, and
     values beyond the ends take the end. Axis points are turned into the ranges they are nearest in, so
     this is a range join. Rows with a null value, or without any point, are left out."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*(group or [F.lit(1)])).orderBy(point)
     p = F.col(point).cast("double")
     pts = axis.select(*group, point).filter(F.col(point).isNotNull()).distinct()
-    prev, nxt = F.lag(p).over(w), F.lead(p).over(w)
-    cells = pts.select(*group, point, F.coalesce((prev + p) / 2, F.lit(float("-inf"))).alias("_il_lo"), F.coalesce((p + nxt) / 2, F.lit(float("inf"))).alias("_il_hi"))
+    beside = _beside(pts, point, list(group))
+    cells = beside.select(*group, point, F.coalesce((F.col(f"prev_{point}") + p) / 2, F.lit(float("-inf"))).alias("_il_lo"), F.coalesce((p + F.col(f"next_{point}")) / 2, F.lit(float("inf"))).alias("_il_hi"))
     # At the middle both cells hold the value; the earlier one keeps it.
     out = range_join(values, cells, value, "_il_lo", "_il_hi", group, residual=(F.col(value) > F.col("_il_lo")) | (F.col("_il_lo") == float("-inf")))
     return out.drop("_il_lo", "_il_hi")
 
 
+def _beside(points: DataFrame, point: str, group: list[str]) -> DataFrame:
+    """The points with those before and after; an axis of any length is spread over ranges and blocks."""
+    return neighbours(numbered(points, group, [point], "_il_k"), group, "_il_k", [point]).drop("_il_k")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, a_range: tuple[str, str], b_range: tuple[str, str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose closed ranges meet (and agree in ``keys``): one range holds the other's start. Every pair comes once."""
+    holds = range_join(a, b, a_range[0], *b_range, keys)
+    starts = range_join(b, a, b_range[0], *a_range, keys, residual=F.col(b_range[0]) > F.col(a_range[0]))
+    return holds.unionByName(starts.select(*holds.columns))
+
+
 def snap(values: DataFrame, grid: DataFrame, at: str, value: str, point: str) -> DataFrame:
     """(point, value): each value moves to the first grid point not before it, of several the largest stays; empty points hold 0."""
-    from pyspark.sql import Window
-
     pts = grid.select(point).filter(F.col(point).isNotNull()).distinct()
-    prev = F.lag(F.col(point).cast("double")).over(Window.orderBy(point))
-    cells = pts.select(point, F.coalesce(prev, F.lit(float("-inf"))).alias("_il_lo"), F.col(point).cast("double").alias("_il_hi"))
+    prev = F.col(f"prev_{point}").cast("double")
+    cells = _beside(pts, point, []).select(point, F.coalesce(prev, F.lit(float("-inf"))).alias("_il_lo"), F.col(point).cast("double").alias("_il_hi"))
     hit = range_join(values, cells, at, "_il_lo", "_il_hi", residual=(F.col(at) > F.col("_il_lo")) | (F.col("_il_lo") == float("-inf")))
     best = hit.groupBy(point).agg(F.max(value).alias(value))
     return pts.join(best, point, "left").select(point, F.coalesce(F.col(value), F.lit(0)).alias(value))

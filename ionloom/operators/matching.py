@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionloom.runtime import sized_join
+
 SHARED = 5
 
 
@@ -45,7 +47,7 @@ def match_libraries(calib: DataFrame, main: DataFrame, least: int = SHARED) -> D
     Both are (id, mz, charge, rt_seconds, fragment_keys array<long>). A key holds the few precursors of one
     m/z at two digits and one charge."""
     side = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), mz_key(F.col("mz")).alias("key"), "charge", F.col("rt_seconds").alias(f"{p}_rt"), F.col("fragment_keys").alias(f"{p}_f"))
-    j = side(calib, "calib").join(side(main, "main"), ["key", "charge"]).withColumn("shared", shared_fragments(F.col("calib_f"), F.col("main_f"))).filter(F.col("shared") >= least)
+    j = sized_join(side(calib, "calib"), side(main, "main"), ["key", "charge"], "inner").withColumn("shared", shared_fragments(F.col("calib_f"), F.col("main_f"))).filter(F.col("shared") >= least)
     j = j.withColumn("d_rt", F.abs(F.col("calib_rt") - F.col("main_rt")))
     w = Window.partitionBy("calib_id").orderBy(F.desc("shared"), F.asc("d_rt"), F.asc("main_id"))
     return j.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("calib_id", "main_id", "shared", "d_rt")

@@ -145,6 +145,23 @@ def convolve_grid(grid: DataFrame, bins: int, centre: float = 0.2, side: float =
     return sends.groupBy("tx", "ty").agg(F.sum(F.col("weight") * (n * side + own)).alias("weight")).withColumnsRenamed({"tx": "gx", "ty": "gy"})
 
 
+def polynomial_smoothed(v: Column, window: int, order: int) -> Column:
+    """An array smoothed by weights that fall from 1 in the middle as a power of the distance; places left of the
+    start read the first value, places beyond the end don't count. Windows that are even, below 3 or longer than the
+    array, and orders not below the window, leave it as it is."""
+    if window < 3 or window % 2 == 0 or order >= window:
+        return v
+    half = window // 2
+    weights = F.array(*[F.lit(max(0.0, 1.0 - (abs(k - half) / half) ** max(1, order))) for k in range(window)])
+    n = F.size(v)
+
+    def at(i: Column) -> Column:
+        inside = F.filter(F.transform(weights, lambda w, j: F.struct(F.greatest(i + j - half, F.lit(0)).alias("p"), w.alias("w"))), lambda s: s.p < n)
+        return F.aggregate(inside, F.lit(0.0), lambda acc, s: acc + s.w * F.get(v, s.p)) / F.aggregate(inside, F.lit(0.0), lambda acc, s: acc + s.w)
+
+    return F.when(n >= window, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), at)).otherwise(v)
+
+
 def gaussian_smoothed(v: Column, sigma: float) -> Column:
     """An array smoothed by a Gaussian of radius ceil(3 sigma); places left of the start read the first value."""
     import math

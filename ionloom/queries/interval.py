@@ -121,8 +121,8 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), (F.col("p_retailprice") * F.col("p_size")).alias("mono"), (1 + F.col("p_size") % 3).alias("charge"))
     lo, hi = ranges.quad_range(F.col("mono"), F.col("charge"), F.array(F.lit(-1), F.lit(0), F.lit(1), F.lit(2)), Width("absolute", 5, 5))
     q = q.select("query_id", lo.alias("q_lo"), hi.alias("q_hi"))
-    # Windows of a run are tens: the join is a filter of every query by each of them.
-    j = q.join(F.broadcast(_windows(spark, sf)), F.lit(True))
+    w = _windows(spark, sf).withColumn("w_lo", F.least("mz_lo0", "mz_lo1")).withColumn("w_hi", F.greatest("mz_hi0", "mz_hi1"))
+    j = interval.overlap_join(q, w, ("q_lo", "q_hi"), ("w_lo", "w_hi")).drop("w_lo", "w_hi")
     hit, a, b = ranges.window_overlaps(F.col("q_lo"), F.col("q_hi"), F.lit(0.02), F.lit(0.08), {c: F.col(c) for c in SHAPE})
     return j.withColumn("im_from", a).withColumn("im_to", b).filter(hit)
 
@@ -163,9 +163,9 @@ def j02_fragment_query(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {PEAKS}, hull AS (SELECT min(mz) AS lo, max(mz) AS hi FROM peaks) SELECT p_partkey AS query_id FROM part, hull WHERE p_retailprice * p_size + 2 >= lo AND p_retailprice * p_size - 2 <= hi""")
 def f10_fragmented_range(spark: SparkSession, sf: str) -> DataFrame:
     """Precursors within the run's m/z hull."""
-    hull = S.peaks(spark, sf).agg(F.min("mz").alias("lo"), F.max("mz").alias("hi"))
+    lo, hi = S.peaks(spark, sf).agg(F.min("mz"), F.max("mz")).first()
     q = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), (F.col("p_retailprice") * F.col("p_size")).alias("m"))
-    return q.join(F.broadcast(hull), ranges.overlaps(F.col("m") - 2, F.col("m") + 2, F.col("lo"), F.col("hi"))).select("query_id")
+    return q.filter(ranges.overlaps(F.col("m") - 2, F.col("m") + 2, F.lit(lo), F.lit(hi))).select("query_id")
 
 
 SKIP = f"""{BASE}, g AS (SELECT query_id, count(*) AS n, count(DISTINCT window_id) AS w FROM matches GROUP BY 1), hull AS (SELECT min(mz) AS lo, max(mz) AS hi, max(cycle) AS last FROM peaks),
@@ -177,11 +177,11 @@ s AS (SELECT q.p_partkey AS query_id, CASE WHEN p_size % 17 = 0 THEN 'no_expecte
 @query(f"{SKIP} SELECT coalesce(reason, 'scored') AS reason, count(*) AS n FROM s GROUP BY 1")
 def f19_skip_reasons(spark: SparkSession, sf: str) -> DataFrame:
     """Queries by the first gate they fail."""
-    hull = S.peaks(spark, sf).agg(F.min("mz").alias("lo"), F.max("mz").alias("hi"), F.max("cycle").alias("last"))
+    lo, hi, last = S.peaks(spark, sf).agg(F.min("mz"), F.max("mz"), F.max("cycle")).first()
     n = extract.match_counters(S.ions(spark, sf), S.matches(spark, sf))
     q = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), (F.col("p_retailprice") * F.col("p_size")).alias("m"), "p_size", ((F.col("p_partkey") * 37) % 2000).alias("first"))
-    q = q.join(n, "query_id", "left").join(F.broadcast(hull), F.lit(True))
-    reason = extract.skip_reason(F.when(F.col("p_size") % 17 == 0, 0).otherwise(1), F.col("m").between(F.col("lo"), F.col("hi")), F.col("first") <= F.col("last") - 900, F.coalesce("n_windows", F.lit(0)), F.coalesce("n_peaks", F.lit(0)))
+    q = q.join(n, "query_id", "left")
+    reason = extract.skip_reason(F.when(F.col("p_size") % 17 == 0, 0).otherwise(1), F.col("m").between(lo, hi), F.col("first") <= F.lit(last) - 900, F.coalesce("n_windows", F.lit(0)), F.coalesce("n_peaks", F.lit(0)))
     return q.groupBy(F.coalesce(reason, F.lit("scored")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -226,7 +226,7 @@ def t05_top_of_array(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("vec_id", "s.place", "s.value")
 
 
-GRID = """pts AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_orderkey % 50 = 0), num AS (SELECT CAST(date_diff('day', DATE '1995-01-02', d) AS INTEGER) AS point FROM pts)"""
+GRID = """pts AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem), num AS (SELECT CAST(date_diff('day', DATE '1995-01-02', d) AS INTEGER) AS point FROM pts)"""
 
 
 @query(f"""WITH {GRID}, v AS (SELECT o_orderkey, CAST(date_diff('day', DATE '1995-01-02', CAST(o_orderdate AS DATE)) AS INTEGER) AS x FROM orders),
@@ -311,3 +311,11 @@ def out05_spectrum_at(spark: SparkSession, sf: str) -> DataFrame:
     c = _chroms(spark, sf)
     k = F.least(F.greatest(F.lit(20) - F.col("cycle_lo"), F.lit(0)), F.size("chromatogram") - 1)
     return c.select("query_id", "ion", (F.col("cycle_lo") + k).alias("cycle"), F.get("chromatogram", k).alias("intensity"))
+
+
+@query(f"""WITH {PEAKS}, {IONS}, c AS (SELECT i.*, p.cycle, p.mobility FROM ions i JOIN peaks p ON p.mz BETWEEN i.mz_lo AND i.mz_hi)
+SELECT 'mz' AS stage, count(*) AS n FROM c UNION ALL SELECT 'cycle', count(*) FROM c WHERE cycle BETWEEN cycle_lo AND cycle_hi UNION ALL SELECT 'mobility', count(*) FROM c WHERE cycle BETWEEN cycle_lo AND cycle_hi AND mobility BETWEEN im_lo AND im_hi""")
+def h16_filter_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    """How many pairs of ion and peak pass each filter of the combined scan."""
+    pairs = interval.range_join(S.peaks(spark, sf), S.ions(spark, sf), "mz", "mz_lo", "mz_hi", log=True, width=4e-4)
+    return extract.funnel(pairs, {"mz": F.lit(True), "cycle": F.col("cycle").between(F.col("cycle_lo"), F.col("cycle_hi")), "mobility": F.col("mobility").between(F.col("im_lo"), F.col("im_hi"))})

@@ -162,10 +162,10 @@ def j15_distinct_peptides(spark: SparkSession, sf: str) -> DataFrame:
     return peptides.distinct_peptides(peptides.standard_only(peptides.digest(proteins(spark, sf), 1, 6, 30))).select("peptide", "n_proteins")
 
 
-LOOK = f"""{PROT}, {PIECES}, wanted AS (SELECT DISTINCT peptide FROM pep WHERE length(peptide) BETWEEN 14 AND 15 AND missed = 0)"""
-
-
-@query()
+@query(f"""WITH {PROT}, {PIECES}, wanted AS (SELECT DISTINCT peptide FROM pep WHERE length(peptide) BETWEEN 6 AND 30),
+six AS (SELECT protein_id, sequence, unnest(range(1, length(sequence) - 4)) AS p FROM prot), gram AS (SELECT protein_id, sequence, p, substr(sequence, p, 6) AS g FROM six),
+hit AS (SELECT DISTINCT peptide, protein_id FROM wanted JOIN gram ON g = substr(peptide, 1, 6) AND substr(sequence, p, length(peptide)) = peptide)
+SELECT peptide, count(*) AS n_proteins FROM hit GROUP BY 1""")
 def j11_containing_proteins(spark: SparkSession, sf: str) -> DataFrame:
     """Sequences that hold a peptide, through an inverted index of 5-mers of the digested proteins."""
     p = proteins(spark, sf)
@@ -177,7 +177,7 @@ def h13_peptide_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return peptides.unique_peptide_estimate(proteins(spark, sf), 1)
 
 
-@query("""WITH f AS (SELECT eg_id, list_sort(list(CAST(round(fragment_mz) AS BIGINT))) AS keys, count(*) AS n FROM (SELECT DISTINCT eg_id, fragment_mz FROM fragment_ions WHERE fragment_mz IS NOT NULL) GROUP BY 1 HAVING count(*) <= 100)
+@query("""WITH f AS (SELECT eg_id, list_sort(list(CAST(round(fragment_mz) AS BIGINT))) AS keys, count(*) AS n FROM (SELECT DISTINCT eg_id, fragment_mz FROM fragment_ions WHERE fragment_mz IS NOT NULL) GROUP BY 1)
 SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_fragments, round(avg(n), 6) AS mean_fragments FROM f""")
 def a17_library_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Groups, fragments and mean fragments of a library."""
@@ -204,3 +204,13 @@ def a18_rt_overlap(spark: SparkSession, sf: str) -> DataFrame:
     d, t = F.col("decoy"), ~F.col("decoy")
     r = e.agg(m(F.min, d, "a0"), m(F.max, d, "a1"), m(F.min, t, "b0"), m(F.max, t, "b1"))
     return r.select(F.round(F.greatest(F.least("a1", "b1") - F.greatest("a0", "b0"), F.lit(0.0)) / (F.col("b1") - F.col("b0")) * 100, 6).alias("overlap_pct"))
+
+
+@query(f"""SELECT DISTINCT fragment_label AS label, b AS by_, CASE WHEN i + b BETWEEN -128 AND 127 THEN CAST(i + b AS INTEGER) END AS isotope FROM (SELECT fragment_label,
+CASE WHEN regexp_extract(fragment_label, {LABEL}, 4) <> '' THEN CAST(regexp_extract(fragment_label, {LABEL}, 4) AS INTEGER) WHEN contains(fragment_label, 'i') THEN 1 ELSE 0 END AS i
+FROM fragment_ions WHERE regexp_matches(fragment_label, {LABEL})), (VALUES (1), (-2), (127)) v(b)""")
+def x18_neutron_offset(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels some neutrons on; null where the isotope has no room."""
+    f = table(spark, sf, "fragment_ions").select(F.col("fragment_label").alias("label")).distinct().withColumn("p", C.ion_parts(F.col("label"))).filter("p is not null")
+    f = f.withColumn("by_", F.explode(F.array(F.lit(1), F.lit(-2), F.lit(127))))
+    return f.select("label", "by_", C.neutron_offset(F.col("p.isotope"), F.col("by_")).alias("isotope"))

@@ -93,7 +93,7 @@ def s15_skyline(spark: SparkSession, sf: str) -> DataFrame:
     return told(text_libraries.read_skyline(spark, _write_text(rows, scratch(spark), ",")))
 
 
-@query("WITH f AS (SELECT eg_id, count(*) AS n FROM fragment_ions WHERE fragment_mz IS NOT NULL GROUP BY 1 HAVING count(*) <= 1000) SELECT e.eg_id AS id, e.precursor_charge::SMALLINT AS charge, coalesce(n, 0) AS n FROM elution_groups e JOIN f ON e.eg_id = f.eg_id")
+@query("WITH f AS (SELECT eg_id, count(*) AS n FROM fragment_ions WHERE fragment_mz IS NOT NULL GROUP BY 1) SELECT e.eg_id AS id, e.precursor_charge::SMALLINT AS charge, coalesce(n, 0) AS n FROM elution_groups e JOIN f ON e.eg_id = f.eg_id")
 def s16_elution_group_json(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark)
     f = table(spark, sf, "fragment_ions").filter("fragment_mz is not null").groupBy("eg_id").agg(F.collect_list("fragment_mz").alias("fragments"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,7 +108,20 @@ def w17_convolution(spark: SparkSession, sf: str) -> DataFrame:
     return traces.convolve_rows(S.event_traces(spark, sf), "log_intensity", [0.1, 0.2, 0.4, 0.2, 0.1], "smooth").select("query_id", "cycle", *r6("smooth"))
 
 
-@query()
+def _smoothed(weights: list[float], half: int) -> str:
+    """SQL of a weighted mean around each place: left of the start the first value, beyond the end nothing."""
+    pairs = ", ".join(f"{{'o': {k - half}, 'w': CAST({w!r} AS DOUBLE)}}" for k, w in enumerate(weights))
+    return f"""SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: round(
+  list_sum(list_transform(list_filter([{pairs}], lambda s: i + s.o <= len(embedding)), lambda s: s.w * embedding[greatest(i + s.o, 1)])) / list_sum(list_transform(list_filter([{pairs}], lambda s: i + s.o <= len(embedding)), lambda s: s.w)), 6)) AS smooth FROM embeddings"""
+
+
+@query(_smoothed([max(0.0, 1 - (abs(k - 3) / 3) ** 2) for k in range(7)], 3))
+def w16_polynomial_smooth(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector smoothed by weights that fall with the square of the distance."""
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(traces.polynomial_smoothed(F.col("embedding"), 7, 2), lambda x: F.round(x, 6)).alias("smooth"))
+
+
+@query(_smoothed([math.exp(-(k * k) / 4.5) for k in range(-5, 6)], 5))
 def w15_gaussian_smooth(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector smoothed by a Gaussian with its left edge repeated."""
     return table(spark, sf, "embeddings").select("vec_id", F.transform(traces.gaussian_smoothed(F.col("embedding"), 1.5), lambda x: F.round(x, 6)).alias("smooth"))
@@ -192,7 +207,7 @@ def scored_queries(spark: SparkSession, sf: str) -> DataFrame:
     t = S.event_traces(spark, sf)
     axis = S.axis(spark, sf).groupBy("query_id").agg(F.min("cycle").alias("cycle_lo"), F.max("cycle").alias("cycle_hi"))
     e = S.expected(spark)
-    ions = axis.join(F.broadcast(e.select("ion")), F.lit(True))
+    ions = axis.withColumn("ion", F.explode(F.array(*[F.lit(x) for x in sorted(S.EXPECTED)])))
     c = extract.chromatograms(ions, S.cells(spark, sf)).join(F.broadcast(e), "ion")
     frag = c.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ion", "chromatogram", "expected"))).alias("f"))
     prof = t.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("cycle", "cosine_profile", "scribe_profile"))).alias("p"))
@@ -230,3 +245,27 @@ def x27_relative_intensity(spark: SparkSession, sf: str) -> DataFrame:
 
     t = S.cells(spark, sf).groupBy("query_id", "ion").agg(F.sum("intensity").alias("w")).filter("w > 0")
     return t.select("query_id", "ion", F.round(F.log1p("w") - F.log1p(F.sum("w").over(Window.partitionBy("query_id"))), 6).alias("relative"))
+
+
+ROWS_SQL = "r AS (SELECT l_orderkey AS id, list([l_quantity, l_linenumber] ORDER BY l_linenumber, l_quantity) AS m FROM lineitem GROUP BY 1)"
+
+
+@query(f"""WITH {ROWS_SQL}, e AS (
+SELECT id, 'drop' AS edit, m[2:] AS m FROM r UNION ALL SELECT id, 'swap', CASE WHEN len(m) > 1 THEN [m[2], m[1]] || m[3:] ELSE m END FROM r UNION ALL SELECT id, 'replace', [[CAST(0 AS DOUBLE), 9]] || m[2:] FROM r
+UNION ALL SELECT id, 'put', [[m[1][1], CAST(-1 AS DOUBLE)]] || m[2:] FROM r) SELECT id, edit, array_to_string(list_transform(flatten(m), lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS cells FROM e""")
+def h03_row_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a table in an array dropped, swapped and replaced, and one value put."""
+    li = table(spark, sf, "lineitem")
+    r = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.array("l_quantity", F.col("l_linenumber").cast("double")).alias("v")))).alias("s")).select("id", F.col("s.v").alias("m"))
+    zero, one = F.lit(0), F.lit(1)
+    edits = {"drop": arrays.drop_row(F.col("m"), zero), "swap": arrays.swap_rows(F.col("m"), zero, one), "replace": arrays.replace_row(F.col("m"), zero, F.array(F.lit(0.0), F.lit(9.0))), "put": arrays.put_value(F.col("m"), zero, one, F.lit(-1.0))}
+    e = r.select("id", F.inline(F.array(*[F.struct(F.lit(k).alias("edit"), c.alias("m")) for k, c in edits.items()])))
+    return e.select("id", "edit", F.array_join(F.transform(F.flatten("m"), lambda x: x.cast("long").cast("string")), ",").alias("cells"))
+
+
+@query("SELECT l_orderkey AS id, string_agg('y' || l_linenumber, ',' ORDER BY l_linenumber) AS labels FROM lineitem GROUP BY 1")
+def out03_label_cast(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of every fragment of a group mapped to another kind."""
+    g = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("label"), F.col("l_extendedprice").alias("mz")))).alias("f"))
+    cast = arrays.map_labels(F.col("f"), "label", lambda x: F.concat(F.lit("y"), x.cast("string")))
+    return g.select("id", F.array_join(F.transform(cast, lambda x: x.label), ",").alias("labels"))

@@ -23,11 +23,11 @@ def to_half(x: np.ndarray) -> np.ndarray:
     return x.astype(np.float16).astype(np.float32)
 
 
-def write_index(peaks: DataFrame, cycles: DataFrame, windows: DataFrame, path: str, files: int = 8, mobility_kind: str = "Ook0") -> None:
+def write_index(peaks: DataFrame, cycles: DataFrame, windows: DataFrame, path: str, files: int = 8, mobility_kind: str = "Ook0", row_group_bytes: int = 8 << 20) -> None:
     """A run's peaks in files clustered by m/z inside each level and window, so that a range of m/z reads
     few row groups; with its cycle axis, windows and a metadata file."""
     clustered = peaks.repartitionByRange(files, "ms_level", "window_id", "mz").sortWithinPartitions("ms_level", "window_id", "mz", "cycle_index")
-    clustered.write.mode("overwrite").option("parquet.block.size", 8 << 20).option("compression", "snappy").partitionBy("run_id", "ms_level").parquet(f"{path}/peaks")
+    clustered.write.mode("overwrite").option("parquet.block.size", row_group_bytes).option("compression", "snappy").partitionBy("run_id", "ms_level").parquet(f"{path}/peaks")
     cycles.write.mode("overwrite").parquet(f"{path}/cycles")
     windows.write.mode("overwrite").parquet(f"{path}/windows")
     meta = json.dumps({"version": "2", "mobility_kind": mobility_kind})
@@ -42,6 +42,12 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return spark.read.schema(PEAK_SCHEMA).parquet(f"{path}/peaks"), spark.read.parquet(f"{path}/cycles"), spark.read.parquet(f"{path}/windows"), meta
 
 
+def rebucket(spark: SparkSession, path: str, to: str, files: int = 8, row_group_bytes: int = 1 << 20) -> None:
+    """A stored index written anew with row groups of another size: small ones suit narrow ranges, large ones wide."""
+    peaks, cycles, windows, meta = read_index(spark, path)
+    write_index(peaks, cycles, windows, to, files, meta.get("mobility_kind", "Ook0"), row_group_bytes)
+
+
 def read_half_float_peaks(spark: SparkSession, paths: list[str], run_id: str, ms_level: int, window_id: int) -> DataFrame:
     """Peak files whose mobility is a 16-bit float, which Spark's own reader refuses: read by Arrow, row
     group by row group, each a unit of work. Paths must be readable by the executors."""

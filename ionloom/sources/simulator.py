@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Share of each isotope's height to the one before, and of the precursor to the fragments.
 PRECURSOR_SHARE, ISOTOPE_STEP = 0.7, 0.6
@@ -56,3 +57,24 @@ def frames(spark: SparkSession, n: int = 120, **kw) -> tuple[DataFrame, DataFram
     lib = library(n)
     peaks, cycles, windows, there = run(lib, **kw)
     return spark.createDataFrame(lib.to_dict("records"), LIBRARY_SCHEMA), spark.createDataFrame(peaks), spark.createDataFrame(cycles), spark.createDataFrame(windows), there
+
+
+def recovered(results: DataFrame, there: set[int], thresholds: tuple[float, ...] = (0.01, 0.05, 0.1)) -> dict[float, dict[str, float]]:
+    """Of a search of a run with known contents, at each q-value: targets, right ones, their share of what is there
+    (sensitivity) and the share of wrong ones."""
+    known = results.sparkSession.createDataFrame([(i,) for i in sorted(there)], "library_id long").withColumn("right", F.lit(True))
+    t = results.filter("is_target").join(F.broadcast(known), "library_id", "left")
+    out = {}
+    for q in thresholds:
+        n, right = t.filter(F.col("q_value") <= q).agg(F.count(F.lit(1)), F.count("right")).first()
+        out[q] = {"targets": n, "right": right, "sensitivity": right / max(1, len(there)), "wrong_share": (n - right) / max(1, n)}
+    return out
+
+
+def auc(results: DataFrame, there: set[int], score: str = "discriminant_score") -> float:
+    """How well a score tells entries that are there from all others."""
+    from ionloom.operators.fdr import auc as area
+
+    known = results.sparkSession.createDataFrame([(i,) for i in sorted(there)], "library_id long").withColumn("right", F.lit(True))
+    t = results.join(F.broadcast(known), "library_id", "left").select(score, (F.coalesce("right", F.lit(False)) & F.col("is_target")).alias("positive"))
+    return area(t, score).first()[0]
