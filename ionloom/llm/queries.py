@@ -82,3 +82,24 @@ t AS (SELECT DISTINCT mix_name, regexp_replace(lower(trim(source)), '[\s\-]+', '
 SELECT total, mix_name, t.source, d.source IS NOT NULL AS has_documents, TRUE AS cap_kept, TRUE AS tokens_met, TRUE AS clamped_at_cap FROM t LEFT JOIN d ON t.source = d.source, (VALUES ('largest'), ('once')) v(total)
 """,
 }
+
+
+def _grams(table_: str, key: str, joined: bool) -> str:
+    """SQL: every run of 12 words of a table's texts, split words joined or apart."""
+    x = "text"
+    for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''")):
+        x = f"replace({x}, '{a}', '{b}')"
+    x = f"regexp_replace(regexp_replace({x}, '(?i)</?(?:br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr|blockquote|pre)\\b[^<>]*>', ' ', 'g'), '</?[A-Za-z][^<>]*>|<!--(?s:.*?)-->', '', 'g')"
+    x = f"translate({x}, (SELECT string_agg(chr(CAST(k AS INTEGER)), '' ORDER BY k) FROM range(65281, 65375) r(k)), (SELECT string_agg(chr(CAST(k - 65248 AS INTEGER)), '' ORDER BY k) FROM range(65281, 65375) r(k)))"
+    for a, b in ((0xFB00, "ff"), (0xFB01, "fi"), (0xFB02, "fl"), (0xFB03, "ffi"), (0xFB04, "ffl")):
+        x = f"replace({x}, chr({a}), '{b}')"
+    unseen = "\\x{34F}\\x{61C}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FE00}-\\x{FE0F}\\x{FEFF}"
+    x = f"lower(regexp_replace(regexp_replace({x}, '[{unseen}]', '', 'g'), '\\*\\*|__|~~|\\]\\([^)\\s]*\\)|\\\\[A-Za-z]+\\{{', '', 'g'))"
+    x = f"regexp_replace({x}, '([\\pL\\pN]+)[-\\x{{AD}}\\x{{2010}}-\\x{{2013}}][ \\t]*\\r?\\n[\\s>|]*([\\pL\\pN]+)', '\\1{'' if joined else ' '}\\2', 'g')"
+    x = f"replace({x}, chr(173), '')"
+    return f"(SELECT {key}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, regexp_extract_all({x}, '[\\pL\\pN]+') AS w FROM {table_} WHERE text <> '')))"
+
+
+# Split words all joined, and all apart: passages in which some are read one way and some the other aren't expressed.
+ORACLE["p7_found"] = f"""WITH i AS {_grams('eval_items', 'item_id', True)}, d AS (SELECT * FROM {_grams('documents', 'doc_id', True)} UNION ALL SELECT * FROM {_grams('documents', 'doc_id', False)})
+SELECT DISTINCT doc_id, item_id FROM d JOIN i ON d.g = i.g"""

@@ -255,24 +255,33 @@ def train(examples: DataFrame, n_subjects: int, steps: int = STEPS):
     pieces of the weights; what reaches the driver is the sum, of the weights' own size."""
     if not examples._il_rows:
         return None
-    weights = initial(n_subjects)
-    total = float(examples.select(F.sum("n")).first()[0])
+    e, w, b = initial(n_subjects)
+    # Only slots of words that were seen are sent around; the rest stay as they are.
+    chunks = examples.select("n", "used").collect()  # one row per CHUNK sentences of the labelled documents, whose number is bounded
+    total = float(sum(r.n for r in chunks))
+    seen = np.unique(np.concatenate([np.frombuffer(r.used, np.int32) for r in chunks]))
+    weights = e[seen], w, b
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in weights]
     tail = DIM * n_subjects + n_subjects
     few = examples.rdd.getNumPartitions() <= SUMMING
 
+    sc = examples.sparkSession.sparkContext
     for t in range(1, steps + 1):
-        shared = weights
+        shared = sc.broadcast((seen, *weights))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            d_e, d_w, d_b = (np.zeros_like(x) for x in shared)
+            seen_, *now = shared.value
+            d_e, d_w, d_b = (np.zeros_like(x) for x in now)
             for b in batches:
                 for row in b.to_pylist():
-                    used, g_e, g_w, g_b = gradient(shared, {k: np.frombuffer(row[k], kind) for k, kind in EXAMPLE.items()}, np.frombuffer(row["times"], np.float32))
+                    x = {k: np.frombuffer(row[k], kind) for k, kind in EXAMPLE.items()}
+                    for k in ("slots", "used"):
+                        x[k] = np.searchsorted(seen_, x[k])
+                    used, g_e, g_w, g_b = gradient(now, x, np.frombuffer(row["times"], np.float32))
                     d_e[used] += g_e
                     d_w += g_w
                     d_b += g_b
-            parts = [*np.split(d_e, PIECES), np.r_[d_w.ravel(), d_b]]
+            parts = [*np.array_split(d_e, PIECES), np.r_[d_w.ravel(), d_b]]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], names=["piece", "g"])
 
         def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,9 +298,11 @@ def train(examples: DataFrame, n_subjects: int, steps: int = STEPS):
             v = np.frombuffer(r.g, np.float32)
             got[r.piece] = got[r.piece] + v if r.piece in got else v
         rest = got[PIECES]
-        grads = np.concatenate([got[i] for i in range(PIECES)]).reshape(SLOTS, DIM) / total, rest[: tail - n_subjects].reshape(DIM, n_subjects) / total, rest[tail - n_subjects :] / total
+        grads = np.concatenate([got[i] for i in range(PIECES)]).reshape(len(seen), DIM) / total, rest[: tail - n_subjects].reshape(DIM, n_subjects) / total, rest[tail - n_subjects :] / total
         weights = tuple(_step(x, g, m, t) for x, g, m in zip(weights, grads, moments))
-    return weights
+        shared.destroy()
+    e[seen] = weights[0]
+    return e, *weights[1:]
 
 
 def _step(x: np.ndarray, g: np.ndarray, moments: tuple[np.ndarray, np.ndarray], t: int) -> np.ndarray:
