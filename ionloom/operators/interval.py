@@ -75,7 +75,8 @@ def _beside(points: DataFrame, point: str, group: list[str]) -> DataFrame:
 
 
 def overlap_join(a: DataFrame, b: DataFrame, a_range: tuple[str, str], b_range: tuple[str, str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Rows whose closed ranges meet (and agree in ``keys``): one range holds the other's start. Every pair comes once."""
+    """Rows whose closed ranges meet (and agree in ``keys``): one range holds the other's start. Every pair comes once.
+    Other columns of the two sides must have different names."""
     holds = range_join(a, b, a_range[0], *b_range, keys)
     starts = range_join(b, a, b_range[0], *a_range, keys, residual=F.col(b_range[0]) > F.col(a_range[0]))
     return holds.unionByName(starts.select(*holds.columns))

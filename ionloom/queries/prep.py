@@ -45,6 +45,20 @@ def p4_landed(spark: SparkSession, sf: str) -> DataFrame:
     return drift.landed(exports, drift.alias_table(drift.changes(exports)))
 
 
+def p4_landed_flat(spark: SparkSession, sf: str) -> DataFrame:
+    """The landed table told by plain columns: arrays by length and sum (labels as text), what is left over by its names."""
+    t = p4_landed(spark, sf)
+    out = ["export_row_id", "id"]
+    for name, (kind, _) in drift.CANONICAL.items():
+        if kind == "array<string>":
+            out.append(F.array_join(name, ",").alias(name))
+        elif kind.startswith("array"):
+            out += [F.when(F.col(name).isNotNull(), F.size(name)).cast("long").alias(f"{name}_n"), F.round(F.aggregate(name, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0))), 3).alias(f"{name}_sum")]
+        else:
+            out.append(F.round(F.col(name).cast("double"), 5).alias(name) if kind in ("double", "float") else F.col(name).cast("long").alias(name) if kind == "int" else F.col(name))
+    return t.select(*out, F.array_join(F.array_sort(F.map_keys("other")), ",").alias("other"))
+
+
 def p4_lifespans(spark: SparkSession, sf: str) -> DataFrame:
     exports = table(spark, sf, "eg_exports")
     spans = drift.lifespans(drift.catalogue(drift.fields_of(exports), drift.files_of(exports)))
@@ -75,7 +89,7 @@ def p6_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return missing.groupBy("source_id", "field_name", "unit", "mix_unit").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("mix_posterior"), 4).alias("posterior"), F.sum(F.col("uncertain").cast("long")).alias("n_uncertain"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, *TYPED, p3_found, p3_transitions, p4_found, p4_landed, p4_lifespans, p5_found, p6_found, p6_units, p6_mixture)}
+QUERIES = {f.__name__: f for f in (p1_found, *TYPED, p3_found, p3_transitions, p4_found, p4_landed, p4_landed_flat, p4_lifespans, p5_found, p6_found, p6_units, p6_mixture)}
 
 ORACLE = {
     "p5_found": r"""
@@ -223,3 +237,34 @@ ORACLE["p4_lifespans"] = (
 isl AS (SELECT s, k, jt, n, n - row_number() OVER (PARTITION BY s, k, jt ORDER BY n) AS island FROM best JOIN no ON best.f = no.f)
 SELECT s AS export_stream, k AS field, jt AS jtype, min(n) AS first_file_no, max(n) AS last_file_no, count(*) AS n_files FROM isl GROUP BY s, k, jt, island"""
 )
+
+
+def _landed_sql() -> str:
+    """The landing written out over the canonical names."""
+    first, cut, got, whole, out = [], [], [], ["CASE WHEN id IS NOT NULL THEN 'id' END"], ["export_row_id", "id"]
+    for q, (kind, names) in drift.CANONICAL.items():
+        t = [f"""coalesce(json_extract_string(j, '$."{n}"."value"'), json_extract_string(j, '$."{n}"'))""" for n in names]
+        first.append("CASE " + " ".join(f"WHEN {x} IS NOT NULL THEN '{n}'" for n, x in zip(names, t)) + f" END AS n_{q}, coalesce({', '.join(t)}) AS t_{q}")
+        cut.append(rf"""list_filter(string_split_regex(regexp_replace(t_{q}, '"\w+":', ' ', 'g'), '[\s\[\]{{}}",;|]+'), lambda x: x <> '') AS k_{q}""")
+        if kind == "string":
+            got.append(f"t_{q} AS v_{q}, TRUE AS ok_{q}")
+            out.append(f"v_{q} AS {q}")
+        elif kind == "array<string>":
+            got.append(f"k_{q} AS v_{q}, TRUE AS ok_{q}")
+            out.append(f"array_to_string(v_{q}, ',') AS {q}")
+        elif kind.startswith("array"):
+            num = "CAST(trunc(TRY_CAST(x AS DOUBLE)) AS DOUBLE)" if "int" in kind else "TRY_CAST(x AS DOUBLE)"
+            got.append(f"list_transform(k_{q}, lambda x: {num}) AS v_{q}, len(list_filter(k_{q}, lambda x: TRY_CAST(x AS DOUBLE) IS NULL)) = 0 AS ok_{q}")
+            out += [f"CAST(len(v_{q}) AS BIGINT) AS {q}_n", f"CASE WHEN v_{q} IS NOT NULL THEN round(coalesce(list_sum(v_{q}), 0), 3) END AS {q}_sum"]
+        else:
+            value = {"boolean": f"TRY_CAST(k_{q}[1] AS BOOLEAN)", "float": f"CAST(CAST(TRY_CAST(k_{q}[1] AS DOUBLE) AS FLOAT) AS DOUBLE)"}.get(kind, f"TRY_CAST(k_{q}[1] AS DOUBLE)")
+            got.append(f"{value} AS v_{q}, {value} IS NOT NULL AND len(k_{q}) = 1 AS ok_{q}")
+            out.append(f"round(v_{q}, 5) AS {q}" if kind in ("double", "float") else f"v_{q} AS {q}" if kind == "boolean" else f"CAST(trunc(v_{q}) AS BIGINT) AS {q}")
+        whole.append(f"CASE WHEN ok_{q} THEN n_{q} END")
+    known = ", ".join(f"'{n}'" for n in ["id", *(n for _, names in drift.CANONICAL.values() for n in names)])
+    return f"""WITH rec AS (SELECT export_row_id, CAST(payload AS JSON) AS j FROM eg_exports), a AS (SELECT export_row_id, j, TRY_CAST(j->>'$.id' AS BIGINT) AS id, {', '.join(first)} FROM rec),
+b AS (SELECT *, {', '.join(cut)} FROM a), c AS (SELECT *, {', '.join(got)} FROM b), d AS (SELECT *, list_filter([{', '.join(whole)}], lambda x: x IS NOT NULL) AS landed FROM c)
+SELECT {', '.join(out)}, array_to_string(list_sort(list_filter(json_keys(j), lambda k: NOT (list_contains(landed, k) OR (json_type(j, '$."' || k || '"') = 'NULL' AND k IN ({known}))))), ',') AS other FROM d"""
+
+
+ORACLE["p4_landed_flat"] = _landed_sql()

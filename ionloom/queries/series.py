@@ -111,20 +111,22 @@ def w17_convolution(spark: SparkSession, sf: str) -> DataFrame:
 def _smoothed(weights: list[float], half: int) -> str:
     """SQL of a weighted mean around each place: left of the start the first value, beyond the end nothing."""
     pairs = ", ".join(f"{{'o': {k - half}, 'w': CAST({w!r} AS DOUBLE)}}" for k, w in enumerate(weights))
-    return f"""SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: round(
-  list_sum(list_transform(list_filter([{pairs}], lambda s: i + s.o <= len(embedding)), lambda s: s.w * embedding[greatest(i + s.o, 1)])) / list_sum(list_transform(list_filter([{pairs}], lambda s: i + s.o <= len(embedding)), lambda s: s.w)), 6)) AS smooth FROM embeddings"""
+    return f"""SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS place, unnest(list_transform(range(1, len(embedding) + 1), lambda i: round(
+  list_sum(list_transform(list_filter([{pairs}], lambda s: i + s.o <= len(embedding)), lambda s: s.w * embedding[greatest(i + s.o, 1)])) / list_sum(list_transform(list_filter([{pairs}], lambda s: i + s.o <= len(embedding)), lambda s: s.w)), 6))) AS smooth FROM embeddings"""
 
 
 @query(_smoothed([max(0.0, 1 - (abs(k - 3) / 3) ** 2) for k in range(7)], 3))
 def w16_polynomial_smooth(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector smoothed by weights that fall with the square of the distance."""
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(traces.polynomial_smoothed(F.col("embedding"), 7, 2), lambda x: F.round(x, 6)).alias("smooth"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode(traces.polynomial_smoothed(F.col("embedding"), 7, 2)).alias("place", "x"))
+    return e.select("vec_id", "place", F.round("x", 6).alias("smooth"))
 
 
 @query(_smoothed([math.exp(-(k * k) / 4.5) for k in range(-5, 6)], 5))
 def w15_gaussian_smooth(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector smoothed by a Gaussian with its left edge repeated."""
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(traces.gaussian_smoothed(F.col("embedding"), 1.5), lambda x: F.round(x, 6)).alias("smooth"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode(traces.gaussian_smoothed(F.col("embedding"), 1.5)).alias("place", "x"))
+    return e.select("vec_id", "place", F.round("x", 6).alias("smooth"))
 
 
 OG = """pt AS (SELECT least(greatest(CAST(floor((date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))) / 2500.0 * 20) AS INTEGER), 0), 19) AS gx, least(greatest(CAST(floor(o_totalprice / 500000.0 * 20) AS INTEGER), 0), 19) AS gy FROM orders), g AS (SELECT gx, gy, count(*) AS weight FROM pt GROUP BY 1, 2)"""

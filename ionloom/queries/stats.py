@@ -138,6 +138,15 @@ def a21_wrmse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CURVE = calibrate.Curve([1000.0, 20000.0, 60000.0, 100000.0], [0.0, 40.0, 55.0, 90.0])
+_SEGMENTS = " ".join(f"WHEN x <= {b} THEN CAST({c} AS DOUBLE) + (x - {a}) * (CAST({d} AS DOUBLE) - {c}) / ({b} - {a})" for a, b, c, d in zip(CURVE.xs, CURVE.xs[1:], CURVE.ys, CURVE.ys[1:]))
+
+
+@query(f"""SELECT round(sqrt(sum((p - y) * (p - y) * w) / sum(w)), 8) AS wrmse FROM (SELECT l_quantity AS y, l_linenumber AS w, CASE {_SEGMENTS} END AS p FROM (SELECT *, l_extendedprice AS x FROM lineitem) WHERE x BETWEEN {CURVE.xs[0]} AND {CURVE.xs[-1]})""")
+def a21_given_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted error of a given curve; points beyond its ends don't count."""
+    p = table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("library"), F.col("l_quantity").alias("observed"), F.col("l_linenumber").cast("double").alias("weight"))
+    return calibrate.wrmse(p, CURVE).select(F.round("wrmse", 8).alias("wrmse"))
+
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(CASE WHEN x <= 20000 THEN 0.0 + (x - 1000) * (40.0 / 19000) WHEN x <= 60000 THEN 40.0 + (x - 20000) * (15.0 / 40000) ELSE 55.0 + (x - 60000) * (35.0 / 40000) END, 9) AS y FROM (SELECT *, l_extendedprice AS x FROM lineitem)""")
@@ -180,6 +189,13 @@ def m12_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return centroid.centroid_frames(p, ppm=5000, pct=50)
 
 
+@query(f"WITH {S.PEAKS} SELECT CAST(cycle AS BIGINT) AS frame_id, count(*) AS n_peaks, CAST(sum(intensity) AS BIGINT) AS intensity FROM peaks GROUP BY 1")
+def m12_conserved(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames that ended with every peak taken hold each peak and its intensity once; where one stops early, rows differ."""
+    c = m12_centroids(spark, sf).filter("reason = 'all_taken'")
+    return c.groupBy("frame_id").agg(F.sum("n_peaks").alias("n_peaks"), F.round(F.sum("intensity")).cast("long").alias("intensity"))
+
+
 @query()
 def h15_centroid_summary(spark: SparkSession, sf: str) -> DataFrame:
     return centroid.summary(m12_centroids(spark, sf))

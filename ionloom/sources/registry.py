@@ -16,30 +16,47 @@ class Reader:
     suffixes: tuple[str, ...]
     read: Callable[[SparkSession, str], DataFrame]
     accepts: Callable[[list[str]], bool] | None = None
+    magic: tuple[bytes, ...] = ()  # what its files begin with; settles paths that no suffix tells
 
 
 def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
     """Column names of a delimited or Parquet file."""
-    if path.endswith(".parquet"):
+    if path.endswith(".parquet") or first_bytes(spark, path, 4) == b"PAR1":
         return spark.read.parquet(path).columns
     got = spark.read.text(path).first()
     return [x.strip('"\r') for x in got[0].split(sep)] if got else []
 
 
+def first_bytes(spark: SparkSession, path: str, n: int = 8) -> bytes:
+    """The first bytes of a file in any store Spark can read; none of a folder or an empty or missing file."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p) or not fs.getFileStatus(p).isFile():
+        return b""
+    stream, out = fs.open(p), bytearray()
+    try:
+        while len(out) < n and (c := stream.read()) >= 0:
+            out.append(c)
+    finally:
+        stream.close()
+    return bytes(out)
+
+
 def _form(names: dict) -> Callable[[list[str]], bool]:
     return lambda columns: text_libraries.resolve(columns, names) is not None
 
 
 LIBRARIES: list[Reader] = [
     Reader("speclib", (".speclib",), speclib_binary.read_speclib),
-    Reader("diann parquet", (".parquet",), text_libraries.read_diann_parquet, _form(text_libraries.DIANN_PARQUET)),
+    Reader("diann parquet", (".parquet",), text_libraries.read_diann_parquet, _form(text_libraries.DIANN_PARQUET), (b"PAR1",)),
     Reader("spectronaut", (".tsv", ".txt"), text_libraries.read_spectronaut, _form(text_libraries.SPECTRONAUT)),
     Reader("diann", (".tsv", ".txt"), text_libraries.read_diann, _form(text_libraries.DIANN)),
     Reader("skyline", (".csv",), text_libraries.read_skyline, _form(text_libraries.SKYLINE)),
-    Reader("native", (".ndjson", ".jsonl", ".msgpack", ".msgpack.zst", ".ndjson.zst"), native.read_native),
+    Reader("native", (".ndjson", ".jsonl", ".msgpack", ".msgpack.zst", ".ndjson.zst"), native.read_native, magic=(b"\x28\xb5\x2f\xfd",)),
     Reader("elution groups", (".json",), text_libraries.read_elution_groups),
 ]
-RUNS: list[Reader] = [Reader("mzml", (".mzML", ".mzML.gz"), peaks.read_mzml)]
+RUNS: list[Reader] = [Reader("mzml", (".mzML", ".mzML.gz"), peaks.read_mzml, magic=(b"<?xml", b"<mzML", b"<indexed"))]
 
 
 def register(reader: Reader, kind: list[Reader]) -> None:
@@ -48,11 +65,14 @@ def register(reader: Reader, kind: list[Reader]) -> None:
 
 
 def choose(spark: SparkSession, path: str, readers: list[Reader]) -> Reader:
-    """The reader of a path. Two that are sure are an error; if none fits, the first refusal is told."""
+    """The reader of a path. Two that are sure are an error; if none fits, the first refusal is told. A path whose
+    suffix no reader knows may be any's: its first bytes settle it."""
     sure, refusal = [], None
-    for r in readers:
-        if not path.endswith(r.suffixes):
-            continue
+    fits = [r for r in readers if path.endswith(r.suffixes)]
+    if not fits:
+        head = first_bytes(spark, path)
+        fits = [r for r in readers if head and any(head.startswith(m) for m in r.magic)]
+    for r in fits:
         if r.accepts is None:
             sure.append(r)
             continue

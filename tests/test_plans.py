@@ -157,3 +157,27 @@ def test_command_line(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "lib")).count() > 0
     with pytest.raises(SystemExit):
         main(["search"])
+
+
+def test_search_scores_within_its_own_tolerances(spark):
+    """Tolerances come from the calibrants, are narrower than the given ones, and are what the scores are made with."""
+    from ionloom.plans import search as S
+
+    lib, peaks, cycles, windows, there = simulator.frames(spark, 60, present=0.8, noise=4000)
+    report = {}
+    results, cal = search(lib, peaks, cycles, windows, Settings(bins=40, rounds=3), report)
+    assert 1.0 <= cal.mz_ppm[0] < 10 and cal.mz_ppm[1] < 10 and max(cal.mobility_pct) < 2.5
+    assert report["scored"] + sum(report["skipped"].values()) - report["skipped"]["calibrant_nan_score"] == 180
+    q = S.with_tolerances(spark.createDataFrame([(0, 1.0)], "run_no long, mobility double"), {0: cal}, Settings()).first()
+    assert (q.ppm_lo, q.ppm_hi) == cal.mz_ppm and q.im_lo == pytest.approx(1 - cal.mobility_pct[0] / 100) and q.im_hi == pytest.approx(1 + cal.mobility_pct[1] / 100)
+    got = simulator.recovered(results, there)
+    assert got[0.1]["sensitivity"] >= 0.7 and simulator.auc(results, there) > 0.9
+    assert results.filter("isotope_ratio is not null").count() > 0
+    assert results.groupBy("decoy_group", "charge").count().filter("count > 1").isEmpty()
+
+
+def test_search_without_mobility(spark):
+    lib, peaks, cycles, windows, there = simulator.frames(spark, 40, present=0.9, noise=1000)
+    flat = peaks.withColumn("mobility", F.lit(None).cast("double"))
+    results, _ = search(lib, flat, cycles, windows.withColumns({"im0": F.lit(float("-inf")), "im1": F.lit(float("inf"))}), Settings(bins=40, rounds=2, has_mobility=False, decoys="never"))
+    assert results.filter("mobility_pct_abs is not null").isEmpty() and results.filter("is_target").count() >= 0.7 * len(there)

@@ -191,3 +191,46 @@ def test_sinks(spark, tmp_path):
         pass
     rep.write(str(tmp_path / "rep" / "r.json"))
     assert os.path.exists(tmp_path / "rep" / "r.json")
+
+
+def test_a_range_of_an_index_reads_few_row_groups(spark, tmp_path):
+    from ionloom.sources import peaks as P
+
+    ten = spark.createDataFrame([("r", 1, -1, 400.0 + 10 * i, 1.0, 0.9, i % 3) for i in range(10)], P.PEAK_SCHEMA.replace("ms_level byte", "ms_level int")).withColumn("ms_level", F.col("ms_level").cast("byte"))
+    cycles, windows = spark.createDataFrame([("r", i) for i in range(3)], "run_id string, cycle int"), spark.createDataFrame([("r", -1)], "run_id string, window_id int")
+    P.write_index(ten, cycles, windows, f"{tmp_path}/ten")
+    assert P.read_index(spark, f"{tmp_path}/ten")[0].filter("mz between 420 and 460").count() == 5
+    many = spark.range(400_000).select(F.lit("r").alias("run_id"), F.lit(1).cast("byte").alias("ms_level"), F.lit(-1).alias("window_id"), (200 + F.col("id") / 400).cast("float").alias("mz"), F.rand(1).cast("float").alias("intensity"), F.rand(2).cast("float").alias("mobility_ook0"), (F.col("id") % 100).cast("int").alias("cycle_index"))
+    P.write_index(many, cycles, windows, f"{tmp_path}/many", files=2)
+    P.rebucket(spark, f"{tmp_path}/many", f"{tmp_path}/small", files=2, row_group_bytes=64 << 10)
+    read = {}
+    for name in ("many", "small"):
+        df = P.read_index(spark, f"{tmp_path}/{name}")[0].filter("mz between 500 and 501")
+        assert len(df.collect()) == 401
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+        read[name] = leaves.apply(0).metrics().apply("numOutputRows").value()
+    assert read["small"] < read["many"] <= 210_000 and read["small"] < 60_000
+
+
+def test_a_tolerance_per_group_is_one_plan(spark):
+    from ionloom.api import GROUP, Run
+    from ionloom.functions.ranges import Tolerance, Width
+
+    peaks = spark.createDataFrame([(1, -1, 500.0 + d, 1.0, 0.9, c) for d in (0.0, 0.004, 0.04) for c in range(5)], "ms_level int, window_id int, mz double, intensity double, mobility double, cycle int")
+    run = Run(peaks, spark.createDataFrame([(c, c * 1000) for c in range(5)], "cycle int, rt_ms long"))
+    g = spark.createDataFrame([(i, 500.0, 1, 0.9, 2.0, [0], []) for i in range(4)], GROUP)
+    tol = [(0, Tolerance()), (1, Tolerance(ms=Width("ppm", 1, 1))), (2, Tolerance(ms=Width("absolute", 0.1, 0.1))), (3, Tolerance(rt=Width("minutes", 1 / 60, 1 / 60)))]
+    got = {r.query_id: r.chromatogram for r in run.query_chromatograms_batch(g, tol).collect()}
+    assert {k: sum(v) for k, v in got.items()} == {0: 10.0, 1: 5.0, 2: 15.0, 3: 6.0} and len(got[3]) == 3
+
+
+def test_first_bytes_settle_paths_without_a_known_suffix(spark, tmp_path):
+    (tmp_path / "run.data").write_bytes(b"<?xml version='1.0'?><mzML/>")
+    (tmp_path / "lib.bin").write_bytes(b"\x28\xb5\x2f\xfd0000")
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    assert registry.choose(spark, str(tmp_path / "run.data"), registry.RUNS).name == "mzml"
+    assert registry.choose(spark, str(tmp_path / "lib.bin"), registry.LIBRARIES).name == "native"
+    for name in ("odd.bin", "missing.bin", ""):
+        with pytest.raises(ValueError, match="no reader fits"):
+            registry.choose(spark, str(tmp_path / name), registry.LIBRARIES)
+    assert registry.first_bytes(spark, str(tmp_path / "odd.bin")) == b"abc" and registry.first_bytes(spark, str(tmp_path)) == b""
