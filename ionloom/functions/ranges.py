@@ -132,7 +132,7 @@ def window_overlaps(mz_lo: Column, mz_hi: Column, im_lo: Column, im_hi: Column,
     linear, so it is enough to look at where they cross the box's sides."""
     a, b = F.greatest(im_lo, s["im0"]), F.least(im_hi, s["im1"])
     span = s["im1"] - s["im0"]
-    at = lambda e0, e1, im: F.when(span == 0, e0).otherwise(e0 + (e1 - e0) * (im - s["im0"]) / span)
+    at = lambda e0, e1, im: F.when((span == 0) | (e0 == e1), e0).otherwise(e0 + (e1 - e0) * (im - s["im0"]) / span)
 
     def cut(e0: Column, e1: Column, level: Column, below: bool) -> tuple[Column, Column]:
         """Mobilities between a and b at which the edge is at most (or at least) ``level``."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def _boosted(train: DataFrame, held_out: DataFrame, rounds: int, depth: int, pat
 
 def rescore(rows: DataFrame, features: list[str], is_target: str = "is_target", key: str = "id", rounds: int = ROUNDS, depth: int = DEPTH, folds: int = 3) -> DataFrame:
     """Adds discriminant_score (the margin). Each fold is scored by the model trained on another and
-    stopped early by a third; targets weigh half. A fold without both classes leaves 0 scores."""
+    stopped early by a third; targets weigh half. A fold without both classes leaves 0 scores, with a warning."""
     from pyspark.ml.feature import VectorAssembler
 
     p, names = prepared(rows, features)
@@ -69,6 +71,7 @@ def rescore(rows: DataFrame, features: list[str], is_target: str = "is_target",
             m = _boosted(v.filter(F.col("_fold") == train), v.filter(F.col("_fold") == val), rounds, depth)
             part = _margin(m.transform(part))
         else:
+            warnings.warn(f"fold {test} has no scores: folds {train} and {val} don't both hold targets and decoys", stacklevel=2)
             part = part.withColumn("discriminant_score", F.lit(0.0))
         part = part.select(*rows.columns, "discriminant_score")
         out = part if out is None else out.unionByName(part)
