@@ -49,6 +49,7 @@ QUOTE_RUN = 5
 
 LETTERS = re.compile(r"[^\W\d_]+")
 TOKENS = re.compile(r"[^\W\d_]+|\d+")
+DIGITS = re.compile(r"\d+")
 LINE_START = re.compile(r"^(?:\s|[>|*#•-](?=\s|[>|*#•-])|\d{1,2}:\d\d(?=\s)|\w{1,20}:(?=\s)|\[\w+\](?=\s))+")
 SENTENCE_END = re.compile(r"(?<=[.?!])[\"'»”)]*\s+")
 ENDS = re.compile(r"[.?!][\"'»”)]*\s*$")
@@ -72,7 +73,7 @@ def sentences(text: str) -> list[str]:
 
 def shape(sentence: str) -> tuple[str, ...]:
     """Its words in folded case, numbers as ``0``."""
-    return tuple("0" if w[0].isdigit() else w for w in TOKENS.findall(sentence.casefold()))
+    return tuple(TOKENS.findall(DIGITS.sub("0", sentence.casefold())))
 
 
 def features(word: str) -> list[int]:
@@ -136,14 +137,12 @@ class Scorer:
         self.at: dict[str, int] = {}
         self.rows = np.zeros((1024, w.shape[1]), np.float32)
 
-    def _number(self, x: str) -> int:
-        k = self.at.get(x)
-        if k is None:
+    def _learn(self, words: set[str]) -> None:
+        for x in words:
             k = self.at[x] = len(self.at)
             if k >= len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rows[k] = self.ew[features(x)].mean(axis=0)
-        return k
 
     def subjects(self, sentences_: list[list[str]]) -> list[int]:
         """The number of the likeliest subject of each sentence (a list of words), or -1."""
@@ -151,7 +150,9 @@ class Scorer:
             return []
         if len(self.at) > 200_000:
             self.at.clear()
-        flat = np.array([self._number(x) for ws in sentences_ for x in ws])
+        self._learn({x for ws in sentences_ for x in ws} - self.at.keys())
+        at = self.at
+        flat = np.array([at[x] for ws in sentences_ for x in ws])
         lens = np.array([len(ws) for ws in sentences_])
         logits = np.add.reduceat(self.rows[flat], np.r_[0, np.cumsum(lens)[:-1]], axis=0) / lens[:, None] + self.b
         k = logits.argmax(axis=1)
@@ -160,7 +161,7 @@ class Scorer:
 
 def quotes(key: tuple[str, ...], quoted: frozenset) -> bool:
     """Whether a sentence shares runs of words with the held-out items."""
-    return sum(key[j : j + QUOTE_RUN] in quoted for j in range(len(key) - QUOTE_RUN + 1)) >= 2
+    return sum(map(quoted.__contains__, zip(*(key[i:] for i in range(QUOTE_RUN))))) >= 2
 
 
 def shape_hash(key: tuple[str, ...]) -> int:
@@ -168,9 +169,6 @@ def shape_hash(key: tuple[str, ...]) -> int:
     return int.from_bytes(hashlib.blake2b(" ".join(key).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-DIGITS = re.compile(r"\d+")
-
-
 def read_documents(texts: list[str], scorer, quoted: frozenset, memo: dict) -> Iterator[tuple[list[int], list[int]]]:
     """(hash of its shape, subject or -1) of every sentence of each text. ``memo`` keeps sentences already seen."""
     if len(memo) > 100_000:
@@ -179,7 +177,7 @@ def read_documents(texts: list[str], scorer, quoted: frozenset, memo: dict) -> I
     new = {s for many in found for s in many if s not in memo}
     wanted, words = [], []
     for s in new:
-        key = shape(s)
+        key = tuple(TOKENS.findall(s.casefold()))  # its digits are 0 already
         ws = [x for x in key if x != "0"]
         if ws and not quotes(key, quoted):
             wanted.append((s, key))
