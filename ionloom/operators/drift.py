@@ -58,9 +58,11 @@ def json_type(value: Column) -> Column:
 def fields_of(exports: DataFrame) -> DataFrame:
     """(stream, file_id, id, field, value as text, type), one row per non-null field of a record."""
     spark = exports.sparkSession
-    parsed = exports.select("export_stream", "file_id", F.try_parse_json(F.col("payload").cast("string")).alias("_il_v")).filter("file_id is not null and _il_v is not null and schema_of_variant(_il_v) like 'OBJECT%'")
-    out = parsed.lateralJoin(spark.tvf.variant_explode(F.col("_il_v").outer()))
-    out = out.select("export_stream", "file_id", F.try_variant_get("_il_v", "$.id", "string").alias("id"), F.col("key").alias("field"), json_type(F.col("value")).alias("jtype"), F.col("value").cast("string").alias("text"))
+    payload = F.col("payload").cast("string")
+    # What parses and begins with a brace is an object.
+    parsed = exports.filter(F.col("file_id").isNotNull() & payload.rlike(r"^\s*\{")).select("export_stream", "file_id", F.try_parse_json(payload).alias("_il_v")).filter("_il_v is not null")
+    out = parsed.withColumn("_il_id", F.try_variant_get("_il_v", "$.id", "string")).lateralJoin(spark.tvf.variant_explode(F.col("_il_v").outer()))
+    out = out.select("export_stream", "file_id", F.col("_il_id").alias("id"), F.col("key").alias("field"), json_type(F.col("value")).alias("jtype"), F.col("value").cast("string").alias("text"))
     return out.filter("jtype is not null and field <> 'id'")
 
 
