@@ -53,7 +53,7 @@ def p4_landed_flat(spark: SparkSession, sf: str) -> DataFrame:
         if kind == "array<string>":
             out.append(F.array_join(name, ",").alias(name))
         elif kind.startswith("array"):
-            out += [F.when(F.col(name).isNotNull(), F.size(name)).cast("long").alias(f"{name}_n"), F.round(F.aggregate(name, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0))), 3).alias(f"{name}_sum")]
+            out += [F.when(F.col(name).isNotNull(), F.size(name)).cast("long").alias(f"{name}_n"), F.round(F.aggregate(name, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0))), 6).alias(f"{name}_sum")]
         else:
             out.append(F.round(F.col(name).cast("double"), 5).alias(name) if kind in ("double", "float") else F.col(name).cast("long").alias(name) if kind == "int" else F.col(name))
     return t.select(*out, F.array_join(F.array_sort(F.map_keys("other")), ",").alias("other"))
@@ -255,7 +255,7 @@ def _landed_sql() -> str:
         elif kind.startswith("array"):
             num = "CAST(trunc(TRY_CAST(x AS DOUBLE)) AS DOUBLE)" if "int" in kind else "TRY_CAST(x AS DOUBLE)"
             got.append(f"list_transform(k_{q}, lambda x: {num}) AS v_{q}, len(list_filter(k_{q}, lambda x: TRY_CAST(x AS DOUBLE) IS NULL)) = 0 AS ok_{q}")
-            out += [f"CAST(len(v_{q}) AS BIGINT) AS {q}_n", f"CASE WHEN v_{q} IS NOT NULL THEN round(coalesce(list_sum(v_{q}), 0), 3) END AS {q}_sum"]
+            out += [f"CAST(len(v_{q}) AS BIGINT) AS {q}_n", f"CASE WHEN v_{q} IS NOT NULL THEN round(coalesce(list_sum(v_{q}), 0), 6) END AS {q}_sum"]
         else:
             value = {"boolean": f"TRY_CAST(k_{q}[1] AS BOOLEAN)", "float": f"CAST(CAST(TRY_CAST(k_{q}[1] AS DOUBLE) AS FLOAT) AS DOUBLE)"}.get(kind, f"TRY_CAST(k_{q}[1] AS DOUBLE)")
             got.append(f"{value} AS v_{q}, {value} IS NOT NULL AND len(k_{q}) = 1 AS ok_{q}")
