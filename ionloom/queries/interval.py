@@ -10,7 +10,7 @@ from ionloom.functions.ranges import Tolerance, Width
 from ionloom.operators import extract, interval
 from ionloom.queries import standins as S
 from ionloom.queries.standins import BASE, IONS, PEAKS
-from ionloom.runtime import table
+from ionloom.runtime import stored, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -121,7 +121,8 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), (F.col("p_retailprice") * F.col("p_size")).alias("mono"), (1 + F.col("p_size") % 3).alias("charge"))
     lo, hi = ranges.quad_range(F.col("mono"), F.col("charge"), F.array(F.lit(-1), F.lit(0), F.lit(1), F.lit(2)), Width("absolute", 5, 5))
     q = q.select("query_id", lo.alias("q_lo"), hi.alias("q_hi"))
-    w = _windows(spark, sf).withColumn("w_lo", F.least("mz_lo0", "mz_lo1")).withColumn("w_hi", F.greatest("mz_hi0", "mz_hi1"))
+    # Worked out once; the join looks at both sides several times.
+    w = stored(_windows(spark, sf).withColumn("w_lo", F.least("mz_lo0", "mz_lo1")).withColumn("w_hi", F.greatest("mz_hi0", "mz_hi1")))
     j = interval.overlap_join(q, w, ("q_lo", "q_hi"), ("w_lo", "w_hi")).drop("w_lo", "w_hi")
     hit, a, b = ranges.window_overlaps(F.col("q_lo"), F.col("q_hi"), F.lit(0.02), F.lit(0.08), {c: F.col(c) for c in SHAPE})
     return j.withColumn("im_from", a).withColumn("im_to", b).filter(hit)
@@ -153,7 +154,7 @@ SELECT i.query_id, i.ion, count(*) AS n_peaks, CAST(sum(p.intensity) AS BIGINT)
 ON p.window_id = h.window_id AND p.mz BETWEEN i.mz_lo AND i.mz_hi AND p.cycle BETWEEN i.cycle_lo AND i.cycle_hi AND p.mobility BETWEEN greatest(i.im_lo, h.im_from) AND least(i.im_hi, h.im_to) GROUP BY 1, 2""")
 def j02_fragment_query(spark: SparkSession, sf: str) -> DataFrame:
     """Ions by window: the mobility range is cut to what the window isolates."""
-    h = _hits(spark, sf).select("query_id", "window_id", "im_from", "im_to")
+    h = stored(_hits(spark, sf).select("query_id", "window_id", "im_from", "im_to"))
     i = S.ions(spark, sf).join(h, "query_id").withColumn("im_lo", F.greatest("im_lo", "im_from")).withColumn("im_hi", F.least("im_hi", "im_to"))
     i = i.select("query_id", "ion", "window_id", "mz_lo", "mz_hi", "cycle_lo", "cycle_hi", "im_lo", "im_hi")
     m = interval.range_join(S.peaks(spark, sf).drop("peak_id"), i, "mz", "mz_lo", "mz_hi", ("window_id",), residual=S.residual(), log=True, width=4e-4)
