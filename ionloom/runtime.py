@@ -129,11 +129,17 @@ def hot_keys(big: DataFrame, on: list[str], least: int = HOT_ROWS, share: int =
     return big.sparkSession.createDataFrame(hot, big.select(*on).schema)
 
 
+def shuffled_join(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join of two sides of any size: both are shuffled and merged, and no estimate makes a broadcast of ``b``."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int | None = None, salts: int = SALTS, bytes_: int | None = None, least: int | None = None) -> DataFrame:
     """Equi-join whose ``small`` side is broadcast only after its size was measured (or given in ``bytes_``).
 
     A side that is more than a scan is stored first, so that it isn't worked out once to be measured and once
-    more to be joined. Beyond the limit both sides are shuffled. Keys that hold a large share of ``big`` are then
+    more to be joined. Beyond the limit both sides are shuffled, whatever Spark's own estimate (of compressed files,
+    before rows are copied to bins) would broadcast. Keys that hold a large share of ``big`` are then
     spread over ``salts`` tasks: only their rows of ``small`` are copied. ``how`` is inner, left (rows of ``big``
     stay) or left_semi."""
     limit = BROADCAST_BYTES if limit is None else limit
@@ -144,7 +150,7 @@ def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
         return big.join(F.broadcast(small), on, how)
     hot = hot_keys(big, on, HOT_ROWS if least is None else least)
     if hot.isEmpty():
-        return big.join(small, on, how)
+        return shuffled_join(big, small, on, how)
     salt, flag = "_il_salt", "_il_hot"
     marked = F.broadcast(hot.select(*[F.col(c).alias(f"_il_k_{c}") for c in on]).withColumn(flag, F.lit(True)))
 
@@ -158,4 +164,4 @@ def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     cols = [c for c in big.columns if big.schema[c].dataType.typeName() not in ("map", "variant")]
     spread = mark(big).withColumn(salt, F.when(F.col(flag), F.pmod(F.xxhash64(*cols), F.lit(salts))).otherwise(0).cast("int")).drop(flag)
     copies = mark(small).withColumn(salt, F.explode(F.when(F.col(flag), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(flag)
-    return spread.join(copies, [*on, salt], how).drop(salt)
+    return shuffled_join(spread, copies, [*on, salt], how).drop(salt)

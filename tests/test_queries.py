@@ -1,3 +1,6 @@
+import pytest
+
+import ionloom.runtime as rt
 from ionloom.queries import interval, peptide, plans, readers
 
 
@@ -34,3 +37,11 @@ def test_library_match_keeps_entries_without_source(spark, tmp_path):
     spark.createDataFrame(ions, "eg_id long, fragment_mz double, fragment_intensity double").write.parquet(str(tmp_path / "fragment_ions.parquet"))
     spark.createDataFrame([(1, 500.0, 2, 1.0, 4), (2, 500.0, 2, 1.0, None)], "eg_id long, precursor_mono_mz double, precursor_charge int, rt_seconds double, source_id long").write.parquet(str(tmp_path / "elution_groups.parquet"))
     assert peptide.j09_library_match(spark, str(tmp_path)).count() == 1
+
+
+@pytest.mark.parametrize("name", ["h16_filter_funnel"])
+def test_sides_beyond_the_limit_are_never_broadcast(spark, sf, monkeypatch, name):
+    """Spark's estimate of the ions is that of the small file they are made of."""
+    monkeypatch.setattr(rt, "BROADCAST_BYTES", 0)
+    plan = interval.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
