@@ -1,7 +1,7 @@
 import pytest
 
 import ionloom.runtime as rt
-from ionloom.queries import interval, peptide, plans, readers
+from ionloom.queries import interval, peptide, plans, readers, stats
 
 
 def test_library_stats_count_large_groups(spark, tmp_path):
@@ -39,9 +39,9 @@ def test_library_match_keeps_entries_without_source(spark, tmp_path):
     assert peptide.j09_library_match(spark, str(tmp_path)).count() == 1
 
 
-@pytest.mark.parametrize("name", ["h16_filter_funnel"])
+@pytest.mark.parametrize("name", ["h16_filter_funnel", "a14_ms1_errors"])
 def test_sides_beyond_the_limit_are_never_broadcast(spark, sf, monkeypatch, name):
     """Spark's estimate of the ions is that of the small file they are made of."""
     monkeypatch.setattr(rt, "BROADCAST_BYTES", 0)
-    plan = interval.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    plan = (interval.QUERIES | stats.QUERIES)[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
