@@ -167,7 +167,7 @@ six AS (SELECT protein_id, sequence, unnest(range(1, length(sequence) - 4)) AS p
 hit AS (SELECT DISTINCT peptide, protein_id FROM wanted JOIN gram ON g = substr(peptide, 1, 6) AND substr(sequence, p, length(peptide)) = peptide)
 SELECT peptide, count(*) AS n_proteins FROM hit GROUP BY 1""")
 def j11_containing_proteins(spark: SparkSession, sf: str) -> DataFrame:
-    """Sequences that hold a peptide, through an inverted index of 5-mers of the digested proteins."""
+    """Sequences that hold a peptide of the digested proteins."""
     p = proteins(spark, sf)
     return peptides.containing_proteins(peptides.digest(p, 1, 6, 30), p, 5).groupBy("peptide").agg(F.count(F.lit(1)).alias("n_proteins"))
 

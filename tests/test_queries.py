@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
 import ionloom.runtime as rt
+from ionloom.operators import peptides
 from ionloom.queries import interval, peptide, plans, readers, stats
 
 
@@ -39,9 +42,20 @@ def test_library_match_keeps_entries_without_source(spark, tmp_path):
     assert peptide.j09_library_match(spark, str(tmp_path)).count() == 1
 
 
-@pytest.mark.parametrize("name", ["h16_filter_funnel", "a14_ms1_errors"])
+@pytest.mark.parametrize("name", ["h16_filter_funnel", "a14_ms1_errors", "j11_containing_proteins"])
 def test_sides_beyond_the_limit_are_never_broadcast(spark, sf, monkeypatch, name):
-    """Spark's estimate of the ions is that of the small file they are made of."""
+    """Spark's estimate of a side is that of the small file it is made of."""
     monkeypatch.setattr(rt, "BROADCAST_BYTES", 0)
-    plan = (interval.QUERIES | stats.QUERIES)[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    plan = (interval.QUERIES | stats.QUERIES | peptide.QUERIES)[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_peptides_are_found_over_spans_and_passes(spark, monkeypatch):
+    monkeypatch.setattr(peptides, "BLOCK", 7)
+    monkeypatch.setattr(peptides, "SPAN", 5)
+    monkeypatch.setattr(peptides, "LETTERS", 20)
+    rng = random.Random(3)
+    proteins = [(i, "".join(rng.choices("AKé", k=rng.choice([0, 1, 5, 12, 40])))) for i in range(30)]
+    wanted = sorted({"".join(rng.choices("AKé", k=rng.choice([2, 3, 4, 6, 9]))) for _ in range(80)})
+    got = peptides.containing_proteins(spark.createDataFrame([(x,) for x in wanted], "peptide string"), spark.createDataFrame(proteins, "protein_id long, sequence string"), 3)
+    assert sorted(map(tuple, got.collect())) == sorted((w, i) for w in wanted if len(w) >= 3 for i, s in proteins if w in s)
