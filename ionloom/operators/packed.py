@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import combinations
 from math import log2
 
@@ -35,8 +36,11 @@ from ionloom.runtime import release, sized_join, stored
 CHARACTER, END, SPELLED = 6.0, 3.0, 2.0
 #: Bits of a punctuation mark as a separator and inside a value before anything was counted.
 SEPARATOR, INSIDE = 2.0, 12.0
-#: Marks up to which every subset is a candidate; beyond, all, all but one, each alone and none.
-SUBSETS = 3
+#: Marks up to which the candidates of a field, up to two to their power, are held at once; of fields with more they are made
+#: twice, to be numbered and to be handed on, so that memory stays bounded.
+HELD = 8
+#: Candidates of a batch.
+ROWS = 2_000
 #: Characters that may separate values; blanks always do, as they never belong to an unquoted value.
 SEPARATOR_CHARS = re.compile(r'[^\w.\-\s\[\]"]')
 QUOTED_TEXT = re.compile(r'"[^"\\]*+(?:(?:""|\\.)[^"\\]*+)*+"', re.S)
@@ -84,35 +88,49 @@ def dialect(separators: str, quotes: str) -> Dialect:
     return Dialect(separators, quotes)
 
 
-@lru_cache(maxsize=4096)
-def subsets(marks: str) -> tuple[str, ...]:
-    """Candidate sets of separators, larger ones first."""
-    n = len(marks)
-    sizes = range(n, -1, -1) if n <= SUBSETS else (n, n - 1, 1, 0)
-    return tuple("".join(c) for k in sizes for c in combinations(marks, k))
+def subsets(marks: str) -> Iterator[str]:
+    """Candidate sets of separators, all there are, larger ones first."""
+    return ("".join(c) for k in range(len(marks), -1, -1) for c in combinations(marks, k))
+
+
+Parse = tuple[list[str], list[str], str]
 
 
-def candidates(text: str) -> list[tuple[list[str], list[str], str]]:
-    """The parses of ``text`` that differ, more separators first."""
+def _marks(text: str) -> str:
+    """The punctuation of ``text`` that may separate, outside quotes and accessions."""
     quoted = '"' in text
     loose = LONG.sub("", QUOTED_TEXT.sub("", text) if quoted else text)
     marks = "".join(sorted(set(SEPARATOR_CHARS.findall(loose))))
-    quotes = ("none",)
-    if quoted:
-        # A value in quotes is one value, so the ways differ in what a quote inside one looks like.
-        quotes = ("doubled", "backslash") if "\\" in text else ("doubled",)
-        marks = marks.replace("\\", "")
-    seen, out = set(), []
+    return marks.replace("\\", "") if quoted else marks
+
+
+def _differing(text: str, marks: str) -> Iterator[tuple[Parse, bool]]:
+    """The parses of ``text`` that differ, more separators first, and whether none of their values has an enclosing quote."""
+    quoted = '"' in text
+    # A value in quotes is one value, so the ways differ in what a quote inside one looks like.
+    quotes = (("doubled", "backslash") if "\\" in text else ("doubled",)) if quoted else ("none",)
+    seen = set()
     for s in subsets(marks):
         for q in quotes:
             got = dialect(s, q).parse(text)
-            key = tuple(got[0])
+            key = blake2b("\0".join(f"{len(v)} {v}" for v in got[0]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
             if key not in seen:
                 seen.add(key)
-                out.append(got)
-    # Enclosing quotes are no part of a value: parses that leave some go if others don't.
-    clean = [p for p in out if not any(o and ('"' in (v[0], v[-1])) for v, o in zip(p[0], p[1]))] if quoted and len(out) > 1 else out
-    return clean or out
+                yield got, not (quoted and any(o and ('"' in (v[0], v[-1])) for v, o in zip(got[0], got[1])))
+
+
+def candidates(text: str) -> tuple[int, Iterator[Parse]]:
+    """The number of parses of ``text`` that differ, and these. Enclosing quotes are no part of a value: parses that
+    leave some go if others don't."""
+    marks = _marks(text)
+    if len(marks) <= HELD:
+        out = list(_differing(text, marks))
+        clean = [p for p, c in out if c] or [p for p, _ in out]
+        return len(clean), iter(clean)
+    total = clean = 0
+    for _, c in _differing(text, marks):
+        total, clean = total + 1, clean + c
+    return clean or total, (p for p, c in _differing(text, marks) if c or not clean)
 
 
 def fields_of(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
@@ -133,21 +151,24 @@ def parses(texts: DataFrame) -> DataFrame:
     """(h1, h2, n, cand, values, inside, seps): every candidate parse of each text; n is their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text_list = pa.list_(pa.string())
+        schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()), ("cand", pa.int32()), ("values", text_list), ("inside", text_list), ("seps", pa.string())])
+        rows: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+            rows.clear()
+            return got
+
         for b in batches:
-            h1, h2, n, cand, values, inside, seps = [], [], [], [], [], [], []
             for a, c, text in zip(*(x.to_pylist() for x in b.columns)):
-                got = candidates(text)
-                k = len(got)
+                n, got = candidates(text)
                 for i, (v, o, s) in enumerate(got):
-                    h1.append(a)
-                    h2.append(c)
-                    n.append(k)
-                    cand.append(i)
-                    values.append(v)
-                    inside.append(o)
-                    seps.append(s)
-            text_list = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32()), pa.array(cand, pa.int32()), pa.array(values, text_list), pa.array(inside, text_list), pa.array(seps, pa.string())], names=["h1", "h2", "n", "cand", "values", "inside", "seps"])
+                    rows.append((a, c, n, i, v, o, s))
+                    if len(rows) >= ROWS:
+                        yield batch()
+        if rows:
+            yield batch()
 
     return texts.select(*KEY, "text").mapInArrow(run, "h1 long, h2 long, n int, cand int, values array<string>, inside array<string>, seps string")
 

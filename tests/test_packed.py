@@ -1,3 +1,4 @@
+from ionloom.operators import packed
 from ionloom.operators.packed import unpack
 
 
@@ -43,3 +44,21 @@ def test_value_codes_decide(spark):
     for r in unpack(df, "lib_row_id", ["genes"]).collect():
         got.setdefault(r.row_id, {})[r.item_pos] = r.item_value
     assert [[got[k][i] for i in range(len(got[k]))] for k in (0, 180, 181, 182)] == [texts[0].split(";"), ["P", "Q"], ["A-1", "B-2"], ["P", "Q", "A-1"]]
+
+
+def test_every_subset_of_separators_is_a_candidate():
+    """Two of four marks separate; the other two stand inside the names."""
+    n, got = packed.candidates("A:B/C;D:E/F,G:H/I;J:K/L")
+    parses = [v for v, _, _ in got]
+    assert ["A:B/C", "D:E/F", "G:H/I", "J:K/L"] in parses and n == len(parses) == 16
+
+
+def test_many_marks(monkeypatch):
+    text = 'A!B@C#D"x""y;z"'
+    few = packed.candidates(text)
+    few = few[0], list(few[1])
+    monkeypatch.setattr(packed, "HELD", 0)
+    many = packed.candidates(text)
+    assert few == (many[0], list(many[1])) and few[0] == len(few[1])
+    n, got = packed.candidates("A!B@C#D$E%F^G&H*I(J")
+    assert n == 2**9 == len({tuple(v) for v, _, _ in got})
