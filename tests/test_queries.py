@@ -42,7 +42,7 @@ def test_library_match_keeps_entries_without_source(spark, tmp_path):
     assert peptide.j09_library_match(spark, str(tmp_path)).count() == 1
 
 
-@pytest.mark.parametrize("name", ["h16_filter_funnel", "a14_ms1_errors", "j11_containing_proteins", "a08_match_counters", "a03_spectrum", "j01_range_join", "out04_transpose"])
+@pytest.mark.parametrize("name", ["h16_filter_funnel", "a14_ms1_errors", "j11_containing_proteins", "a08_match_counters", "a03_spectrum", "j01_range_join", "out04_transpose", "f19_skip_reasons"])
 def test_sides_beyond_the_limit_are_never_broadcast(spark, sf, monkeypatch, name):
     """Spark's estimate of a side is that of the small file it is made of."""
     monkeypatch.setattr(rt, "BROADCAST_BYTES", 0)
