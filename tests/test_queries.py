@@ -50,7 +50,7 @@ def test_sides_beyond_the_limit_are_never_broadcast(spark, sf, monkeypatch, name
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["a14_ms1_errors", "j01_range_join", "out04_transpose", "a03_spectrum", "f19_skip_reasons"])
+@pytest.mark.parametrize("name", ["a14_ms1_errors", "j01_range_join", "out04_transpose", "a03_spectrum", "a08_match_counters", "f19_skip_reasons"])
 def test_shuffled_ions_give_what_sql_gives(spark, duck, sf, monkeypatch, name):
     """Else SQL is compared only where the ions are few enough to be broadcast."""
     monkeypatch.setattr(rt, "BROADCAST_BYTES", 0)
